@@ -70,7 +70,9 @@ def impute_median_mass(obs: DataFrame) -> DataFrame:
 
 
 def floor_mass(obs: DataFrame) -> DataFrame:
-    return obs.withColumn("mass_g", F.greatest("mass_g", F.lit(SMALLEST_MASS)))
+    """Masses below 1 g become 1 g; a missing mass stays missing."""
+    mass = F.col("mass_g")
+    return obs.withColumn("mass_g", F.when(mass < SMALLEST_MASS, F.lit(SMALLEST_MASS)).otherwise(mass))
 
 
 def derive_log_mass(obs: DataFrame) -> DataFrame:

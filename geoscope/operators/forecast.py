@@ -188,8 +188,9 @@ def spatial_probability_grid(obs: DataFrame, locations: DataFrame, steps: int =
     marks = (
         reached.withColumns({"guess_first": guess_first, "guess_last": guess_last})
         .withColumns({"first": settle("guess_first", (-1, 0, 1)), "last": settle("guess_last", (1, 0, -1))})
+        .dropna(subset=["first", "last"])
         .withColumns({"first": F.greatest("first", F.lit(0)), "last": F.least("last", F.lit(last))})
-        .filter(F.col("first").isNotNull() & F.col("last").isNotNull() & (F.col("first") <= F.col("last")))
+        .filter(F.col("first") <= F.col("last"))
         .select(
             "location_id",
             "i",

@@ -1,11 +1,47 @@
-"""Models of mass, class and place, trained and applied with MLlib."""
+"""Models of mass, class and place, trained, stored and applied with MLlib.
+
+Training data is split by a hash of the record id, not by a random draw: the split is the same on
+every recomputation, so a lost executor cannot move a row from the test to the training side.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoscope.functions import fall_code
+from geoscope.functions import clamp, fall_code
+
+MASS_FEATURES = ["reclat", "reclong", "year", "fall_code"]
+CLASS_FEATURES = ["reclat", "reclong", "mass_g", "year", "fall_code"]
+
+NUM_TREES = 100
+# Trees of unlimited depth do not scale with the data; this bounds the nodes a level can have.
+MAX_DEPTH = 10
+SEED = 42
+TRAIN_PERCENT = 80
+
+MIN_PREDICTED_MASS, MAX_PREDICTED_MASS = 0.1, 10_000_000.0
+DEFAULT_MASS = 10.0
+FOUND_WEIGHT, FELL_WEIGHT = 0.6, 0.4
+CLUSTERS = 5
+
+
+@dataclass
+class FittedModel:
+    """A fitted pipeline and its score on the held-out rows (RMSE of log1p mass, or accuracy)."""
+
+    kind: str
+    pipeline: PipelineModel
+    score: float
 
 
 def ml_frame(obs: DataFrame) -> DataFrame:
@@ -15,3 +51,180 @@ def ml_frame(obs: DataFrame) -> DataFrame:
         .withColumn("year", F.col("year").cast("double"))
         .dropna(subset=["reclat", "reclong", "year", "mass_g", "fall_code"])
     )
+
+
+def class_codes(obs: DataFrame) -> DataFrame:
+    """``ml_frame`` with ``recclass_code``: classes numbered by name."""
+    frame = ml_frame(obs)
+    indexer = StringIndexer(
+        inputCol="recclass", outputCol="recclass_code", stringOrderType="alphabetAsc", handleInvalid="keep"
+    )
+    return indexer.fit(frame).transform(frame)
+
+
+def split(frame: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(100))
+    return frame.filter(draw < TRAIN_PERCENT), frame.filter(draw >= TRAIN_PERCENT)
+
+
+def _features(columns: list[str]) -> list:
+    return [
+        VectorAssembler(inputCols=columns, outputCol="raw_features"),
+        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+    ]
+
+
+def train_mass_model(
+    obs: DataFrame, num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed: int = SEED
+) -> FittedModel:
+    """Random forest for log1p(mass) from place, year and fall."""
+    columns = [*MASS_FEATURES, "log_target"]
+    train, test = split(ml_frame(obs).withColumn("log_target", F.log1p("mass_g")).select("id", *columns), seed)
+    forest = RandomForestRegressor(
+        labelCol="log_target", numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="all", seed=seed
+    )
+    fitted = Pipeline(stages=[*_features(MASS_FEATURES), forest]).fit(train)
+    rmse = RegressionEvaluator(labelCol="log_target", metricName="rmse").evaluate(fitted.transform(test))
+    return FittedModel("mass", fitted, rmse)
+
+
+def train_class_model(
+    obs: DataFrame, num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed: int = SEED
+) -> FittedModel:
+    """Random forest for the class from place, mass, year and fall. Held-out rows whose class does
+    not occur in training count as errors."""
+    train, test = split(ml_frame(obs).select("id", "recclass", *CLASS_FEATURES), seed)
+    labels = StringIndexer(
+        inputCol="recclass", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"
+    ).fit(train)
+    forest = RandomForestClassifier(labelCol="label", numTrees=num_trees, maxDepth=max_depth, seed=seed)
+    names = IndexToString(inputCol="prediction", outputCol="predicted_class", labels=[*labels.labels, "__unseen"])
+    fitted = Pipeline(stages=[*_features(CLASS_FEATURES), forest, names]).fit(labels.transform(train))
+    scored = labels.transform(fitted.transform(test))
+    accuracy = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(scored)
+    return FittedModel("class", fitted, accuracy)
+
+
+def model_report(fitted: FittedModel, spark: SparkSession) -> DataFrame:
+    metric = {"mass": "rmse", "class": "accuracy"}[fitted.kind]
+    return spark.createDataFrame([(fitted.kind, metric, fitted.score)], "model string, metric string, score double")
+
+
+# Applying -------------------------------------------------------------------------------------------
+
+
+def request_problem() -> Column:
+    """Why a request (lat, lon, year, fall) cannot be predicted; null when it can."""
+    return (
+        F.when(F.col("lat").isNull() | F.col("lon").isNull(), "coordinates")
+        .when(F.col("year").isNull(), "year")
+        .when(~F.coalesce(F.col("fall").isin("Fell", "Found"), F.lit(False)), "fall")
+    )
+
+
+def predict_mass(model: FittedModel, requests: DataFrame, default: float | None = None) -> DataFrame:
+    """Predicted mass of each request, within [0.1 g, 10 t].
+
+    Requests that cannot be predicted are left out (see ``invalid_requests``), or get ``default``.
+    """
+    valid = requests.filter(request_problem().isNull())
+    named = valid.withColumns(
+        {
+            "reclat": F.col("lat").cast("double"),
+            "reclong": F.col("lon").cast("double"),
+            "fall_code": fall_code("fall").cast("double"),
+        }
+    )
+    mass = clamp(F.expm1("prediction"), MIN_PREDICTED_MASS, MAX_PREDICTED_MASS)
+    predicted = model.pipeline.transform(named).select(*requests.columns, mass.alias("predicted_mass"))
+    if default is None:
+        return predicted
+    rest = requests.filter(request_problem().isNotNull())
+    return predicted.unionByName(rest.withColumn("predicted_mass", F.lit(float(default))))
+
+
+def invalid_requests(requests: DataFrame) -> DataFrame:
+    return requests.withColumn("reason", request_problem()).filter(F.col("reason").isNotNull())
+
+
+def predict_mass_blend(model: FittedModel, locations: DataFrame, as_of_year: int) -> DataFrame:
+    """Predicted mass at the horizon of each location; detection 'all' blends .6 Found and .4 Fell.
+
+    Both predictions are made on the same row, so nothing is shuffled.
+    """
+    rows = locations.withColumn("year", F.lit(as_of_year) + F.col("horizon"))
+    for fall in ("Found", "Fell"):
+        rows = predict_mass(model, rows.withColumn("fall", F.lit(fall))).withColumnRenamed(
+            "predicted_mass", f"mass_{fall.lower()}"
+        )
+    found, fell = F.col("mass_found"), F.col("mass_fell")
+    blended = (
+        F.when(F.col("detection") == "all", FOUND_WEIGHT * found + FELL_WEIGHT * fell)
+        .when(F.col("detection") == "Found", found)
+        .when(F.col("detection") == "Fell", fell)
+    )
+    return rows.select("location_id", "detection", "year", blended.alias("predicted_mass")).dropna(
+        subset=["predicted_mass"]
+    )
+
+
+def predict_class(model: FittedModel, frame: DataFrame) -> DataFrame:
+    """Adds ``predicted_class`` to rows of ``ml_frame``."""
+    return model.pipeline.transform(frame).select(*frame.columns, "predicted_class")
+
+
+def feature_importance(model: FittedModel, spark: SparkSession, ascending: bool = False) -> DataFrame:
+    importances = model.pipeline.stages[2].featureImportances.toArray()
+    names = MASS_FEATURES if model.kind == "mass" else CLASS_FEATURES
+    rows = [(name, float(value)) for name, value in zip(names, importances)]
+    order = F.asc("importance") if ascending else F.desc("importance")
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(order, "feature")
+
+
+def fit_clusters(obs: DataFrame, k: int = CLUSTERS, seed: int = SEED) -> KMeansModel:
+    """k-means over places. Equal coordinates enter once, weighted by their number of records."""
+    places = obs.groupBy("reclat", "reclong").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    points = _place_vector().transform(places)
+    return KMeans(k=k, seed=seed, featuresCol="place", weightCol="weight").fit(points)
+
+
+def _place_vector() -> VectorAssembler:
+    return VectorAssembler(inputCols=["reclat", "reclong"], outputCol="place")
+
+
+def location_clusters(obs: DataFrame, k: int = CLUSTERS, seed: int = SEED) -> DataFrame:
+    """Every observation with the number of its place cluster."""
+    located = _place_vector().transform(obs)
+    return fit_clusters(obs, k, seed).transform(located).drop("place").withColumnRenamed("prediction", "cluster")
+
+
+# Storing ----------------------------------------------------------------------------------------------
+
+
+def save_model(model: FittedModel, path: str, spark: SparkSession) -> None:
+    """The pipeline, and beside it one row of metadata, written last: without it a store is incomplete."""
+    model.pipeline.write().overwrite().save(f"{path}/{model.kind}/pipeline")
+    report = model_report(model, spark).withColumn("trained_at", F.current_timestamp())
+    report.write.mode("overwrite").json(f"{path}/{model.kind}/metadata")
+
+
+def load_model(kind: str, path: str, spark: SparkSession) -> FittedModel | None:
+    """The stored model of this kind, or None when there is none (or an incomplete one)."""
+    schema = "model string, metric string, score double, trained_at timestamp"
+    try:
+        stored = spark.read.schema(schema).json(f"{path}/{kind}/metadata").first()
+    except AnalysisException:
+        return None
+    if stored is None:
+        return None
+    return FittedModel(kind, PipelineModel.load(f"{path}/{kind}/pipeline"), stored["score"])
+
+
+def load_or_train(kind: str, path: str, obs: DataFrame, **settings) -> FittedModel:
+    """Use the stored model if there is one; otherwise train it and store it."""
+    spark = obs.sparkSession
+    model = load_model(kind, path, spark)
+    if model is None:
+        model = {"mass": train_mass_model, "class": train_class_model}[kind](obs, **settings)
+        save_model(model, path, spark)
+    return model

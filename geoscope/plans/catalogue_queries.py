@@ -73,7 +73,7 @@ add(
     "floor_mass",
     lambda s, p: cleaning.floor_mass(cleaning.coerce_numeric(d.raw_obs(s, p))).select("id", "mass_g"),
     "raw_obs typed",
-    "SELECT id, CASE WHEN m IS NULL OR m < 1 THEN CAST(1 AS DOUBLE) ELSE m END AS mass_g FROM typed",
+    "SELECT id, CASE WHEN m < 1 THEN CAST(1 AS DOUBLE) ELSE m END AS mass_g FROM typed",
 )
 add(
     "derive_log_mass",
@@ -82,7 +82,7 @@ add(
     ),
     "raw_obs typed",
     """SELECT id, a AS adjusted_mass, log10(a) AS log_mass
-       FROM (SELECT id, CASE WHEN m IS NULL OR m < 1 THEN CAST(1 AS DOUBLE) ELSE m END AS a FROM typed) t""",
+       FROM (SELECT id, CASE WHEN m < 1 THEN CAST(1 AS DOUBLE) ELSE m END AS a FROM typed) t""",
     rounded="log_mass",
 )
 add(
@@ -167,7 +167,7 @@ FACETS = {
     "fall_type": ["Found", "Fell"],
     "decade_range": [1800, 2020],
 }
-_FACET_SQL = """mass_g BETWEEN 10 AND 100000 AND recclass IN ('L6', 'H5', 'LL5', 'Eucrite', 'Lunar')
+FACET_SQL = """mass_g BETWEEN 10 AND 100000 AND recclass IN ('L6', 'H5', 'LL5', 'Eucrite', 'Lunar')
     AND fall IN ('Found', 'Fell') AND decade BETWEEN 1800 AND 2020"""
 
 
@@ -175,7 +175,7 @@ def _filter(name, build, where):
     add(name, lambda s, p: build(staged_obs(s, p)).select(*OBS_COLUMNS), "obs", f"SELECT {_OBS_LIST} FROM obs WHERE {where}")
 
 
-_filter("filter_obs", lambda o: filters.filter_obs(o, **FACETS), _FACET_SQL)
+_filter("filter_obs", lambda o: filters.filter_obs(o, **FACETS), FACET_SQL)
 _filter("filter_mass", lambda o: filters.filter_mass(o, [2, 4]), "mass_g BETWEEN 100 AND 10000")
 _filter("filter_class", lambda o: filters.filter_class(o, ["L6", "CM2"]), "recclass IN ('L6', 'CM2')")
 _filter("filter_fall", lambda o: filters.filter_fall(o, "Fell"), "fall = 'Fell'")
@@ -304,7 +304,7 @@ add(
 
 # --- distributions --------------------------------------------------------------------------
 
-_FACETED = f"(SELECT * FROM obs WHERE {_FACET_SQL})"
+_FACETED = f"(SELECT * FROM obs WHERE {FACET_SQL})"
 
 
 def _faceted(spark, path):
