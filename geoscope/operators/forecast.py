@@ -14,7 +14,7 @@ from geoscope.functions import log_transform, probability_band
 from geoscope.operators.locations import _catalogue, proximity
 from geoscope.operators.nearest import nearest_distance
 from geoscope.operators.trends import year_counts
-from geoscope.operators.zones import coordinate_counts, within_points, zone_summary
+from geoscope.operators.zones import coordinate_counts, spread, within_points, zone_summary
 
 # --- Fixed values: mass category, factor on the base rate, cap of the yearly probability ---
 CATEGORIES = [("small", 2.0, 0.95), ("medium", 1.0, 0.75), ("large", 0.2, 0.25)]
@@ -169,7 +169,8 @@ def spatial_probability_grid(obs: DataFrame, locations: DataFrame, steps: int =
     south, west = F.col("lat") - F.col("radius"), F.col("lon") - F.col("radius")
     low_row = F.greatest(F.floor((F.col("reclat") - reach - south) / step), F.lit(0))
     high_row = F.least(F.ceil((F.col("reclat") + reach - south) / step), F.lit(last))
-    reached = near.filter(low_row <= high_row).withColumn("i", F.explode(F.sequence(low_row, high_row)))
+    # Few pairs stand for many marks: deal them out before they are multiplied.
+    reached = spread(near, "location_id", "reclat").filter(low_row <= high_row).withColumn("i", F.explode(F.sequence(low_row, high_row)))
 
     dy = F.col("reclat") - row_lat(F.col("i"))
 
@@ -177,17 +178,25 @@ def spatial_probability_grid(obs: DataFrame, locations: DataFrame, steps: int =
         dx = F.col("reclong") - column_lon(j)
         return F.sqrt(dy * dy + dx * dx) <= reach
 
-    # Where the row enters and leaves the disc, first estimated, then settled by the exact test.
+    # Where the row enters and leaves the disc. The estimate decides unless it lies within rounding
+    # of a grid column; only then the exact test is asked, in a lambda that most rows never enter.
     half = F.sqrt(F.greatest(F.lit(0.0), reach * reach - dy * dy))
-    guess_first = F.ceil((F.col("reclong") - half - west) / step)
-    guess_last = F.floor((F.col("reclong") + half - west) / step)
+    enters = (F.col("reclong") - half - west) / step
+    leaves = (F.col("reclong") + half - west) / step
 
-    def settle(guess: str, order: tuple[int, ...]) -> Column:
-        return F.coalesce(*[F.when(counts_at(F.col(guess) + k), F.col(guess) + k) for k in order])
+    def settle(at: str, rounded: Column, order: tuple[int, ...]) -> Column:
+        clear = F.abs(F.col(at) - F.rint(at)) > 1e-5
+        exact = F.get(F.filter(F.array(*[rounded + k for k in order]), counts_at), F.lit(0))
+        return F.when(clear, rounded).otherwise(exact)
 
     marks = (
-        reached.withColumns({"guess_first": guess_first, "guess_last": guess_last})
-        .withColumns({"first": settle("guess_first", (-1, 0, 1)), "last": settle("guess_last", (1, 0, -1))})
+        reached.withColumns({"enters": enters, "leaves": leaves})
+        .withColumns(
+            {
+                "first": settle("enters", F.ceil("enters"), (-1, 0, 1)),
+                "last": settle("leaves", F.floor("leaves"), (1, 0, -1)),
+            }
+        )
         .dropna(subset=["first", "last"])
         .withColumns({"first": F.greatest("first", F.lit(0)), "last": F.least("last", F.lit(last))})
         .filter(F.col("first") <= F.col("last"))
@@ -203,14 +212,12 @@ def spatial_probability_grid(obs: DataFrame, locations: DataFrame, steps: int =
         )
     )
     index = F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))
-    grid = locations.select("location_id", F.explode(index).alias("i")).select(
+    grid = spread(locations.select("location_id"), "location_id").select("location_id", F.explode(index).alias("i")).select(
         "location_id", "i", F.explode(index).alias("j"), F.lit(0).cast("long").alias("mark")
     )
     along = Window.partitionBy("location_id", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     counted = (
-        marks.groupBy("location_id", "i", "j")
-        .agg(F.sum("mark").alias("mark"))
-        .unionByName(grid)
+        marks.unionByName(grid)
         .groupBy("location_id", "i", "j")
         .agg(F.sum("mark").alias("mark"))
         .withColumn("n", F.sum("mark").over(along))

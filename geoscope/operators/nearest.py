@@ -16,31 +16,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoscope.operators.zones import grid_cell, planar_distance
+from geoscope.operators.zones import grid_cell, planar_distance, spread
 
-# 64° cells cover the globe with 4 x 6; each further level has up to 64 children per cell.
-LEVELS = (64.0, 8.0, 1.0, 0.125)
+# Each level has up to 64 children per cell of the one before.
+LEVELS = (64.0, 8.0, 1.0, 0.125, 0.015625)
 
-# Index range of the top cells. Coordinates off the globe count to the outermost cell, so the top
-# level has at most 24 cells whatever the data; extents are measured, so results do not change.
-TOP_ROWS, TOP_COLUMNS = (-2, 1), (-3, 2)
+# Down to this size a level has at most 181 x 361 cells, which is a small table to broadcast.
+BROADCAST_SIZE = 1.0
+
+
+def globe_cell(lat: str, lon: str, size: float) -> tuple[Column, Column]:
+    """Cell of a coordinate. Coordinates off the globe count to the outermost cells, so the number
+    of cells is bounded whatever the data; cell extents are measured, so results do not change."""
+
+    def within(name: str, limit: float) -> Column:
+        outer = F.floor(F.lit(-limit) / size), F.floor(F.lit(limit) / size)
+        return F.greatest(F.least(grid_cell(name, size), outer[1]), outer[0])
+
+    return within(lat, 90.0), within(lon, 180.0)
 
 
 def _norm(dy: Column, dx: Column) -> Column:
     return F.sqrt(dy * dy + dx * dx)
 
 
-def _top(cell: Column, limits: tuple[int, int]) -> Column:
-    return F.greatest(F.least(cell, F.lit(limits[1])), F.lit(limits[0]))
+def _bounds(south: Column, north: Column, west: Column, east: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Between the query box and an extent that holds the real place (lat, lon): no place of the extent
+    is nearer to any point of the box than the first; none of these points is further from the real
+    place than the second."""
+    q_south, q_north, q_west, q_east = [F.col(c) for c in ("q_south", "q_north", "q_west", "q_east")]
+    low = _norm(
+        F.greatest(south - q_north, q_south - north, F.lit(0.0)), F.greatest(west - q_east, q_west - east, F.lit(0.0))
+    )
+    high = _norm(
+        F.greatest(F.abs(lat - q_south), F.abs(lat - q_north)), F.greatest(F.abs(lon - q_west), F.abs(lon - q_east))
+    )
+    return low, high
 
 
 def _pyramid(points: DataFrame, levels: Sequence[float]) -> list[DataFrame]:
     """Occupied cells per level, coarsest first: own and parent cell, extent, one real place."""
     out = []
     for i, size in enumerate(levels):
-        cy, cx = grid_cell("reclat", size), grid_cell("reclong", size)
-        if i == 0:
-            cy, cx = _top(cy, TOP_ROWS), _top(cx, TOP_COLUMNS)
+        cy, cx = globe_cell("reclat", "reclong", size)
         level = points.groupBy(cy.alias("cy"), cx.alias("cx")).agg(
             F.min("reclat").alias("south"),
             F.max("reclat").alias("north"),
@@ -50,32 +68,24 @@ def _pyramid(points: DataFrame, levels: Sequence[float]) -> list[DataFrame]:
         )
         if i:
             ratio = levels[i - 1] / size
-            py, px = F.floor(F.col("cy") / ratio), F.floor(F.col("cx") / ratio)
-            if i == 1:
-                py, px = _top(py, TOP_ROWS), _top(px, TOP_COLUMNS)
-            level = level.withColumn("py", py).withColumn("px", px)
-        out.append(level)
+            level = level.withColumns({"py": F.floor(F.col("cy") / ratio), "px": F.floor(F.col("cx") / ratio)})
+        out.append(F.broadcast(level) if size >= BROADCAST_SIZE else level)
     return out
 
 
 def candidate_cells(points: DataFrame, queries: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
     """For each query box (qid, q_south, q_north, q_west, q_east): the finest cells (cy, cx) that can
     hold the nearest place of some point in the box. A point query is a box without extent."""
-    box = ["qid", "q_south", "q_north", "q_west", "q_east"]
-    best = Window.partitionBy("qid")
-    zero = F.lit(0.0)
-    low = _norm(
-        F.greatest(F.col("south") - F.col("q_north"), F.col("q_south") - F.col("north"), zero),
-        F.greatest(F.col("west") - F.col("q_east"), F.col("q_west") - F.col("east"), zero),
-    )
-    high = _norm(
-        F.greatest(F.abs(F.col("real.reclat") - F.col("q_south")), F.abs(F.col("real.reclat") - F.col("q_north"))),
-        F.greatest(F.abs(F.col("real.reclong") - F.col("q_west")), F.abs(F.col("real.reclong") - F.col("q_east"))),
-    )
-    kept = queries.select(*box)
+    box = ["deal", "qid", "q_south", "q_north", "q_west", "q_east"]
+    best = Window.partitionBy("deal", "qid")
+    extent = [F.col(c) for c in ("south", "north", "west", "east")]
+    low, high = _bounds(*extent, F.col("real.reclat"), F.col("real.reclong"))
+    # Dealt out once by a hash of the query; as long as the levels are small enough to be broadcast,
+    # no join or window below moves a row again.
+    kept = spread(queries.withColumn("deal", F.xxhash64("qid")).select(*box), "deal")
     for i, level in enumerate(_pyramid(points, levels)):
         if i == 0:
-            # At most 24 rows, listed for every query.
+            # At most 4 x 6 rows, listed for every query.
             top = level.agg(F.collect_list(F.struct("cy", "cx", "south", "north", "west", "east", "real"))).scalar()
             seen = kept.withColumn("top", F.explode(top)).select(*box, "top.*")
         else:
@@ -107,7 +117,8 @@ def nearest_distance(obs: DataFrame, locations: DataFrame, levels: Sequence[floa
         locations.select(F.col("location_id").alias("qid"), "lat", "lon"), "qid"
     )
     size = levels[-1]
-    located = coordinates.withColumn("cy", grid_cell("reclat", size)).withColumn("cx", grid_cell("reclong", size))
+    cy, cx = globe_cell("reclat", "reclong", size)
+    located = coordinates.withColumns({"cy": cy, "cx": cx})
     return (
         cells.join(located, ["cy", "cx"])
         .groupBy(F.col("qid").alias("location_id"))
@@ -115,38 +126,64 @@ def nearest_distance(obs: DataFrame, locations: DataFrame, levels: Sequence[floa
     )
 
 
-def nearest_place(obs: DataFrame, gazetteer: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
-    """The nearest place of every distinct observed coordinate; ties go to the lower place_id.
-
-    One row per coordinate: reclat, reclong, n (records there), place_id, country, distance.
-    The descent runs once per occupied cell of observations, not per coordinate; a coordinate
-    then only meets the places that can be nearest for its cell.
-    """
-    size = levels[-1]
-    coordinates = obs.groupBy("reclat", "reclong").agg(F.count(F.lit(1)).alias("n"))
-    coordinates = coordinates.withColumn(
-        "qid", F.struct(grid_cell("reclat", size).alias("y"), grid_cell("reclong", size).alias("x"))
-    )
-    boxes = coordinates.groupBy("qid").agg(
+def _boxes(coordinates: DataFrame, size: float) -> DataFrame:
+    """Occupied cells of observed coordinates with their extent, as query boxes."""
+    return coordinates.groupBy(_box_id(size).alias("qid")).agg(
         F.min("reclat").alias("q_south"),
         F.max("reclat").alias("q_north"),
         F.min("reclong").alias("q_west"),
         F.max("reclong").alias("q_east"),
     )
-    places = gazetteer.select("place_id", "country", F.col("lat").alias("reclat"), F.col("lon").alias("reclong"))
-    located = places.withColumn("cy", grid_cell("reclat", size)).withColumn("cx", grid_cell("reclong", size))
-    near = (
-        candidate_cells(places.select("reclat", "reclong"), boxes, levels)
-        .join(located.withColumnsRenamed({"reclat": "lat", "reclong": "lon"}), ["cy", "cx"])
+
+
+def _box_id(size: float) -> Column:
+    y, x = globe_cell("reclat", "reclong", size)
+    return F.struct(y.alias("y"), x.alias("x"))
+
+
+def _possible(pairs: DataFrame) -> DataFrame:
+    """Of (box, place) pairs, those in which the place can be the nearest of some point in the box."""
+    low, high = _bounds(F.col("lat"), F.col("lat"), F.col("lon"), F.col("lon"), F.col("lat"), F.col("lon"))
+    return (
+        pairs.withColumn("low", low)
+        .withColumn("best", F.min(high).over(Window.partitionBy("qid")))
+        .filter(F.col("low") <= F.col("best"))
         .select("qid", "place_id", "country", "lat", "lon")
     )
-    best = F.min(
-        F.struct(
-            planar_distance(F.col("lat"), F.col("lon")).alias("distance"), F.col("place_id"), F.col("country")
-        )
-    )
+
+
+# Observed coordinates are grouped into boxes of the first size (at most one per square degree of
+# the globe) for the descent, then into boxes of the second size for the final choice of places.
+BOX_SIZES = (1.0, 0.125)
+
+
+def nearest_place(obs: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """The nearest place of every distinct observed coordinate; ties go to the lower place_id.
+
+    One row per coordinate: reclat, reclong, n (records there), place_id, country, distance.
+    The descent runs once per square degree that holds observations, not per coordinate. Its
+    places are narrowed to those of each eighth of a degree, and a coordinate only meets these.
+    """
+    levels = LEVELS[: LEVELS.index(BOX_SIZES[0]) + 1]
+    coordinates = obs.groupBy("reclat", "reclong").agg(F.count(F.lit(1)).alias("n"))
+    places = gazetteer.select("place_id", "country", "lat", "lon")
+    cy, cx = globe_cell("lat", "lon", levels[-1])
+    located = places.withColumns({"cy": cy, "cx": cx})
+
+    wide, narrow = _boxes(coordinates, BOX_SIZES[0]), _boxes(coordinates, BOX_SIZES[1])
+    points = places.select(F.col("lat").alias("reclat"), F.col("lon").alias("reclong"))
+    around = _possible(
+        candidate_cells(points, wide, levels).join(located, ["cy", "cx"]).join(wide, "qid")
+    ).withColumnRenamed("qid", "wide")
+    ratio = BOX_SIZES[0] / BOX_SIZES[1]
+    parent = F.struct(F.floor(F.col("qid.y") / ratio).alias("y"), F.floor(F.col("qid.x") / ratio).alias("x"))
+    near = _possible(narrow.withColumn("wide", parent).join(around, "wide"))
+
+    distance = planar_distance(F.col("lat"), F.col("lon"))
+    best = F.min(F.struct(distance.alias("distance"), F.col("place_id"), F.col("country")))
     return (
-        coordinates.join(near, "qid")
+        coordinates.withColumn("qid", _box_id(BOX_SIZES[1]))
+        .join(near, "qid")
         .groupBy("reclat", "reclong", "n")
         .agg(best.alias("best"))
         .select("reclat", "reclong", "n", "best.place_id", "best.country", "best.distance")

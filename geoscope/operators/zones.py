@@ -63,6 +63,16 @@ def in_zone(shape: str) -> Column:
     return planar_distance(F.col("lat"), F.col("lon")) <= F.col("radius")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Deal out rows that are few but stand for much work over as many tasks as a shuffle has.
+
+    A given number of partitions keeps AQE, which only sees bytes, from merging them again, and
+    later aggregations by the same keys find their rows already in place.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys)
+
+
 def zone_cells(zones: DataFrame, size: float, shape: str) -> DataFrame:
     """One row per zone and grid cell it touches, with ``whole`` = the cell lies inside the zone."""
 
@@ -75,7 +85,7 @@ def zone_cells(zones: DataFrame, size: float, shape: str) -> DataFrame:
         c = F.col(centre)
         return F.greatest(low - c, c - high, F.lit(0.0)), F.greatest(F.abs(low - c), F.abs(high - c))
 
-    cells = zones.withColumn("cy", touched("lat")).withColumn("cx", touched("lon"))
+    cells = spread(zones, "location_id").withColumn("cy", touched("lat")).withColumn("cx", touched("lon"))
     (near_y, far_y), (near_x, far_x) = gaps("lat", "cy"), gaps("lon", "cx")
     if shape == "box":
         far = F.greatest(far_y, far_x)
