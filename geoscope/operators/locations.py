@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from geoscope.functions import clamp, confidence_tier, reliability_tier, share
 from geoscope.operators.nearest import nearest_distance
 from geoscope.operators.zones import (
+    DEFAULT_CELL,
     MEASURES,
+    cell_for,
     coordinate_counts,
     coordinate_measures,
     with_radius,
@@ -32,10 +34,21 @@ REGION_FACTOR = 3.0
 RELIABILITY_RADIUS = 5.0
 
 
-def _zone_n(obs: DataFrame, locations: DataFrame, radius=None, shape: str = "radius", name: str = "n") -> DataFrame:
+# Larger zones are covered with larger cells.
+WIDE_CELL = 2.0
+
+
+def _zone_n(
+    obs: DataFrame,
+    locations: DataFrame,
+    radius: float | Column | None = None,
+    shape: str = "radius",
+    name: str = "n",
+    cell: float = DEFAULT_CELL,
+) -> DataFrame:
     """(location_id, count) for every location, zero included."""
     zones = with_radius(locations.select("location_id", "lat", "lon", *_has(locations, "radius")), radius)
-    counts = zone_summary(coordinate_counts(obs), zones, shape=shape)
+    counts = zone_summary(coordinate_counts(obs), zones, shape=shape, cell=cell)
     return (
         locations.select("location_id")
         .join(counts, "location_id", "left")
@@ -67,7 +80,7 @@ def proximity(d_min: Column) -> Column:
 
 def reliability_index(obs: DataFrame, locations: DataFrame) -> DataFrame:
     """0-100: nearness of the closest record (40 %), records within 5° (40 %), land (20 %, always)."""
-    near = _zone_n(obs, locations.drop("radius"), RELIABILITY_RADIUS, name="n_near")
+    near = _zone_n(obs, locations.drop("radius"), RELIABILITY_RADIUS, name="n_near", cell=cell_for(RELIABILITY_RADIUS))
     distances = nearest_distance(obs, locations)
     closeness = F.greatest(F.lit(0.0), 100 - F.col("d_min") * 10)
     density = F.least(F.lit(100.0), F.col("n_near") * 2.0)
@@ -153,7 +166,7 @@ def zone_statistics(obs: DataFrame, locations: DataFrame, as_of_year: int, shape
         shape=shape,
     )
     medians = zone_median(obs, locations, "mass_g", shape).withColumnRenamed("median", "median_mass")
-    region = _zone_n(obs, locations, F.col("radius") * REGION_FACTOR, shape, name="n_region")
+    region = _zone_n(obs, locations, F.col("radius") * REGION_FACTOR, shape, "n_region", WIDE_CELL)
     main = (
         _ranked_classes(zone_class_counts(obs, locations, shape))
         .filter(F.col("rank") <= 3)
@@ -219,27 +232,14 @@ def region_comparison(obs: DataFrame, locations: DataFrame, shape: str = "box",
     """
     if units not in ("mixed", "km2"):
         raise ValueError(f"unknown units {units}")
-    # One pass over both radii: the zone key tells them apart.
-    scopes = F.array(
-        F.struct(F.lit("local").alias("scope"), F.lit(1.0).alias("times")),
-        F.struct(F.lit("region").alias("scope"), F.lit(REGION_FACTOR).alias("times")),
-    )
-    zones = (
-        locations.select("location_id", "lat", "lon", "radius", F.explode(scopes).alias("s"))
-        .withColumn("radius", F.col("radius") * F.col("s.times"))
-        .withColumn("scope", F.col("s.scope"))
-    )
-    counts = (
-        zone_summary(coordinate_counts(obs), zones, zone_keys=["location_id", "scope"], shape=shape)
-        .groupBy("location_id")
-        .agg(*[F.sum(F.when(F.col("scope") == s, F.col("n"))).alias(f"n_{s}") for s in ("local", "region")])
-    )
+    local = _zone_n(obs, locations, shape=shape, name="n_local")
+    region = _zone_n(obs, locations, F.col("radius") * REGION_FACTOR, shape, "n_region", WIDE_CELL)
     per_degree = KM_PER_DEGREE**2 if units == "km2" else 1.0
     area = math.pi * F.col("radius") * F.col("radius") * per_degree
     rows = (
         locations.select("location_id", "radius")
-        .join(counts, "location_id", "left")
-        .fillna(0, subset=["n_local", "n_region"])
+        .join(local, "location_id")
+        .join(region, "location_id")
         .withColumn("n_global", _catalogue(obs)["n"])
     )
     if shape == "box":

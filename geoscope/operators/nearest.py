@@ -11,12 +11,13 @@ the final distance, so no true nearest place, ties included, is ever dropped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoscope.operators.zones import grid_cell, planar_distance, spread
+from geoscope.operators.zones import coordinate_counts, grid_cell, located, planar_distance, spread
 
 # Each level has up to 64 children per cell of the one before.
 LEVELS = (64.0, 8.0, 1.0, 0.125, 0.015625)
@@ -30,8 +31,8 @@ def globe_cell(lat: str, lon: str, size: float) -> tuple[Column, Column]:
     of cells is bounded whatever the data; cell extents are measured, so results do not change."""
 
     def within(name: str, limit: float) -> Column:
-        outer = F.floor(F.lit(-limit) / size), F.floor(F.lit(limit) / size)
-        return F.greatest(F.least(grid_cell(name, size), outer[1]), outer[0])
+        low, high = math.floor(-limit / size), math.floor(limit / size)
+        return F.greatest(F.least(grid_cell(name, size), F.lit(high)), F.lit(low))
 
     return within(lat, 90.0), within(lon, 180.0)
 
@@ -55,22 +56,32 @@ def _bounds(south: Column, north: Column, west: Column, east: Column, lat: Colum
 
 
 def _pyramid(points: DataFrame, levels: Sequence[float]) -> list[DataFrame]:
-    """Occupied cells per level, coarsest first: own and parent cell, extent, one real place."""
+    """Occupied cells per level, coarsest first: own and parent cell, extent, one real place.
+
+    Built from the finest level upwards, so the points are read once.
+    """
+    cy, cx = globe_cell("reclat", "reclong", levels[-1])
+    level = points.groupBy(cy.alias("cy"), cx.alias("cx")).agg(
+        F.min("reclat").alias("south"),
+        F.max("reclat").alias("north"),
+        F.min("reclong").alias("west"),
+        F.max("reclong").alias("east"),
+        F.min(F.struct("reclat", "reclong")).alias("real"),
+    )
     out = []
-    for i, size in enumerate(levels):
-        cy, cx = globe_cell("reclat", "reclong", size)
-        level = points.groupBy(cy.alias("cy"), cx.alias("cx")).agg(
-            F.min("reclat").alias("south"),
-            F.max("reclat").alias("north"),
-            F.min("reclong").alias("west"),
-            F.max("reclong").alias("east"),
-            F.min(F.struct("reclat", "reclong")).alias("real"),
-        )
-        if i:
-            ratio = levels[i - 1] / size
-            level = level.withColumns({"py": F.floor(F.col("cy") / ratio), "px": F.floor(F.col("cx") / ratio)})
+    for size, above in zip(reversed(levels), [*reversed(levels[:-1]), None]):
+        if above:
+            level = level.withColumns({"py": grid_cell("cy", above / size), "px": grid_cell("cx", above / size)})
         out.append(F.broadcast(level) if size >= BROADCAST_SIZE else level)
-    return out
+        if above:
+            level = level.groupBy(F.col("py").alias("cy"), F.col("px").alias("cx")).agg(
+                F.min("south").alias("south"),
+                F.max("north").alias("north"),
+                F.min("west").alias("west"),
+                F.max("east").alias("east"),
+                F.min("real").alias("real"),
+            )
+    return out[::-1]
 
 
 def candidate_cells(points: DataFrame, queries: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
@@ -105,7 +116,7 @@ def nearest_distance(obs: DataFrame, locations: DataFrame, levels: Sequence[floa
     Observations collapse to distinct coordinates first. With an empty catalogue no location
     has a nearest observation and the result is empty.
     """
-    coordinates = obs.select("reclat", "reclong").distinct()
+    coordinates = located(obs).select("reclat", "reclong").distinct()
     points = locations.select(
         F.col("location_id").alias("qid"),
         F.col("lat").alias("q_south"),
@@ -118,9 +129,9 @@ def nearest_distance(obs: DataFrame, locations: DataFrame, levels: Sequence[floa
     )
     size = levels[-1]
     cy, cx = globe_cell("reclat", "reclong", size)
-    located = coordinates.withColumns({"cy": cy, "cx": cx})
+    single = coordinates.withColumns({"cy": cy, "cx": cx})
     return (
-        cells.join(located, ["cy", "cx"])
+        cells.join(single, ["cy", "cx"])
         .groupBy(F.col("qid").alias("location_id"))
         .agg(F.min(planar_distance(F.col("lat"), F.col("lon"))).alias("d_min"))
     )
@@ -165,18 +176,18 @@ def nearest_place(obs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     places are narrowed to those of each eighth of a degree, and a coordinate only meets these.
     """
     levels = LEVELS[: LEVELS.index(BOX_SIZES[0]) + 1]
-    coordinates = obs.groupBy("reclat", "reclong").agg(F.count(F.lit(1)).alias("n"))
-    places = gazetteer.select("place_id", "country", "lat", "lon")
+    coordinates = coordinate_counts(obs)
+    places = gazetteer.select("place_id", "country", "lat", "lon").dropna(subset=["lat", "lon"])
     cy, cx = globe_cell("lat", "lon", levels[-1])
-    located = places.withColumns({"cy": cy, "cx": cx})
+    known = places.withColumns({"cy": cy, "cx": cx})
 
     wide, narrow = _boxes(coordinates, BOX_SIZES[0]), _boxes(coordinates, BOX_SIZES[1])
     points = places.select(F.col("lat").alias("reclat"), F.col("lon").alias("reclong"))
     around = _possible(
-        candidate_cells(points, wide, levels).join(located, ["cy", "cx"]).join(wide, "qid")
+        candidate_cells(points, wide, levels).join(known, ["cy", "cx"]).join(wide, "qid")
     ).withColumnRenamed("qid", "wide")
     ratio = BOX_SIZES[0] / BOX_SIZES[1]
-    parent = F.struct(F.floor(F.col("qid.y") / ratio).alias("y"), F.floor(F.col("qid.x") / ratio).alias("x"))
+    parent = F.struct(grid_cell("qid.y", ratio).alias("y"), grid_cell("qid.x", ratio).alias("x"))
     near = _possible(narrow.withColumn("wide", parent).join(around, "wide"))
 
     distance = planar_distance(F.col("lat"), F.col("lon"))

@@ -22,10 +22,14 @@ COARSE_BITS, FINE_BITS = 12, 30
 
 
 def bucket(value: Column | str, bits: int) -> Column:
-    """Order-preserving bucket number: equal values share it, larger values never get a smaller one."""
+    """Order-preserving bucket number: equal values share it, larger values never get a smaller one.
+
+    For values that are not null. It is a join key and marked as never null, so that Catalyst adds
+    no null tests to one branch of a shared plan only.
+    """
     v = F.col(value) if isinstance(value, str) else value
     scale = F.signum(v) * F.log1p(F.abs(v))
-    return F.floor(scale * float(2**bits))
+    return F.coalesce(F.floor(scale * float(2**bits)), F.lit(0).cast("long"))
 
 
 def rank_buckets(hist: DataFrame, keys: Sequence[str], bucket_col: str, parent: str | None = None) -> DataFrame:

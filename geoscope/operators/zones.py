@@ -11,6 +11,10 @@ loop over all pairs, so zones are laid on a grid and joined by grid cell:
   only cells on the rim are tested point by point. Neither a heap of records on one spot nor a
   crowded cell is ever multiplied by the zones that cover it.
 
+Zone cells carry a merge hint: Spark estimates an exploded table by its small input and would
+broadcast it, whatever it has grown to. A shuffled join is right for any number of zones, and
+adaptive skew handling may split its partitions.
+
 Coordinates, not records, are what the rim join sees, so what can still be uneven is the number
 of *different* coordinates per cell; adaptive skew handling splits such partitions.
 """
@@ -43,8 +47,18 @@ def cell_for(radius: float) -> float:
 
 
 def grid_cell(value: Column | str, size: float) -> Column:
+    """Cell number of a coordinate that is not null, for a size that is a power of two.
+
+    Written as a product and marked as never null, because join keys that look nullable make
+    Catalyst push differing null tests into otherwise equal branches, which then are not shared.
+    """
     v = F.col(value) if isinstance(value, str) else value
-    return F.floor(v / size)
+    return F.coalesce(F.floor(v * (1.0 / size)), F.lit(0).cast("long"))
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """Rows that have a coordinate."""
+    return rows.filter(F.col("reclat").isNotNull() & F.col("reclong").isNotNull())
 
 
 def planar_distance(lat: Column, lon: Column) -> Column:
@@ -97,7 +111,7 @@ def zone_cells(zones: DataFrame, size: float, shape: str) -> DataFrame:
 
 
 def with_cell(points: DataFrame, size: float) -> DataFrame:
-    return points.withColumn("cy", grid_cell("reclat", size)).withColumn("cx", grid_cell("reclong", size))
+    return located(points).withColumns({"cy": grid_cell("reclat", size), "cx": grid_cell("reclong", size)})
 
 
 def within_zone(
@@ -108,7 +122,7 @@ def within_zone(
     cells = zone_cells(zones.select("location_id", "lat", "lon", "radius", *keep), cell, shape).drop("whole")
     return (
         with_cell(obs, cell)
-        .join(cells, ["cy", "cx"])
+        .join(cells.hint("merge"), ["cy", "cx"])
         .filter(in_zone(shape))
         .withColumn("distance", planar_distance(F.col("lat"), F.col("lon")))
         .select("location_id", *keep, *obs.columns, "distance")
@@ -119,7 +133,7 @@ def within_points(points: DataFrame, zones: DataFrame, reach: Column, cell: floa
     """(zone, coordinate) pairs no further apart than ``reach``; zone and point columns side by side."""
     wide = zones.withColumn("_own", F.col("radius")).withColumn("radius", reach + SLACK)
     cells = zone_cells(wide, cell, "radius").drop("whole")
-    pairs = with_cell(points, cell).join(cells, ["cy", "cx"]).filter(in_zone("radius"))
+    pairs = with_cell(points, cell).join(cells.hint("merge"), ["cy", "cx"]).filter(in_zone("radius"))
     return pairs.withColumn("radius", F.col("_own")).drop("_own", "cy", "cx")
 
 
@@ -161,14 +175,14 @@ MEASURES = {
 
 def coordinate_counts(obs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per coordinate (and ``by``): the number of records. Partial counts form map-side."""
-    return obs.groupBy("reclat", "reclong", *by).agg(F.count(F.lit(1)).alias("n"))
+    return located(obs).groupBy("reclat", "reclong", *by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def coordinate_measures(obs: DataFrame) -> DataFrame:
     """One row per coordinate with everything the location scores need."""
     n = F.count(F.lit(1))
     year = F.col("year").cast("double")
-    grouped = obs.groupBy("reclat", "reclong").agg(
+    grouped = located(obs).groupBy("reclat", "reclong").agg(
         n.alias("n"),
         F.sum("mass_g").alias("mass_sum"),
         F.sum(F.log10("mass_g")).alias("log_sum"),
@@ -211,13 +225,18 @@ def zone_summary(
     zone_keys, by, match = list(zone_keys), list(by), list(match)
     wanted = list(dict.fromkeys([*zone_keys, "lat", "lon", "radius", *match]))
     cells = zone_cells(zones.select(*wanted), cell, shape)
-    located = with_cell(points, cell)
-    per_cell = located.groupBy("cy", "cx", *by).agg(*merged(measures))
-    key = ["cy", "cx", *match]
-    outputs = list(dict.fromkeys([*zone_keys, *by, *measures]))
-    whole = cells.filter("whole").join(per_cell, key).select(*outputs)
-    rim = cells.filter(~F.col("whole")).join(located, key).filter(in_zone(shape)).select(*outputs)
-    return whole.unionByName(rim).groupBy(*dict.fromkeys([*zone_keys, *by])).agg(*merged(measures))
+    single = with_cell(points, cell)
+    nowhere = F.lit(None).cast("double")
+    per_cell = (
+        single.groupBy("cy", "cx", *by)
+        .agg(*merged(measures))
+        .withColumns({"whole": F.lit(True), "reclat": nowhere, "reclong": nowhere})
+    )
+    # Ready-made cell rows and single coordinates side by side: a covered cell meets the former, a
+    # rim cell the latter, in one join over one list of cells.
+    offered = single.select(*per_cell.drop("whole").columns).withColumn("whole", F.lit(False)).unionByName(per_cell)
+    met = cells.hint("merge").join(offered, ["cy", "cx", "whole", *match]).filter(F.col("whole") | in_zone(shape))
+    return met.groupBy(*dict.fromkeys([*zone_keys, *by])).agg(*merged(measures))
 
 
 # Value distributions within zones ------------------------------------------------------------
@@ -228,7 +247,7 @@ ZONE_COARSE_BITS, ZONE_FINE_BITS = 8, 30
 
 def _bucketed(obs: DataFrame, value: str) -> DataFrame:
     """One row per coordinate and distinct value, with its coarse bucket."""
-    rows = obs.filter(F.col(value).isNotNull()).select("reclat", "reclong", F.col(value).alias("value"))
+    rows = located(obs).filter(F.col(value).isNotNull()).select("reclat", "reclong", F.col(value).alias("value"))
     counted = rows.groupBy("reclat", "reclong", "value").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("b1", bucket("value", ZONE_COARSE_BITS))
 
