@@ -135,7 +135,11 @@ def correlation_matrix(
     source = obs.filter(F.col("year") > 0) if exclude_unknown_year else obs
     pairs = list(combinations(columns, 2))
     one = source.agg(
-        *[F.corr(x, y).alias(f"{x}|{y}") for x, y in pairs],
+        # Spelled out, because ``corr`` itself fails on a constant column under ANSI arithmetic.
+        *[
+            F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"{x}|{y}")
+            for x, y in pairs
+        ],
         *[F.when(F.max(c) > F.min(c), F.lit(1.0)).alias(f"{c}|{c}") for c in columns],
     )
     cells = []
@@ -143,7 +147,7 @@ def correlation_matrix(
         for y in columns:
             name = f"{x}|{y}" if x == y or (x, y) in pairs else f"{y}|{x}"
             cells.append(F.struct(F.lit(x).alias("var_x"), F.lit(y).alias("var_y"), F.col(name).alias("corr")))
-    return one.select(F.inline(F.array(*cells))).withColumn("corr", F.nanvl("corr", F.lit(None).cast("double")))
+    return one.select(F.inline(F.array(*cells)))
 
 
 def density_grid(obs: DataFrame, cell: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -67,6 +67,7 @@ def middle_values(values: DataFrame, keys: Sequence[str], value: str, parent: st
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, few_keys: bool = True) -> DataFrame:
     """Exact median of ``value`` per group: (keys, median). Nulls are ignored, empty groups absent.
+    Without keys there is always one row, with a null median when there are no values.
 
     ``few_keys`` states that the number of groups has a proven small bound (years, decades,
     none), so the table of at most two target buckets per group is sent to every executor and

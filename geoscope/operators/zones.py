@@ -99,7 +99,9 @@ def zone_cells(zones: DataFrame, size: float, shape: str) -> DataFrame:
         c = F.col(centre)
         return F.greatest(low - c, c - high, F.lit(0.0)), F.greatest(F.abs(low - c), F.abs(high - c))
 
-    cells = spread(zones, "location_id").withColumn("cy", touched("lat")).withColumn("cx", touched("lon"))
+    # Dropping nulls here, where every branch begins, keeps Catalyst from adding the same test to some.
+    usable = zones.dropna(subset=["location_id", "lat", "lon", "radius"])
+    cells = spread(usable, "location_id").withColumn("cy", touched("lat")).withColumn("cx", touched("lon"))
     (near_y, far_y), (near_x, far_x) = gaps("lat", "cy"), gaps("lon", "cx")
     if shape == "box":
         far = F.greatest(far_y, far_x)
