@@ -39,9 +39,9 @@ def _rows(columns, data):
     return [columns[i] for i in order], sorted((tuple(r[i] for i in order) for r in data), key=_key)
 
 
-def difference(name: str, spark, con, sf_dir: str) -> tuple[str | None, int]:
+def difference(name: str, spark, con, sf_dir: str, result=None) -> tuple[str | None, int]:
     """What differs between the query and its SQL (None when equal), and the number of rows."""
-    result = entry.queries()[name](spark, sf_dir)
+    result = result or entry.queries()[name](spark, sf_dir)
     columns, got = _rows(result.columns, result.collect())
     sql = entry.oracle_sql().get(name)
     if sql is None:
