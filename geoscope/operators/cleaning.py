@@ -27,16 +27,19 @@ def coerce_numeric(raw: DataFrame) -> DataFrame:
         "fall",
         "reclat",
         "reclong",
-        _finite("mass_raw").alias("mass_g"),
-        _finite("year_raw").alias("year_num"),
+        _number("mass_raw").alias("mass_g"),
+        _number("year_raw").alias("year_num"),
     )
 
 
-def _finite(name: str):
-    """Numeric value of a text column. NaN counts as missing, and so do the Java-only spellings
-    ``1d`` / ``1f`` that a cast would accept."""
-    value = F.col(name).try_cast("double")
-    return F.when(~F.isnan(value) & ~F.col(name).rlike(r"[0-9.][dDfF]\s*$"), value)
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
+
+
+def _number(name: str):
+    """Numeric value of a text column, null when it is not written as a number. The pattern keeps
+    out what a cast alone would accept: NaN, and the Java-only spellings ``1d`` / ``1f``."""
+    text = F.col(name)
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def _null_island():
@@ -152,6 +155,6 @@ def fill_by_type(df: DataFrame, text_fill: str = "Non spécifié", coerce_text:
     filled = df.fillna(text_fill, subset=text).fillna(0, subset=numeric)
     if not coerce_text or not text:
         return filled
-    found = df.agg(*[F.max(_finite(c).isNotNull()).alias(c) for c in text]).first()
-    turned = {c: F.coalesce(_finite(c), F.lit(0.0)) for c in text if found[c]}
+    found = df.agg(*[F.max(_number(c).isNotNull()).alias(c) for c in text]).first()
+    turned = {c: F.coalesce(_number(c), F.lit(0.0)) for c in text if found[c]}
     return filled.withColumns(turned) if turned else filled

@@ -167,6 +167,9 @@ def _possible(pairs: DataFrame) -> DataFrame:
 # the globe) for the descent, then into boxes of the second size for the final choice of places.
 BOX_SIZES = (1.0, 0.125)
 
+# Boxes are many, so their descent takes smaller steps: fewer children are looked at per cell kept.
+PLACE_LEVELS = (64.0, 16.0, 4.0, 1.0)
+
 
 def nearest_place(obs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """The nearest place of every distinct observed coordinate; ties go to the lower place_id.
@@ -175,7 +178,7 @@ def nearest_place(obs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     The descent runs once per square degree that holds observations, not per coordinate. Its
     places are narrowed to those of each eighth of a degree, and a coordinate only meets these.
     """
-    levels = LEVELS[: LEVELS.index(BOX_SIZES[0]) + 1]
+    levels = PLACE_LEVELS
     coordinates = coordinate_counts(obs)
     places = gazetteer.select("place_id", "country", "lat", "lon").dropna(subset=["lat", "lon"])
     cy, cx = globe_cell("lat", "lon", levels[-1])
