@@ -17,14 +17,17 @@ from geoscope.plans import derived
 from geoscope.sources import read_obs, write_obs
 
 _staged: dict[tuple[str, str], str] = {}
+_local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="geoscope-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="geoscope-")
+        folder = _local[app]
     return folder.rstrip("/")
 
 
