@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geoscope.llm import bpe
+from geoscope.llm import bpe, files, packing, simhash, token_files
 
 Build = Callable[[SparkSession, str], DataFrame]
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
+END_ID = 2
+SHINGLE_WORDS, SIMHASH_DISTANCE = 3, 3
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,5 +27,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES: dict[str, Build] = {f.__name__: f for f in (op3_bpe,)}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, END_ID, 4096)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = files.new_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), out, WORD_BPE, END_ID)
+    return token_files.digests(token_files.read(spark, out))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"), SHINGLE_WORDS, SIMHASH_DISTANCE)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Build] = {f.__name__: f for f in (op2_simhash, op3_bpe, op5_packing, op10_token_files)}
 ORACLES: dict[str, str] = {}
