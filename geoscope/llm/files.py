@@ -34,6 +34,14 @@ def drop(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Spark send Python workers at most so many rows at a time, as a row can be a long text (Spark
+    bounds a batch's bytes by itself)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows as a Parquet table of their own, and where it lies."""
     path = new_path(df.sparkSession, name)

@@ -20,6 +20,7 @@ SHINGLE_WORDS, SIMHASH_DISTANCE = 3, 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    files.bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

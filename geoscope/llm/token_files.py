@@ -41,7 +41,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, before = word_tokens.load(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in in_parts(batch, "text", 16 << 20):
+            for rows in in_parts(batch, "text", 8 << 20):
                 ids, borders = coder.encode(rows.column("text"))
                 n = rows.num_rows
                 flat = np.insert(ids, borders[1:], end_id).astype(np.int32)
@@ -79,7 +79,7 @@ def read(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each range
     to_here = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     firsts = totals.select("part", F.coalesce(to_here, F.lit(0)).alias("first"))
-    joined = rows.join(firsts, "part")
+    joined = rows.join(F.broadcast(firsts), "part")  # at most spark.sql.shuffle.partitions rows of two numbers
     return joined.select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 

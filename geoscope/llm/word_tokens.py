@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 
 
 class WordCoder:
