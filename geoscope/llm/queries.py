@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoscope.llm import bpe, files, packing, simhash, token_files
+from geoscope.llm import bpe, files, licenses, packing, simhash, token_files, toxicity
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -43,5 +43,86 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Build] = {f.__name__: f for f in (op2_simhash, op3_bpe, op5_packing, op10_token_files)}
-ORACLES: dict[str, str] = {}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.is_held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+#: Phrases and labels of the base part.
+PHRASES = {
+    "gnu general public license": "gpl",
+    "apache license": "apache",
+    "cc by": "cc-by",
+    "mit license": "mit",
+}
+TEMPLATES = [
+    licenses.Template("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    licenses.Template(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met:",
+    ),
+    licenses.Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    licenses.Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    licenses.Template(
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation.",
+    ),
+    licenses.Template(
+        "mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."
+    ),
+    licenses.Template("mit", "Released under the MIT License."),
+    licenses.Template(
+        "mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+    ),
+]
+CONTAINMENT = 0.85
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), PHRASES, TEMPLATES, CONTAINMENT)
+
+
+def _op8_sql() -> str:
+    """The same by plain counting: every line against every template."""
+    breaks = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = f"translate(coalesce({{}}, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+    spelled = f"trim(regexp_replace({lower}, '{breaks}', ' ', 'g'))"
+    values = ", ".join(
+        f"({n}, '{t.label}', {words}, {licenses.needed(len(words), CONTAINMENT)})"
+        for n, t in enumerate(TEMPLATES)
+        for words in [licenses.template_words(t)]
+    )
+    places = " UNION ALL ".join(
+        f"""SELECT rid, '{label}' AS label, i - 1 AS pos FROM split, unnest(range(1, len(words) + 1)) AS u(i)
+        WHERE words[i : i + {len(phrase.split()) - 1}] = {phrase.split()}"""
+        for phrase, label in PHRASES.items()
+    )
+    return f"""
+    WITH numbered AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+    spelled AS (SELECT rid, doc_id, {spelled.format("text")} AS s FROM numbered),
+    split AS (SELECT rid, doc_id, CASE WHEN s = '' THEN [] ELSE string_split(s, ' ') END AS words FROM spelled),
+    places AS ({places}),
+    base AS (SELECT rid, count(*) AS n, min(pos) AS first, max(pos) AS last, list(DISTINCT label) AS labels FROM places GROUP BY rid),
+    templates(template, label, words, needed) AS (VALUES {values}),
+    lines AS (SELECT rid, list_distinct(string_split({spelled.format("line")}, ' ')) AS words
+        FROM (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM numbered)),
+    shared AS (SELECT l.rid, t.label, len(list_intersect(l.words, t.words)) AS n, t.needed, len(t.words) AS size
+        FROM lines AS l, templates AS t WHERE len(l.words) >= t.needed),
+    more AS (SELECT rid, list(DISTINCT label) AS labels, max(n::double / size::double) AS score FROM shared WHERE n >= needed GROUP BY rid)
+    SELECT doc_id, len(words)::bigint AS n_words, coalesce(n, 0)::bigint AS n_base, first::bigint AS first_word,
+        last::bigint AS last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+        CASE WHEN n > 0 THEN 1.0::double ELSE coalesce(more.score, 0.0)::double END AS score
+    FROM split LEFT JOIN base USING (rid) LEFT JOIN more USING (rid)"""
+
+
+QUERIES: dict[str, Build] = {f.__name__: f for f in (op2_simhash, op3_bpe, op5_packing, op7_toxicity, op8_licenses, op10_token_files)}
+ORACLES: dict[str, str] = {"op8_licenses": _op8_sql()}

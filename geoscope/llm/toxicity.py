@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from geoscope.llm.bpe import in_parts
 
-BUCKETS, WIDTH = 1 << 16, 8
+BUCKETS, WIDTH = 1 << 18, 8
 GRAMS = range(3, 7)
 #: Words of more characters are cut into pieces of so many, the most toxic of which counts.
 WORD_CHARS = 32
-PASSAGE = 24
+PASSAGE = 8
 #: Bounds of the training sample: rows of each label, and characters of a training text.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
-EPOCHS, BATCH_DOCS, RATE, DECAY = 30, 500, 0.05, 1e-4
+EPOCHS, BATCH_DOCS, RATE, DECAY = 30, 500, 0.05, 1.0
 CACHED_WORDS = 400_000
 SEED = 7
 
