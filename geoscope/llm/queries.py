@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoscope.llm import bpe, files, licenses, packing, simhash, token_files, toxicity
+from geoscope.llm import bpe, files, licenses, packing, simhash, token_files, topk, toxicity, url_filters, vector_dedup
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, END_ID, 4096)
 
@@ -38,6 +42,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read(spark, out))
 
 
+#: The given rules.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+URL_SUPPORT, URL_COUNT, URL_CONFIDENCE = 0.002, 20, 0.5
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    rules, _ = files.written(url_filters.mine(spark, pages, labels, URL_SUPPORT, URL_COUNT, URL_CONFIDENCE), "rules")
+    return url_filters.judge(pages, rules, URL_RULES)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"), SHINGLE_WORDS, SIMHASH_DISTANCE)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -124,5 +140,22 @@ def _op8_sql() -> str:
     FROM split LEFT JOIN base USING (rid) LEFT JOIN more USING (rid)"""
 
 
-QUERIES: dict[str, Build] = {f.__name__: f for f in (op2_simhash, op3_bpe, op5_packing, op7_toxicity, op8_licenses, op10_token_files)}
-ORACLES: dict[str, str] = {"op8_licenses": _op8_sql()}
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "embeddings").filter(topk.is_valid(F.col("embedding")))
+    scaled = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    return topk.top_k(found.select("vec_id", scaled.alias("vector")), F.col("vec_id") % 50 == 0, 5)
+
+
+OP9_SQL = """
+    WITH vectors AS (SELECT row_number() OVER () AS rid, vec_id,
+        list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id,
+        list_inner_product(q.v::double[], c.v::double[])::bigint AS score
+        FROM vectors AS q, vectors AS c WHERE q.vec_id % 50 = 0 AND q.rid <> c.rid),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::int AS rank FROM scores)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+QUERIES: dict[str, Build] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_bpe, op4_vector_dedup, op5_packing, op7_toxicity, op8_licenses, op9_topk, op10_token_files)}
+ORACLES: dict[str, str] = {"op8_licenses": _op8_sql(), "op9_topk": OP9_SQL}
