@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoscope.llm import bpe, files, licenses, packing, simhash, token_files, topk, toxicity, url_filters, vector_dedup
+from geoscope.llm import bpe, files, licenses, packing, simhash, suffix, token_files, topk, toxicity, url_filters, vector_dedup
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 END_ID = 2
 SHINGLE_WORDS, SIMHASH_DISTANCE = 3, 3
+REPEATED_BYTES = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removals(table(spark, sf_dir, "documents"), REPEATED_BYTES)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -157,5 +162,5 @@ OP9_SQL = """
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 
-QUERIES: dict[str, Build] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_bpe, op4_vector_dedup, op5_packing, op7_toxicity, op8_licenses, op9_topk, op10_token_files)}
+QUERIES: dict[str, Build] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_bpe, op4_vector_dedup, op5_packing, op6_suffix, op7_toxicity, op8_licenses, op9_topk, op10_token_files)}
 ORACLES: dict[str, str] = {"op8_licenses": _op8_sql(), "op9_topk": OP9_SQL}
