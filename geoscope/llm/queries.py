@@ -15,7 +15,7 @@ Build = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
-END_ID = 2
+END_ID, CAPACITY = 2, 4096
 SHINGLE_WORDS, SIMHASH_DISTANCE = 3, 3
 REPEATED_BYTES = 200
 
@@ -34,7 +34,7 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, END_ID, 4096)
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, END_ID, CAPACITY)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

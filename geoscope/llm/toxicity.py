@@ -31,7 +31,7 @@ WORD_CHARS = 32
 PASSAGE = 8
 #: Bounds of the training sample: rows of each label, and characters of a training text.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
-EPOCHS, BATCH_DOCS, RATE, DECAY = 30, 500, 0.05, 1.0
+UPDATES, BATCH_DOCS, RATE, DECAY = 300, 500, 0.05, 1.0
 CACHED_WORDS = 400_000
 SEED = 7
 
@@ -117,7 +117,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     weights, bias = rng.normal(0, 1, WIDTH).astype(np.float32), -2.0
     state = [np.zeros_like(table), np.zeros_like(table), np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 0.0]
     turn = 0
-    for _ in range(EPOCHS):
+    while turn < UPDATES and counts.any():
         order = rng.permutation(len(counts))
         for at in range(0, len(order), BATCH_DOCS):
             docs = order[at : at + BATCH_DOCS]
@@ -220,13 +220,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``id_col, score`` for the whole text of every row. Labels, language, source and id play no part.
     Null texts count as empty; repeated rows score alike; an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    held: dict[str, Scorer] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held.setdefault("scorer", Scorer(sent.value))
+        scorer = Scorer(sent.value)
         for batch in batches:
             for part in in_parts(batch, text_col, 16 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(scorer.score(part.column(text_col)))], [id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+
+
+def keep(docs: DataFrame, model: Model, below: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose texts score below ``below``, with all their columns; null and empty texts
+    score by the bias alone."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            for part in in_parts(batch, text_col, 16 << 20):
+                yield part.filter(pa.array(scorer.score(part.column(text_col)) < below))
+
+    return docs.mapInArrow(run, docs.schema)
