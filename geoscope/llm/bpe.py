@@ -24,7 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHED_WORDS = 500_000
+from geoscope.llm.kept import Kept
+
+CACHED_WORDS = 300_000
 #: Rows of this many symbols and fewer are merged together; an array holds this many symbols at most.
 ROW_SYMBOLS, BLOCK_SYMBOLS = 64, 1 << 18
 NONE = np.iinfo(np.int64).max
@@ -84,7 +86,7 @@ class ByteBPE:
 
         self._pre = Tokenizer.from_file(path).pre_tokenizer
         self._byte_of = byte_of
-        self._kept: dict[str, bytes] = {}
+        self._kept = Kept(CACHED_WORDS)
 
     # -- words
 
@@ -236,10 +238,8 @@ class ByteBPE:
         """Ids of every text, in order."""
         pieces = [self.words(t) for t in texts]
         distinct = set().union(*pieces)
-        missing = [p for p in distinct if p not in self._kept and p not in self.special]
-        if len(self._kept) + len(missing) > CACHED_WORDS:
-            self._kept = {p: self._kept[p] for p in distinct.difference(missing)}
-        kept = self._kept
+        missing = self._kept.missing(distinct.difference(self.special))
+        kept = self._kept.now
         kept.update(zip(missing, self.merge([p.encode() for p in missing])))
         kept.update({p: i.to_bytes(4, "little") for p, i in self.special.items()})
         for own in pieces:

@@ -34,7 +34,7 @@ def drop(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 4000) -> None:
     """Lets Spark send Python workers at most so many rows at a time, as a row can be a long text (Spark
     bounds a batch's bytes by itself)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

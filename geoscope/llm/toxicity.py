@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoscope.llm.bpe import in_parts
+from geoscope.llm.kept import Kept
 
 BUCKETS, WIDTH = 1 << 18, 8
 GRAMS = range(3, 7)
@@ -32,7 +33,7 @@ PASSAGE = 8
 #: Bounds of the training sample: rows of each label, and characters of a training text.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
 UPDATES, BATCH_DOCS, RATE, DECAY = 300, 500, 0.05, 1.0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 SEED = 7
 
 
@@ -163,18 +164,17 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self._kept: dict[str, float] = {}
+        self._kept = Kept(CACHED_WORDS)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """The probability of label 1 for each text; null and empty texts get the bias alone."""
         lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
         words = lists.flatten().dictionary_encode()
         spelled = words.dictionary.to_pylist()
-        missing = [w for w in spelled if w not in self._kept]
-        if len(self._kept) + len(missing) > CACHED_WORDS:
-            self._kept = {w: self._kept[w] for w in spelled if w in self._kept}
-        self._kept.update(zip(missing, _Words(missing).scores(self.model.by_feature).tolist()))
-        number = np.array([self._kept[w] for w in spelled])
+        missing = self._kept.missing(spelled)
+        kept = self._kept.now
+        kept.update(zip(missing, _Words(missing).scores(self.model.by_feature).tolist()))
+        number = np.array([kept[w] for w in spelled])
         counts = np.diff(lists.offsets.to_numpy())
         logit = np.full(len(counts), self.model.bias)
         if counts.sum():

@@ -13,7 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 300_000
+from geoscope.llm.kept import Kept
+
+CACHED_WORDS = 500_000
+PUNCTUATION = tuple(".,;:!?")
 
 
 class WordCoder:
@@ -26,7 +29,7 @@ class WordCoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self._kept: dict[str, bytes] = {"": b""}
+        self._kept = Kept(CACHED_WORDS)
 
     def _key(self, word: str) -> str:
         """Words with one key have the same ids. The vocabulary lowers case; special tokens, which
@@ -35,17 +38,27 @@ class WordCoder:
 
     def _learn(self, words: list[str]) -> None:
         """Punctuation after a letter is a word of its own, which leaves fewer words to encode."""
-        kept, stems = self._kept, {}
-        for word in words:
-            stems[word] = word[:-1] if word[-1] in ".,;:!?" and word[-2:-1].isalpha() and word.isascii() else word
-        new = {s for s in stems.values() if s not in kept} | {w[-1] for w, s in stems.items() if w != s and w[-1] not in kept}
-        new = sorted(new)
+        stems = {
+            word: word[:-1] if word[-1:] in PUNCTUATION and word[-2:-1].isalpha() and word.isascii() else word for word in words
+        }
+        parts = {stem for stem in stems.values()} | {word[-1] for word, stem in stems.items() if word != stem}
+        new = self._kept.missing(sorted(parts))
+        kept = self._kept.now
         for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             kept[word] = np.array(found.ids, dtype="<u4").tobytes()
         for word, stem in stems.items():
             if word != stem:
                 kept[word] = kept[stem] + kept[word[-1]]
 
+    def _values(self, keys: list[str]) -> list[bytes]:
+        missing = self._kept.missing(dict.fromkeys(keys))
+        if missing:
+            before = self._kept.now
+            self._learn(missing)
+            if self._kept.now is not before:  # the store was full in between
+                return self._values(keys)
+        return list(map(self._kept.now.__getitem__, keys))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and where each text starts, with the end at last.
         Null texts have no ids."""
@@ -53,12 +66,7 @@ class WordCoder:
         words = lists.flatten().dictionary_encode()
         spelled = words.dictionary.to_pylist()
         keys = list(map(self._key, spelled))
-        missing = [k for k in dict.fromkeys(keys) if k not in self._kept]
-        if len(self._kept) + len(missing) > CACHED_WORDS:
-            self._kept = {"": b""} | {k: self._kept[k] for k in keys if k in self._kept}
-        if missing:
-            self._learn(missing)
-        found = [self._kept[k] for k in keys]
+        found = self._values(keys)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         pool = np.frombuffer(b"".join(found), dtype="<u4")
         starts = np.cumsum(sizes) - sizes
