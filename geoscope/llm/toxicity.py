@@ -13,7 +13,8 @@ numbers; the model's size is fixed (``BUCKETS`` x ``WIDTH``), and so is what is
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,14 +66,18 @@ def _pieces(word: str) -> list[str]:
 class _Words:
     """Features of distinct words, as one flat array with borders."""
 
-    def __init__(self, words: list[str]):
-        pieces = [_pieces(w) for w in words]
-        found = [features(p) for ps in pieces for p in ps]
-        self.owner = np.repeat(np.arange(len(words)), [len(p) for p in pieces])
-        self.sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        self.flat = np.fromiter((f for fs in found for f in fs), dtype=np.int64, count=int(self.sizes.sum()))
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.words = len(words)
+    def __init__(self, words: Iterable[str]):
+        owner, sizes, flat = array("i"), array("i"), array("i")
+        self.words = 0
+        for word in words:
+            for piece in _pieces(word):
+                found = features(piece)
+                owner.append(self.words)
+                sizes.append(len(found))
+                flat.extend(found)
+            self.words += 1
+        self.owner, self.sizes, self.flat = (np.array(x, dtype=np.int32) for x in (owner, sizes, flat))
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
 
     def scores(self, by_feature: np.ndarray) -> np.ndarray:
         """Each word's number from a number per feature: the mean, the largest of its pieces; else zero."""
@@ -107,11 +112,14 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     labels = np.asarray(labels, dtype=np.float64)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), -4.0)
-    split = [t[:SAMPLE_CHARS].split() for t in texts]
     vocabulary: dict[str, int] = {}
-    words = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for ws in split for w in ws), dtype=np.int64)
-    known = _Words(list(vocabulary))
-    counts = np.array([len(ws) for ws in split])
+    spelled, counts = array("i"), np.zeros(len(texts), dtype=np.int64)
+    for n, text in enumerate(texts):
+        split = text[:SAMPLE_CHARS].split()
+        spelled.extend([vocabulary.setdefault(w, len(vocabulary)) for w in split])
+        counts[n] = len(split)
+    words, known = np.array(spelled, dtype=np.int32), _Words(vocabulary)
+    del spelled, vocabulary
     firsts = np.cumsum(counts) - counts
     rng = np.random.default_rng(SEED)
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
@@ -212,8 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").filter("text is not null")
     sample = found.withColumn("order", F.xxhash64("doc_id", "text")).orderBy("toxic", "order", "doc_id").limit(4 * rows)
-    got = sample.select("toxic", "text").toPandas()
-    return train(got["text"].tolist(), got["toxic"].to_numpy())
+    got = sample.select("toxic", "text").toArrow()
+    return train(got.column("text").to_pylist(), got.column("toxic").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
