@@ -33,7 +33,12 @@ WORD_CHARS = 32
 PASSAGE = 8
 #: Bounds of the training sample: rows of each label, and characters of a training text.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
-UPDATES, BATCH_DOCS, RATE, DECAY = 300, 500, 0.05, 1.0
+#: Features that stand in fewer training texts have no vector.
+RARE = 2
+#: Training goes from whole texts to passages: up to these shares of the updates, passages are so
+#: wide; after that, PASSAGE words.
+WIDTHS = ((0.3, 1 << 30), (0.5, 64), (0.7, 24))
+UPDATES, BATCH_DOCS, RATE, DECAY = 300, 500, 0.05, 2e-4
 CACHED_WORDS = 300_000
 SEED = 7
 
@@ -98,12 +103,13 @@ class Model:
     bias: float
 
 
-def _passages(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts with so many words, laid one after the other: each passage's first word and its text."""
-    passages = -(-counts // PASSAGE)
+def _passages(counts: np.ndarray, width: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts with so many words, laid one after the other: each passage's first word and its text. A
+    text's passages are near-equal, of at most ``width`` words."""
+    passages = -(-counts // width)
     text = np.repeat(np.arange(len(counts)), passages)
     within = np.arange(len(text)) - np.repeat(np.cumsum(passages) - passages, passages)
-    return np.repeat(np.cumsum(counts) - counts, passages) + PASSAGE * within, text
+    return (np.cumsum(counts) - counts)[text] + within * counts[text] // passages[text], text
 
 
 def train(texts: list[str], labels: np.ndarray) -> Model:
@@ -120,9 +126,13 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
         counts[n] = len(split)
     words, known = np.array(spelled, dtype=np.int32), _Words(vocabulary)
     del spelled, vocabulary
+    # in how many texts each feature stands; rare ones would only tell the training texts apart
+    pairs = np.unique(np.repeat(np.arange(len(counts)), counts) * known.words + words) % known.words
+    times = np.bincount(pairs, minlength=known.words)[known.owner]
+    learned = np.bincount(known.flat, weights=np.repeat(times, known.sizes), minlength=BUCKETS) >= RARE
     firsts = np.cumsum(counts) - counts
     rng = np.random.default_rng(SEED)
-    table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
+    table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32) * learned[:, None]
     weights, bias = rng.normal(0, 1, WIDTH).astype(np.float32), -2.0
     state = [np.zeros_like(table), np.zeros_like(table), np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 0.0]
     turn = 0
@@ -138,7 +148,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             place = np.repeat(firsts[docs] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             own = words[place]
             score = known.scores(table @ weights)[own]
-            start, text = _passages(size)
+            start, text = _passages(size, next((w for until, w in WIDTHS if turn <= until * UPDATES), PASSAGE))
             length = np.diff(np.append(start, len(own)))
             logit = np.add.reduceat(score, start) / length + bias
             top = np.zeros(len(docs), dtype=np.int64)  # the passage that counts
@@ -152,9 +162,9 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             each = np.repeat(slope / length[top], length[top])
             by_word = np.bincount(own[spread], weights=each, minlength=known.words)
             by_piece = by_word[known.owner] / known.sizes
-            grad = np.bincount(known.flat, weights=np.repeat(by_piece, known.sizes), minlength=BUCKETS).astype(np.float32)
+            grad = np.bincount(known.flat, weights=np.repeat(by_piece, known.sizes), minlength=BUCKETS).astype(np.float32) * learned
             steps = (
-                (table, np.outer(grad, weights) + DECAY * table / len(labels), 0),
+                (table, np.outer(grad, weights) + DECAY * table, 0),
                 (weights, grad @ table, 2),
             )
             for value, slope_of, k in steps:
