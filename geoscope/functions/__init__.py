@@ -5,6 +5,7 @@ from geoscope.functions.scalars import (
     confidence_tier,
     fall_code,
     log_transform,
+    number,
     probability_band,
     reliability_tier,
     share,
@@ -17,6 +18,7 @@ __all__ = [
     "confidence_tier",
     "fall_code",
     "log_transform",
+    "number",
     "probability_band",
     "reliability_tier",
     "share",

@@ -88,3 +88,13 @@ def fall_code(fall: Column | str) -> Column:
 def share(part: Column | str, whole: Column | str) -> Column:
     """part / whole as a double; null when whole is zero."""
     return F.try_divide(_double(part).cast("double"), _double(whole).cast("double"))
+
+
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
+
+
+def number(name: str) -> Column:
+    """Numeric value of a text column, null when it is not written as a number. The pattern keeps
+    out what a cast alone would accept: NaN, and the Java-only spellings ``1d`` / ``1f``."""
+    text = F.col(name)
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoscope.functions import number
 from geoscope.operators.quantiles import exact_median
 
 EARLIEST_YEAR = 1000
@@ -27,21 +28,11 @@ def coerce_numeric(raw: DataFrame) -> DataFrame:
         "fall",
         "reclat",
         "reclong",
-        _number("mass_raw").alias("mass_g"),
-        _number("year_raw").alias("year_num"),
+        number("mass_raw").alias("mass_g"),
+        number("year_raw").alias("year_num"),
     )
 
 
-NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
-
-
-def _number(name: str):
-    """Numeric value of a text column, null when it is not written as a number. The pattern keeps
-    out what a cast alone would accept: NaN, and the Java-only spellings ``1d`` / ``1f``."""
-    text = F.col(name)
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
-
-
 def _null_island():
     return F.coalesce((F.col("reclat") == 0) & (F.col("reclong") == 0), F.lit(False))
 
@@ -50,8 +41,18 @@ def drop_null_island(obs: DataFrame) -> DataFrame:
     return obs.filter(~_null_island())
 
 
+def _missing(df: DataFrame, name: str):
+    """Null, or a floating column's NaN."""
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return (F.col(name).isNull() | F.isnan(name)) if floating else F.col(name).isNull()
+
+
+def _any_missing(obs: DataFrame):
+    return _missing(obs, "reclat") | _missing(obs, "reclong") | _missing(obs, "mass_g")
+
+
 def drop_missing(obs: DataFrame) -> DataFrame:
-    return obs.dropna(subset=["reclat", "reclong", "mass_g"])
+    return obs.filter(~_any_missing(obs))
 
 
 def fix_nonpositive_mass(obs: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def plausible_year(obs: DataFrame, as_of_year: int) -> DataFrame:
 def impute_median_mass(obs: DataFrame) -> DataFrame:
     """Null masses become the exact median mass. Not part of ``clean_obs``: there, records
     without a mass are already gone."""
-    median = exact_median(obs.select("mass_g"), [], "mass_g").select("median").scalar()
+    median = exact_median(obs.select("mass_g"), [], "mass_g", few_keys=True).select("median").scalar()
     return obs.withColumn("mass_g", F.coalesce("mass_g", median))
 
 
@@ -83,8 +84,8 @@ def derive_log_mass(obs: DataFrame) -> DataFrame:
 
 
 def fill_year(obs: DataFrame) -> DataFrame:
-    """Missing year → 0, fractions cut."""
-    return obs.withColumn("year", F.coalesce("year_num", F.lit(0.0)).cast("int")).drop("year_num")
+    """Missing year → 0, fractions cut. A year beyond the integers is unknown, so 0 too."""
+    return obs.withColumn("year", F.coalesce(F.col("year_num").try_cast("int"), F.lit(0))).drop("year_num")
 
 
 def derive_decade(obs: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def clean_report(raw: DataFrame, as_of_year: int) -> DataFrame:
     """What each cleaning step did, from one pass of conditional counts."""
     num = coerce_numeric(raw)
     island = _null_island()
-    missing = ~island & (F.col("reclat").isNull() | F.col("reclong").isNull() | F.col("mass_g").isNull())
+    missing = ~island & _any_missing(num)
     located = ~island & ~missing
     year = F.col("year_num")
     dated = located & (year.isNull() | year.between(float(EARLIEST_YEAR), float(as_of_year)))
@@ -135,8 +136,8 @@ def clean_report(raw: DataFrame, as_of_year: int) -> DataFrame:
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """One row per column: its type and its number of nulls (one aggregate, then unpivoted)."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    """One row per column: its type and its number of nulls, NaN included (one aggregate, then unpivoted)."""
+    counts = df.agg(*[F.count_if(_missing(df, c)).alias(c) for c in df.columns])
     entries = [
         F.struct(F.lit(name).alias("column"), F.lit(kind).alias("dtype"), F.col(name).alias("nulls"))
         for name, kind in df.dtypes
@@ -155,6 +156,6 @@ def fill_by_type(df: DataFrame, text_fill: str = "Non spécifié", coerce_text:
     filled = df.fillna(text_fill, subset=text).fillna(0, subset=numeric)
     if not coerce_text or not text:
         return filled
-    found = df.agg(*[F.max(_number(c).isNotNull()).alias(c) for c in text]).first()
-    turned = {c: F.coalesce(_number(c), F.lit(0.0)) for c in text if found[c]}
+    found = df.agg(*[F.max(number(c).isNotNull()).alias(c) for c in text]).first()
+    turned = {c: F.coalesce(number(c), F.lit(0.0)) for c in text if found[c]}
     return filled.withColumns(turned) if turned else filled

@@ -38,7 +38,7 @@ def kpi_summary(obs: DataFrame, approximate: bool = False) -> DataFrame:
             F.approx_count_distinct("recclass").alias("n_classes"),
             F.percentile_approx("mass_g", 0.5, 10_000).alias("median_mass"),
         )
-    median = exact_median(obs, [], "mass_g").select("median").scalar()
+    median = exact_median(obs, [], "mass_g", few_keys=True).select("median").scalar()
     return obs.agg(*basics, F.count_distinct("recclass").alias("n_classes")).withColumn("median_mass", median)
 
 

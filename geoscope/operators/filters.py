@@ -7,11 +7,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Lists longer than this become a semi join instead of one long IN expression.
-IN_LIST_LIMIT = 1000
-# A driver-side list up to this length is small enough to send to every executor.
-BROADCAST_LIST_LIMIT = 100_000
-
 DEFAULT_MASS_EXPONENTS = (0, 6)
 DEFAULT_DECADES = (1800, 2020)
 
@@ -27,27 +22,26 @@ def filter_mass(obs: DataFrame, exponents: Sequence[float] | None) -> DataFrame:
     return obs.filter(F.col("mass_g").between(low, high))
 
 
-def _equals_or_in(obs: DataFrame, name: str, wanted: str | Iterable[str]) -> DataFrame:
+def _equals_or_in(obs: DataFrame, name: str, wanted: str | Iterable[str] | DataFrame) -> DataFrame:
+    """A value or a list of values is one predicate; a table of values (its column ``name``) is a semi join,
+    which Spark broadcasts only when it is measured small."""
+    if isinstance(wanted, DataFrame):
+        listed = wanted.select(F.col(name).alias("_wanted"))
+        return obs.join(listed, F.col(name) == F.col("_wanted"), "left_semi").select(*obs.columns)
     if isinstance(wanted, str):
         return obs.filter(F.col(name) == wanted)
-    values = list(dict.fromkeys(wanted))
-    if len(values) <= IN_LIST_LIMIT:
-        return obs.filter(F.col(name).isin(values))
-    listed = obs.sparkSession.createDataFrame([(v,) for v in values], f"{name} string")
-    if len(values) <= BROADCAST_LIST_LIMIT:
-        listed = F.broadcast(listed)
-    return obs.join(listed, name, "left_semi")
+    return obs.filter(F.col(name).isin(list(dict.fromkeys(wanted))))
 
 
-def filter_class(obs: DataFrame, classes: str | Iterable[str] | None) -> DataFrame:
+def filter_class(obs: DataFrame, classes: str | Iterable[str] | DataFrame | None) -> DataFrame:
     """'all', None or an empty list keep everything; ['all'] is a list and matches nothing."""
-    if not classes or classes == "all":
+    if not isinstance(classes, DataFrame) and (not classes or classes == "all"):
         return obs
     return _equals_or_in(obs, "recclass", classes)
 
 
-def filter_fall(obs: DataFrame, falls: str | Iterable[str] | None) -> DataFrame:
-    return _equals_or_in(obs, "fall", falls) if falls else obs
+def filter_fall(obs: DataFrame, falls: str | Iterable[str] | DataFrame | None) -> DataFrame:
+    return _equals_or_in(obs, "fall", falls) if isinstance(falls, DataFrame) or falls else obs
 
 
 def filter_decade(obs: DataFrame, decades: Sequence[int] | None) -> DataFrame:
@@ -89,7 +83,7 @@ def filter_obs(
 def cross_filter(obs: DataFrame, selection: DataFrame) -> DataFrame:
     """Keep observations whose id is selected. ``selection`` may have duplicates and any size:
     Spark broadcasts it only when it is measured small."""
-    return obs.join(selection.select("id"), "id", "left_semi")
+    return obs.join(selection.select("id"), "id", "left_semi").select(*obs.columns)
 
 
 MAX_HORIZON = 50

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -254,31 +251,38 @@ MIN_FIT_YEARS = 10
 def count_forecast(obs: DataFrame, years_ahead: int = FORECAST_YEARS) -> DataFrame:
     """Cubic trend of the yearly counts, continued for ``years_ahead`` years with a ±20 % band.
 
-    Empty when fewer than ten years are present. The fit sees one row per year. Years are centred
-    before they are raised to powers; a cubic through centred years is the same cubic.
+    Empty when fewer than ten years are present. The least-squares cubic is summed up in closed form
+    over orthogonal polynomials of the year, inside one row that holds a pair per year (plausible years
+    bound their number). One lazy aggregate; nothing runs when the query is built.
     """
-    counts = year_counts(obs, MIN_FIT_YEARS)
-    spark = obs.sparkSession
-    extent = counts.agg(F.max("year").alias("last"), F.avg("year").alias("mean")).first()
-    schema = "year int, n double, lower double, upper double, log_n double, log_lower double, log_upper double"
-    if extent["last"] is None:
-        return spark.createDataFrame([], schema)
-    scale = 100.0
-
-    def centred(df: DataFrame) -> DataFrame:
-        return df.withColumn("x", (F.col("year") - F.lit(extent["mean"])) / scale)
-
-    fit = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=["x"], outputCol="line"),
-            PolynomialExpansion(degree=3, inputCol="line", outputCol="cubic"),
-            LinearRegression(featuresCol="cubic", labelCol="n", solver="normal", standardization=False),
-        ]
-    ).fit(centred(counts.withColumn("n", F.col("n").cast("double"))))
-    future = spark.range(extent["last"] + 1, extent["last"] + 1 + years_ahead).select(
-        F.col("id").cast("int").alias("year")
+    pairs = F.struct(F.col("year").cast("double").alias("x"), F.col("n").cast("double").alias("n"))
+    row = year_counts(obs, MIN_FIT_YEARS).agg(
+        F.sort_array(F.collect_list(pairs)).alias("y"), F.max("year").alias("last"), F.count(F.lit(1)).cast("double").alias("s0")
     )
-    predicted = fit.transform(centred(future)).select("year", F.col("prediction").alias("n"))
+
+    def total(term) -> Column:
+        return F.aggregate("y", F.lit(0.0), lambda sum_, e: sum_ + term(e["x"], e["n"]))
+
+    def p1(x):
+        return x - F.col("a0")
+
+    def p2(x):
+        return (x - F.col("a1")) * p1(x) - F.col("b1")
+
+    def p3(x):
+        return (x - F.col("a2")) * p2(x) - F.col("b2") * p1(x)
+
+    row = row.filter("s0 > 0").withColumns({"a0": total(lambda x, n: x) / F.col("s0"), "k0": total(lambda x, n: n) / F.col("s0")})
+    for k, p in ((1, p1), (2, p2), (3, p3)):
+        row = row.withColumn(f"s{k}", total(lambda x, n, p=p: p(x) * p(x)))
+        row = row.withColumn(f"k{k}", total(lambda x, n, p=p: n * p(x)) / F.col(f"s{k}"))
+        row = row.withColumns(
+            {f"a{k}": total(lambda x, n, p=p: x * p(x) * p(x)) / F.col(f"s{k}"), f"b{k}": F.col(f"s{k}") / F.col(f"s{k - 1}")}
+        )
+    future = row.drop("y").withColumn("year", F.explode(F.sequence(F.col("last") + 1, F.col("last") + years_ahead)))
+    x = F.col("year").cast("double")
+    n = F.col("k0") + F.col("k1") * p1(x) + F.col("k2") * p2(x) + F.col("k3") * p3(x)
+    predicted = future.select(F.col("year").cast("int").alias("year"), n.alias("n"))
     return predicted.withColumns({"lower": F.col("n") * 0.8, "upper": F.col("n") * 1.2}).withColumns(
         {f"log_{c}": log_transform(c) for c in ("n", "lower", "upper")}
     )

@@ -1,6 +1,6 @@
 """Models of mass, class and place, trained, stored and applied with MLlib.
 
-Training data is split by a hash of the record id, not by a random draw: the split is the same on
+Training data is split by arithmetic on the record id, not by a random draw: the split is the same on
 every recomputation, so a lost executor cannot move a row from the test to the training side.
 """
 
@@ -24,10 +24,13 @@ MASS_FEATURES = ["reclat", "reclong", "year", "fall_code"]
 CLASS_FEATURES = ["reclat", "reclong", "mass_g", "year", "fall_code"]
 
 NUM_TREES = 100
-# Trees of unlimited depth do not scale with the data; this bounds the nodes a level can have.
-MAX_DEPTH = 10
+# Deeper trees and more bins fit closer and cost more: a level can have 2 ** depth nodes, each with
+# statistics for every bin of every feature. MLlib allows a depth of 30.
+MAX_DEPTH, MAX_BINS = 10, 32
 SEED = 42
 TRAIN_PERCENT = 80
+# Spreads neighbouring ids over the hundredths of the split; coprime to 100.
+SPLIT_FACTOR = 7919
 
 MIN_PREDICTED_MASS, MAX_PREDICTED_MASS = 0.1, 10_000_000.0
 DEFAULT_MASS = 10.0
@@ -63,7 +66,7 @@ def class_codes(obs: DataFrame) -> DataFrame:
 
 
 def split(frame: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(100))
+    draw = F.pmod(F.col("id") * SPLIT_FACTOR + seed, F.lit(100))
     return frame.filter(draw < TRAIN_PERCENT), frame.filter(draw >= TRAIN_PERCENT)
 
 
@@ -75,13 +78,13 @@ def _features(columns: list[str]) -> list:
 
 
 def train_mass_model(
-    obs: DataFrame, num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed: int = SEED
+    obs: DataFrame, num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS, seed: int = SEED
 ) -> FittedModel:
     """Random forest for log1p(mass) from place, year and fall."""
     columns = [*MASS_FEATURES, "log_target"]
     train, test = split(ml_frame(obs).withColumn("log_target", F.log1p("mass_g")).select("id", *columns), seed)
     forest = RandomForestRegressor(
-        labelCol="log_target", numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="all", seed=seed
+        labelCol="log_target", numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins, featureSubsetStrategy="all", seed=seed
     )
     fitted = Pipeline(stages=[*_features(MASS_FEATURES), forest]).fit(train)
     rmse = RegressionEvaluator(labelCol="log_target", metricName="rmse").evaluate(fitted.transform(test))
@@ -89,7 +92,7 @@ def train_mass_model(
 
 
 def train_class_model(
-    obs: DataFrame, num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed: int = SEED
+    obs: DataFrame, num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS, seed: int = SEED
 ) -> FittedModel:
     """Random forest for the class from place, mass, year and fall. Held-out rows whose class does
     not occur in training count as errors."""
@@ -97,7 +100,7 @@ def train_class_model(
     labels = StringIndexer(
         inputCol="recclass", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"
     ).fit(train)
-    forest = RandomForestClassifier(labelCol="label", numTrees=num_trees, maxDepth=max_depth, seed=seed)
+    forest = RandomForestClassifier(labelCol="label", numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins, seed=seed)
     names = IndexToString(inputCol="prediction", outputCol="predicted_class", labels=[*labels.labels, "__unseen"])
     fitted = Pipeline(stages=[*_features(CLASS_FEATURES), forest, names]).fit(labels.transform(train))
     scored = labels.transform(fitted.transform(test))
@@ -150,9 +153,13 @@ def invalid_requests(requests: DataFrame) -> DataFrame:
 def predict_mass_blend(model: FittedModel, locations: DataFrame, as_of_year: int) -> DataFrame:
     """Predicted mass at the horizon of each location; detection 'all' blends .6 Found and .4 Fell.
 
-    Both predictions are made on the same row, so nothing is shuffled.
+    Both predictions are made on the same row, so nothing is shuffled. Locations without coordinates or
+    horizon, or with an unknown detection, get ``DEFAULT_MASS``; ``filters.quarantine_locations`` names
+    them with the reason.
     """
-    rows = locations.withColumn("year", F.lit(as_of_year) + F.col("horizon"))
+    asked = locations.withColumn("year", F.lit(as_of_year) + F.col("horizon"))
+    complete = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("year").isNotNull()
+    rows = asked.filter(complete)
     for fall in ("Found", "Fell"):
         rows = predict_mass(model, rows.withColumn("fall", F.lit(fall))).withColumnRenamed(
             "predicted_mass", f"mass_{fall.lower()}"
@@ -163,9 +170,9 @@ def predict_mass_blend(model: FittedModel, locations: DataFrame, as_of_year: int
         .when(F.col("detection") == "Found", found)
         .when(F.col("detection") == "Fell", fell)
     )
-    return rows.select("location_id", "detection", "year", blended.alias("predicted_mass")).dropna(
-        subset=["predicted_mass"]
-    )
+    predicted = rows.select("location_id", "detection", "year", blended.alias("predicted_mass"))
+    rest = asked.filter(~complete).select("location_id", "detection", "year", F.lit(None).cast("double").alias("predicted_mass"))
+    return predicted.unionByName(rest).withColumn("predicted_mass", F.coalesce("predicted_mass", F.lit(DEFAULT_MASS)))
 
 
 def predict_class(model: FittedModel, frame: DataFrame) -> DataFrame:
@@ -220,10 +227,10 @@ def load_model(kind: str, path: str, spark: SparkSession) -> FittedModel | None:
     return FittedModel(kind, PipelineModel.load(f"{path}/{kind}/pipeline"), stored["score"])
 
 
-def load_or_train(kind: str, path: str, obs: DataFrame, **settings) -> FittedModel:
-    """Use the stored model if there is one; otherwise train it and store it."""
+def load_or_train(kind: str, path: str, obs: DataFrame, force: bool = False, **settings) -> FittedModel:
+    """Use the stored model if there is one; otherwise, or with ``force``, train it and store it."""
     spark = obs.sparkSession
-    model = load_model(kind, path, spark)
+    model = None if force else load_model(kind, path, spark)
     if model is None:
         model = {"mass": train_mass_model, "class": train_class_model}[kind](obs, **settings)
         save_model(model, path, spark)

@@ -65,7 +65,7 @@ def middle_values(values: DataFrame, keys: Sequence[str], value: str, parent: st
     return hits.groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias("median"))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, few_keys: bool = True) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, few_keys: bool = False) -> DataFrame:
     """Exact median of ``value`` per group: (keys, median). Nulls are ignored, empty groups absent.
     Without keys there is always one row, with a null median when there are no values.
 

@@ -98,7 +98,7 @@ def mass_by_year(obs: DataFrame) -> DataFrame:
     """Mean and exact median mass per year after 1800, with logs; needs two different years."""
     dated = filter_year_valid(obs, TREND_START)
     means = dated.groupBy("year").agg(F.avg("mass_g").alias("mean_mass"), F.count(F.lit(1)).alias("n"))
-    medians = exact_median(dated, ["year"], "mass_g").withColumnRenamed("median", "median_mass")
+    medians = exact_median(dated, ["year"], "mass_g", few_keys=True).withColumnRenamed("median", "median_mass")
     return (
         with_enough_years(means, 2)
         .join(medians, "year")

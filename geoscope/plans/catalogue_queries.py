@@ -16,7 +16,9 @@ from geoscope.functions import (
 from geoscope.operators import cleaning, facets, filters, ml, trends
 from geoscope.plans import derived as d
 from geoscope.plans.registry import add
+from geoscope.plans.staging import new_path
 from geoscope.plans.staging import obs as staged_obs
+from geoscope.sources.catalogue import read_raw_csv, write_raw_csv
 
 OBS_COLUMNS = ["id", "name", "recclass", "fall", "reclat", "reclong", "mass_g", "year", "decade"]
 _OBS_LIST = ", ".join(OBS_COLUMNS)
@@ -25,6 +27,17 @@ _OBS_LIST = ", ".join(OBS_COLUMNS)
 
 add("scan_raw", lambda s, p: d.raw_obs(s, p), "raw_obs", "SELECT * FROM raw_obs")
 
+
+
+def scan_csv(spark, path):
+    """The raw records as users have them: written as CSV, read by the CSV reader, then cleaned."""
+    out = new_path(spark, "csv")
+    write_raw_csv(d.raw_obs(spark, path), out)
+    return cleaning.clean_obs(read_raw_csv(spark, out), d.AS_OF_YEAR).select(*OBS_COLUMNS)
+
+
+add("scan_csv", scan_csv, "obs", f"SELECT {_OBS_LIST} FROM obs")
+
 add(
     "clean_obs",
     lambda s, p: d.obs(s, p).select(*OBS_COLUMNS, "adjusted_mass", "log_mass"),
@@ -312,21 +325,29 @@ def _faceted(spark, path):
 
 
 add(
-    "kpi_summary",
+    "filtered_kpi_summary",
     lambda s, p: facets.kpi_summary(_faceted(s, p)),
     "obs",
     f"""SELECT count(*) AS n, sum(mass_g) AS total_mass, avg(mass_g) AS mean_mass, median(mass_g) AS median_mass,
         count(DISTINCT recclass) AS n_classes, min(year) AS min_year, max(year) AS max_year FROM {_FACETED} t""",
     rounded="total_mass mean_mass median_mass",
 )
+add(
+    "kpi_summary",
+    lambda s, p: facets.kpi_summary(staged_obs(s, p)),
+    "obs",
+    f"""SELECT count(*) AS n, sum(mass_g) AS total_mass, avg(mass_g) AS mean_mass, median(mass_g) AS median_mass,
+        count(DISTINCT recclass) AS n_classes, min(year) AS min_year, max(year) AS max_year FROM obs""",
+    rounded="total_mass mean_mass median_mass",
+)
 add(
     "kpi_fall_ratio",
-    lambda s, p: facets.kpi_fall_ratio(_faceted(s, p)),
+    lambda s, p: facets.kpi_fall_ratio(staged_obs(s, p)),
     "obs",
     f"""SELECT count(*) AS n, sum(mass_g) AS total_mass, avg(mass_g) AS mean_mass,
         count(*) FILTER (WHERE fall = 'Fell') AS fell, count(*) FILTER (WHERE fall = 'Found') AS found,
         CAST(count(*) FILTER (WHERE fall = 'Fell') AS DOUBLE) / count(*) FILTER (WHERE fall = 'Found')
-          AS fell_found_ratio FROM {_FACETED} t""",
+          AS fell_found_ratio FROM obs""",
     rounded="total_mass mean_mass fell_found_ratio",
 )
 add(
@@ -377,10 +398,10 @@ add(
 )
 add(
     "density_grid",
-    lambda s, p: facets.density_grid(_faceted(s, p), cell=2.0),
+    lambda s, p: facets.density_grid(staged_obs(s, p), cell=2.0),
     "obs",
     f"""SELECT CAST(floor(reclat / 2) AS BIGINT) AS cell_lat, CAST(floor(reclong / 2) AS BIGINT) AS cell_lon,
-        count(*) AS n FROM {_FACETED} t GROUP BY 1, 2""",
+        count(*) AS n FROM obs GROUP BY 1, 2""",
 )
 
 # --- trends ---------------------------------------------------------------------------------
@@ -422,18 +443,18 @@ add(
 )
 add(
     "rolling_mean",
-    lambda s, p: trends.year_trend(_faceted(s, p)).select("year", "moving_avg"),
+    lambda s, p: trends.year_trend(staged_obs(s, p)).select("year", "moving_avg"),
     "obs",
-    f""", y AS (SELECT year, count(*) AS n FROM {_FACETED} t WHERE year > 1800 GROUP BY year)
+    f""", y AS (SELECT year, count(*) AS n FROM obs WHERE year > 1800 GROUP BY year)
     --result
     SELECT year, avg(n) OVER (ORDER BY year ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS moving_avg FROM y""",
     rounded="moving_avg",
 )
 add(
     "pct_change",
-    lambda s, p: trends.year_trend(_faceted(s, p)).select("year", "growth_rate"),
+    lambda s, p: trends.year_trend(staged_obs(s, p)).select("year", "growth_rate"),
     "obs",
-    f""", y AS (SELECT year, count(*) AS n FROM {_FACETED} t WHERE year > 1800 GROUP BY year)
+    f""", y AS (SELECT year, count(*) AS n FROM obs WHERE year > 1800 GROUP BY year)
     --result
     SELECT year, coalesce((CAST(n AS DOUBLE) / lag(n) OVER (ORDER BY year) - 1) * 100, 0) AS growth_rate FROM y""",
     rounded="growth_rate",

@@ -5,15 +5,13 @@ Scores of models are not SQL results; these queries have no SQL and are checked
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from geoscope.operators import filters, ml
 from geoscope.plans import derived as d
 from geoscope.plans.catalogue_queries import FACETS, FACET_SQL, OBS_COLUMNS
 from geoscope.plans.registry import add
-from geoscope.plans.staging import obs, shared_folder
+from geoscope.plans.staging import new_path, obs
 from geoscope.sources import read_filtered_json, read_obs, write_filtered_json, write_obs
 
 _stores: dict[tuple[str, str], str] = {}
@@ -23,7 +21,7 @@ def _store(spark, sf_dir: str) -> str:
     """Model folder of this session and input; a model is trained by the first query that needs it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
-        _stores[key] = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+        _stores[key] = new_path(spark, "models")
     return _stores[key]
 
 
@@ -41,6 +39,67 @@ def _mass_requests(spark, sf_dir: str):
     )
 
 
+def _bounds(rows):
+    """Whether each prediction is within its bounds, and the default for requests that cannot be predicted."""
+    mass = F.col("predicted_mass")
+    return rows.select(
+        "location_id",
+        mass.between(ml.MIN_PREDICTED_MASS, ml.MAX_PREDICTED_MASS).alias("in_bounds"),
+        (F.col("fall").isin("Fell", "Found") | (mass == ml.DEFAULT_MASS)).alias("default_where_invalid"),
+    )
+
+
+def _split_counts(spark, sf_dir: str):
+    train, test = ml.split(ml.ml_frame(obs(spark, sf_dir)).select("id"))
+    side = lambda rows, name: rows.agg(F.lit(name).alias("side"), F.count("*").alias("n"))
+    return side(train, "train").union(side(test, "test"))
+
+
+def _blend_parts(spark, sf_dir: str):
+    """The blend of each location, and whether it is .6 and .4 of the separate predictions."""
+    model, rows = _model("mass", spark, sf_dir), d.parameters(spark, sf_dir)
+    one = lambda fall: ml.predict_mass_blend(model, rows.withColumn("detection", F.lit(fall)), d.AS_OF_YEAR).select(
+        "location_id", F.col("predicted_mass").alias(fall)
+    )
+    blend = ml.predict_mass_blend(model, rows, d.AS_OF_YEAR).join(one("Found"), "location_id").join(one("Fell"), "location_id")
+    expected = (
+        F.when(F.col("detection") == "Found", F.col("Found")).when(F.col("detection") == "Fell", F.col("Fell"))
+    ).otherwise(ml.FOUND_WEIGHT * F.col("Found") + ml.FELL_WEIGHT * F.col("Fell"))
+    equal = F.abs(F.col("predicted_mass") - expected) <= 1e-9 * expected
+    return blend.select("location_id", "detection", "year", equal.alias("is_blend"))
+
+
+def _class_check(spark, sf_dir: str):
+    """Whether each predicted class is one of the catalogue's classes."""
+    frame = ml.ml_frame(obs(spark, sf_dir))
+    known = frame.select(F.col("recclass").alias("known")).distinct()
+    predicted = ml.predict_class(_model("class", spark, sf_dir), frame).select("id", "predicted_class")
+    return predicted.join(known, F.col("predicted_class") == F.col("known"), "left").select("id", F.col("known").isNotNull().alias("is_known"))
+
+
+_USABLE = "f AS (SELECT * FROM obs WHERE fall IN ('Fell', 'Found') AND reclat IS NOT NULL AND reclong IS NOT NULL AND mass_g IS NOT NULL)"
+
+add(
+    "predict_mass_check",
+    lambda s, p: _bounds(ml.predict_mass(_model("mass", s, p), _mass_requests(s, p), default=ml.DEFAULT_MASS)),
+    "parameters",
+    "SELECT location_id, TRUE AS in_bounds, TRUE AS default_where_invalid FROM parameters",
+)
+add(
+    "model_split",
+    _split_counts,
+    "obs",
+    f""", {_USABLE}, s AS (SELECT (id * {ml.SPLIT_FACTOR} + {ml.SEED}) % 100 AS draw FROM f)
+    SELECT 'train' AS side, count(*) FILTER (WHERE draw < {ml.TRAIN_PERCENT}) AS n FROM s
+    UNION ALL SELECT 'test' AS side, count(*) FILTER (WHERE draw >= {ml.TRAIN_PERCENT}) AS n FROM s""",
+)
+add(
+    "predict_mass_blend_check",
+    _blend_parts,
+    "parameters",
+    f"SELECT location_id, detection, CAST({d.AS_OF_YEAR} + horizon AS INT) AS year, TRUE AS is_blend FROM parameters",
+)
+add("predict_class_check", _class_check, "obs", f", {_USABLE} SELECT id, TRUE AS is_known FROM f")
 add("mass_model", lambda s, p: ml.model_report(_model("mass", s, p), s))
 add("class_model", lambda s, p: ml.model_report(_model("class", s, p), s))
 add("predict_mass", lambda s, p: ml.predict_mass(_model("mass", s, p), _mass_requests(s, p), default=ml.DEFAULT_MASS))
@@ -74,7 +133,7 @@ add(
 
 def model_round_trip(spark, sf_dir: str):
     """Store the mass model anew, load it, and predict with the loaded one."""
-    path = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    path = new_path(spark, "models")
     ml.save_model(_model("mass", spark, sf_dir), path, spark)
     loaded = ml.load_model("mass", path, spark)
     return ml.predict_mass_blend(loaded, d.parameters(spark, sf_dir), d.AS_OF_YEAR)
@@ -88,13 +147,13 @@ def _filtered(spark, sf_dir: str):
 
 
 def write_filtered_parquet(spark, sf_dir: str):
-    path = f"{shared_folder(spark)}/filtered-{uuid.uuid4().hex}"
+    path = new_path(spark, "filtered")
     write_obs(_filtered(spark, sf_dir), path)
     return read_obs(spark, path).select(*OBS_COLUMNS)
 
 
 def write_filtered_text(spark, sf_dir: str):
-    path = f"{shared_folder(spark)}/filtered-{uuid.uuid4().hex}"
+    path = new_path(spark, "filtered")
     write_filtered_json(_filtered(spark, sf_dir), path)
     return read_filtered_json(spark, path).select(*OBS_COLUMNS)
 

@@ -8,7 +8,6 @@ it survives the loss of any executor.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,24 +16,26 @@ from geoscope.plans import derived
 from geoscope.sources import read_obs, write_obs
 
 _staged: dict[tuple[str, str], str] = {}
-_local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set, as in tests."""
+    """The cluster's checkpoint folder; where none is set, a folder in the warehouse, which is shared too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        if app not in _local:
-            _local[app] = tempfile.mkdtemp(prefix="geoscope-")
-        folder = _local[app]
-    return folder.rstrip("/")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared").rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _staged:
-        path = f"{shared_folder(spark)}/obs-{uuid.uuid4().hex}"
+        path = new_path(spark, "obs")
         write_obs(derived.obs(spark, sf_dir), path)
         _staged[key] = path
     return read_obs(spark, _staged[key])

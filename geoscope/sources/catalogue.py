@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoscope.functions import number
+
 # Dirty columns stay text: cleaning decides what is a number, the reader never does.
 RAW_SCHEMA = T.StructType(
     [
@@ -40,22 +42,36 @@ OBS_SCHEMA = T.StructType(
 )
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
+# Words that stand for a missing value in any column of a CSV.
+NULL_WORDS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
+
+def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Read a headed CSV by column *name*; extra columns are ignored, missing ones are null.
 
-    Every value is read as text (one pass, no inference), then id and coordinates are
-    try-cast, so one malformed field never drops a record.
+    Quoted fields may hold commas and doubled quotes, and line breaks with ``multi_line`` (such files
+    are not split between tasks). Every value is read as text (one pass, no inference); words that
+    stand for a missing value become null, then the id is try-cast and coordinates are kept where they
+    are written as numbers, so one malformed field never drops a record.
     """
-    table = spark.read.csv(path, header=True, mode="PERMISSIVE")
+    table = spark.read.csv(path, header=True, mode="PERMISSIVE", quote='"', escape='"', multiLine=multi_line)
     table = table.withColumnsRenamed(CSV_HEADER)
-    return table.select(
-        *[
-            (F.col(f.name).try_cast(f.dataType) if f.name in table.columns else F.lit(None).cast(f.dataType)).alias(
-                f.name
-            )
-            for f in RAW_SCHEMA.fields
-        ]
-    )
+    text = table.select(*[F.when(~F.col(f"`{c}`").isin(NULL_WORDS), F.col(f"`{c}`")).alias(c) for c in table.columns])
+
+    def value(f: T.StructField):
+        if f.name not in table.columns:
+            return F.lit(None).cast(f.dataType)
+        return number(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name).try_cast(f.dataType)
+
+    return text.select(*[value(f).alias(f.name) for f in RAW_SCHEMA.fields])
+
+
+def write_raw_csv(raw: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store raw records as a headed CSV that :func:`read_raw_csv` reads back."""
+    raw.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def read_raw_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -145,3 +145,31 @@ def test_stored_observations_come_back(raw, spark, tmp_path):
     assert read_filtered_json(spark, str(tmp_path / "json")).orderBy("id").collect() == expected
     one = read_obs(spark, str(tmp_path / "obs")).filter(F.col("decade") == 1990)
     assert "PartitionFilters: [isnotnull(decade" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_csv_quotes_null_words_and_odd_numbers(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text(
+        'id,name,recclass,mass (g),fall,year,reclat,reclong\n'
+        '1,"x ""q"", y",L6,21,Fell,1900,1.5,2.5\n'
+        "2,NA,NA,n/a,null,N/A,NaN,2\n"
+        "3,c,,5,Found,1e12,1d,nan\n"
+        '4,"two\nlines",H5,7,Fell,2000,1e1,-3\n'
+    )
+    rows = {r.id: r for r in read_raw_csv(spark, str(path), multi_line=True).collect()}
+    assert (rows[1].name, rows[1].recclass, rows[1].mass_raw, rows[1].reclat, rows[1].reclong) == ('x "q", y', "L6", "21", 1.5, 2.5)
+    assert (rows[2].name, rows[2].recclass, rows[2].fall, rows[2].reclat) == (None, None, None, None)
+    assert (rows[3].recclass, rows[3].reclat, rows[3].reclong) == (None, None, None)
+    assert (rows[4].name, rows[4].reclat) == ("two\nlines", 10.0)
+    typed = cleaning.coerce_numeric(read_raw_csv(spark, str(path), multi_line=True))
+    years = {r.id: (r.year, r.decade) for r in cleaning.derive_decade(cleaning.fill_year(typed)).collect()}
+    assert years == {1: (1900, 1900), 2: (0, 0), 3: (0, 0), 4: (2000, 2000)}
+
+
+def test_nan_is_missing_in_chain_report_and_profile(spark):
+    schema = "id long, name string, recclass string, mass_raw string, fall string, year_raw string, reclat double, reclong double"
+    nan = float("nan")
+    rows = [(1, "a", "L6", "5", "Fell", "1900", nan, 1.0), (2, "b", "L6", "5", "Fell", "1900", 1.0, 1.0)]
+    raw = spark.createDataFrame(rows, schema)
+    assert cleaning.clean_report(raw, 2025).first().rows_out == cleaning.clean_obs(raw, 2025).count() == 1
+    assert {r.column: r.nulls for r in cleaning.null_profile(raw).collect()}["reclat"] == 1

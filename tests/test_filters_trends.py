@@ -1,3 +1,5 @@
+import pytest
+
 from geoscope.operators import facets, filters, trends
 
 
@@ -22,11 +24,12 @@ def test_ranges_are_inclusive_and_bad_ranges_ignored(make_obs):
     assert ids(filters.filter_year_valid(obs)) == [1, 2]
 
 
-def test_long_lists_become_a_semi_join(make_obs):
+def test_long_lists_stay_one_predicate(make_obs):
     obs = make_obs([{"recclass": c} for c in ("c5", "zzz", "c1999")])
     chosen = filters.filter_class(obs, [f"c{i}" for i in range(2000)])
     assert ids(chosen) == [0, 2]
-    assert "LeftSemi" in chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert chosen.schema == obs.schema
+    assert "Join" not in chosen._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_cross_filter_collapses_duplicates(make_obs, spark):
@@ -104,3 +107,18 @@ def test_no_found_gives_no_ratio(make_obs):
     assert row.fell == 1 and row.fell_found_ratio is None
     empty = facets.kpi_fall_ratio(make_obs([{}]).filter("false")).first()
     assert empty.n == 0 and empty.total_mass == 0
+
+
+@pytest.mark.parametrize("size", [1, 999, 1001])
+def test_lists_of_any_length_keep_rows_and_columns(spark, make_obs, size):
+    obs = make_obs([{"recclass": c} for c in ("L6", "H5", "c0", "none")])
+    found = filters.filter_class(obs, ["L6", *[f"c{i}" for i in range(size - 1)]])
+    assert found.schema == obs.schema
+    assert {r.recclass for r in found.collect()} == ({"L6", "c0"} if size > 1 else {"L6"})
+
+
+def test_a_table_of_classes(spark, make_obs):
+    obs = make_obs([{"recclass": c} for c in ("L6", "H5", "c0", "none")])
+    listed = spark.range(100_000).selectExpr("concat('c', id) AS recclass").union(spark.createDataFrame([("L6",)], "recclass string"))
+    found = filters.filter_class(obs, listed)
+    assert found.schema == obs.schema and {r.recclass for r in found.collect()} == {"L6", "c0"}

@@ -32,12 +32,14 @@ def test_mass_model_beats_the_mean_and_survives_storage(signal, make_locations,
     assert upwards == [r.importance for r in importance[::-1]]
     locs = make_locations([{"lat": a, "detection": d} for a in (-40.0, 40.0) for d in ("all", "Fell", "Found", "x")])
     first = {r.location_id: r for r in ml.predict_mass_blend(model, locs, 2025).collect()}
-    assert set(first) == {0, 1, 2, 4, 5, 6} and first[4].predicted_mass > 50 * first[0].predicted_mass
+    assert set(first) == set(range(8)) and first[3].predicted_mass == first[7].predicted_mass == ml.DEFAULT_MASS
+    assert first[4].predicted_mass > 50 * first[0].predicted_mass
     for k in (0, 4):
         blend = 0.6 * first[k + 2].predicted_mass + 0.4 * first[k + 1].predicted_mass
         assert first[k].predicted_mass == pytest.approx(blend)
     ml.save_model(model, str(tmp_path), spark)
     again = ml.load_or_train("mass", str(tmp_path), signal)
+    assert ml.load_or_train("mass", str(tmp_path), signal, force=True, num_trees=2, max_depth=2).score != model.score
     assert again.score == model.score
     assert {r.location_id: r for r in ml.predict_mass_blend(again, locs, 2025).collect()} == first
 

@@ -18,7 +18,7 @@ FORBIDDEN = (
 )
 
 # These pass rows through fitted MLlib stages, which Spark plans as (JVM) functions of its own.
-MODELS = {"class_codes", "count_forecast"}
+MODELS = {"class_codes", "predict_mass_check", "predict_mass_blend_check", "predict_class_check"}
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
