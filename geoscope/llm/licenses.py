@@ -75,24 +75,20 @@ def needed(size: int, threshold: float) -> int:
     return max(1, next(n for n in range(size + 1) if n >= threshold * size - 1e-9))
 
 
-def _blocks(docs: DataFrame, templates: list[Template], threshold: float, row: str, text: str) -> DataFrame:
-    """``row, words``: of each line the template words it holds, if they could suffice for any template."""
-    vocabulary = sorted({w for t in templates for w in template_words(t)})
+def template_sets(text: Column, templates: list[Template], threshold: float) -> Column:
+    """Of each line of a text the template words it holds, sorted, if they could suffice for any template."""
+    vocabulary = F.array(*map(F.lit, sorted({w for t in templates for w in template_words(t)})))
     least = min(needed(len(template_words(t)), threshold) for t in templates)
-    lines = docs.select(row, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    words = F.split(spelled(F.col("line")), " ")
-    held = lines.select(row, F.array_intersect(words, F.array(*map(F.lit, vocabulary))).alias("words"))
-    return held.filter(F.size("words") >= least).select(row, F.array_sort("words").alias("words"))
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    held = F.transform(lines, lambda line: F.array_sort(F.array_intersect(F.split(spelled(line), " "), vocabulary)))
+    return F.filter(held, lambda words: F.size(words) >= least)
 
 
-def similar_blocks(
-    docs: DataFrame, templates: list[Template], threshold: float, row: str, text: str = "text"
-) -> DataFrame:
-    """``row, label, score``: for every row of ``docs`` and label whose template some line of its text
-    contains to at least ``threshold``, the largest containment (shared words over the template's). Null
-    and empty texts have no lines that match; repeated rows give repeated results through ``row``."""
-    spark = docs.sparkSession
-    blocks, _ = files.written(_blocks(docs, templates, threshold, row, text), "blocks")
+def similar_blocks(blocks: DataFrame, templates: list[Template], threshold: float, row: str) -> DataFrame:
+    """``row, label, score``: for every row and label whose template one of the row's blocks contains to at
+    least ``threshold``, the largest containment (shared words over the template's). ``blocks`` has a row
+    for each set of ``words`` that :func:`template_sets` gives."""
+    spark = blocks.sparkSession
     sets = blocks.groupBy("words").agg(F.count("*").alias("times"))
     sizes = [
         (n, t.label, words, needed(len(words), threshold)) for n, t in enumerate(templates) for words in [template_words(t)]
@@ -148,10 +144,16 @@ def scan(
     their labels. ``labels`` adds those of the templates a line of the text contains; ``score`` is 1 with
     a phrase, else the largest containment found, else 0. Null texts count as empty; repeated rows are
     reported each."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    words = rows.select("id", "row", spelled(F.col("text")).alias("words"))
-    base = words.select("id", "row", *[c.alias(n) for n, c in phrase_columns(F.col("words"), phrases).items()])
-    similar = similar_blocks(rows, templates, threshold, "row").groupBy("row").agg(
+    words = docs.select(
+        F.col(id_col).alias("id"),
+        F.monotonically_increasing_id().alias("row"),
+        spelled(F.col(text_col)).alias("words"),
+        template_sets(F.col(text_col), templates, threshold).alias("sets"),
+    )
+    # the one pass over the texts; row numbers are stable once written
+    base, _ = files.written(words.select("id", "row", "sets", *[c.alias(n) for n, c in phrase_columns(F.col("words"), phrases).items()]), "lines")
+    blocks = base.select("row", F.explode("sets").alias("words"))
+    similar = similar_blocks(blocks, templates, threshold, "row").groupBy("row").agg(
         F.collect_set("label").alias("more"), F.max("score").alias("most")
     )  # at most a label for each template
     none = F.array().cast("array<string>")
