@@ -6,6 +6,7 @@ from conftest import SMALL
 
 import __spark_entry__ as entry
 import compare
+from geoscope.plans.registry import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ FORBIDDEN = (
 MODELS = {"class_codes", "predict_mass_check", "predict_mass_blend_check", "predict_class_check"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(name, spark, con):
     result = entry.queries()[name](spark, SMALL)
     if name not in MODELS:
