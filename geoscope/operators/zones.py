@@ -256,9 +256,9 @@ def _bucketed(obs: DataFrame, value: str) -> DataFrame:
 
 def _zone_buckets(points: DataFrame, zones: DataFrame, shape: str, cell: float) -> DataFrame:
     """Per zone and coarse value bucket: records, smallest and largest value."""
-    spread = points.withColumn("low", F.col("value")).withColumn("high", F.col("value"))
+    ranged = points.withColumn("low", F.col("value")).withColumn("high", F.col("value"))
     return zone_summary(
-        spread, zones, by=["b1"], measures={"n": "sum", "low": "min", "high": "max"}, shape=shape, cell=cell
+        ranged, zones, by=["b1"], measures={"n": "sum", "low": "min", "high": "max"}, shape=shape, cell=cell
     )
 
 

@@ -358,8 +358,8 @@ add(
     "obs parameters",
     f"""{_SERIES} SELECT location_id, category, """
     + ", ".join(
-        f"CAST(min(CASE WHEN cumulative >= {t} - 1e-12 THEN {YEAR} + i END) AS INT) AS year_{int(t * 100)}"
-        for t in forecast.THRESHOLDS
+        f"CAST(min(CASE WHEN cumulative >= {t} THEN {YEAR} + i END) AS INT) AS year_{name}"
+        for t, name in ((0.25, 25), (0.5, 50), (0.75, 75))
     )
     + " FROM series GROUP BY 1, 2",
 )
