@@ -21,8 +21,9 @@ from geoscope.llm import files
 
 CANDIDATES, QUERIES = 2048, 256
 LEVELS = 16
-#: Segments are taken in this many stages at most; candidates left are scored exactly from so few on.
-STAGES, RESCORE = 8, 64
+#: Segments are taken in this many stages at most. Scoring a candidate exactly costs less than a stage's
+#: postings once so few are left.
+STAGES, RESCORE = 8, 512
 NO_ID = (1 << 63) - 1
 
 
@@ -44,9 +45,12 @@ class Index:
         step = np.maximum(1, -(-(top - low + 1) // LEVELS))
         level = (top - values) // step
         change = np.vstack([np.ones((1, width), dtype=bool), level[1:] != level[:-1]]).T.ravel()
-        self.ids, self.values = order.T.ravel(), values.T.ravel().astype(np.float64)
+        self.ids = np.tile(order.T.ravel().astype(np.int32), 2)
+        self.values = values.T.ravel().astype(np.float64)
+        # components above the dimension's smallest, and below its largest, one after the other
+        self.above = np.concatenate([(values - low).T.ravel(), (top - values).T.ravel()]).astype(np.float64)
         self.starts = np.flatnonzero(change)
-        self.sizes = np.diff(np.append(self.starts, len(self.ids)))
+        self.sizes = np.diff(np.append(self.starts, len(self.values)))
         self.dimension = self.starts // n
         self.high, self.low = self.values[self.starts], self.values[self.starts + self.sizes - 1]
         self.first = np.searchsorted(self.dimension, np.arange(width))
@@ -59,6 +63,7 @@ class Index:
         least = np.minimum(weight * self.high, weight * self.low)
         floor = np.minimum.reduceat(least, self.first)  # each dimension's smallest contribution
         impact = most - floor[self.dimension]
+        starts, factor = self.starts + np.where(weight < 0, len(self.values), 0), np.abs(weight)
         order = np.argsort(-impact, kind="stable")
         order = order[weight[order] != 0]
         gained = np.zeros(n)  # above the sum of floors
@@ -70,8 +75,9 @@ class Index:
             if not len(segments):
                 continue
             size = self.sizes[segments]
-            place = np.repeat(self.starts[segments] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            contributed = self.values[place] * np.repeat(weight[segments], size) - np.repeat(floor[self.dimension[segments]], size)
+            ends = np.cumsum(size)
+            place = np.repeat(starts[segments] - (ends - size), size) + np.arange(ends[-1])
+            contributed = self.above[place] * np.repeat(factor[segments], size)
             gained += np.bincount(self.ids[place], weights=contributed, minlength=n)
             rest = np.zeros(len(self.first))
             np.maximum.at(rest, self.dimension[order[part[-1] + 1 :]], impact[order[part[-1] + 1 :]])
