@@ -2,16 +2,19 @@
 
 A coarse quantiser deals unit vectors to inverted lists; the residual to the list's centre is cut in
 subspaces, each coded by its nearest codeword. Both are fitted by k-means on a bounded sample; every
-vector is indexed. A vector probes the ``probes`` nearest lists. In a list, its distances to all
-members come from table lookups: its residual's squared distances to all codewords, summed over a
-member's codes. By the triangle inequality a member within reach cannot have a looked-up distance
-above the reach plus its own coding error, which is stored with it; what passes is ranked anew by its
-exact cosine in double precision. So inside a probed list nothing is lost, and recall is set by the
-probes alone (the README has measured figures).
-
-Equal vectors are one entry with a weight. Lists are cut into chunks of members, and the vectors that
-probe them likewise; each pair of chunks is one bounded task, so a list that holds a third of all
-vectors is many tasks. Tasks emit counts and a forest of links, never pairs.
+vector is indexed. A vector probes the ``probes`` nearest lists and all others that can hold a vector
+within reach. Two bounds tell: the list's radius (the largest distance of its vectors to its centre, over
+the whole table) by the triangle inequality, and the distance to the border between the two lists, on
+whose other side all vectors of the list lie. In a list, a vector's distances to all members come from
+table lookups: its residual's squared distances to all codewords, summed over a member's codes. A member
+within reach cannot have a looked-up distance above the reach plus its own coding error; what passes is
+ranked anew by its exact cosine in double precision. So no link is lost, however a dense group is cut
+into lists. Vectors without any structure are within both bounds of nearly all lists, so the search
+then compares nearly all pairs.
+
+Equal vectors are one entry with a weight. Of two lists only the lower one's vectors ask. Small lists
+share a block, large ones are cut into chunks, and each pair of chunks is one bounded task, so a list
+that holds a third of all vectors is many tasks. Tasks emit counts and a forest of links, never pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +32,11 @@ from geoscope.llm.topk import is_valid
 #: The sample that fits the index, and sizes of the index. Lists follow the sample, with LIST_SAMPLE
 #: sampled vectors each; so a larger corpus calls for a larger sample.
 SAMPLE, LIST_SAMPLE, SUBSPACES, CODEWORDS, ROUNDS = 16_384, 128, 8, 64, 8
-CHUNK = 1024
+#: Vectors are compared so many by so many; a task has SIDE times as many of either side, and ranks so many
+#: pairs at once.
+CHUNK, SIDE, PAIRS = 1024, 4, 1 << 16
+#: Above the rounding errors of distances.
+SLACK = 1e-6
 SEED = 11
 
 
@@ -95,6 +102,39 @@ def fit(sample: np.ndarray) -> Index:
     return Index(centres, np.stack(books))
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What a list can hold, and the tasks: blocks of lists with consecutive numbers, or chunks of one list."""
+
+    radius: np.ndarray  # of each list; below zero without bound when empty
+    between: np.ndarray  # distances of the centres
+    firsts: np.ndarray  # each block's first list
+    chunks: list[int]  # of each block
+
+    @staticmethod
+    def of(index: Index, sizes: dict[int, int], radii: dict[int, float]) -> Plan:
+        lists, side = len(index.centres), SIDE * CHUNK
+        radius = np.array([radii.get(n, -np.inf) for n in range(lists)])
+        firsts, held = [0], [sizes.get(0, 0)]
+        for n in range(1, lists):
+            if held[-1] + sizes.get(n, 0) > side:
+                firsts.append(n)
+                held.append(0)
+            held[-1] += sizes.get(n, 0)
+        between = np.sqrt(distances(index.centres, index.centres))
+        return Plan(radius, between, np.array(firsts), [max(1, -(-n // side)) for n in held])
+
+    def asked(self, index: Index, rows: np.ndarray, home: np.ndarray, reach: float, probes: int) -> np.ndarray:
+        """Of each row, which lists it asks: of those from its own on, the nearest ``probes`` ones and all
+        that can hold a row within reach."""
+        apart = distances(rows, index.centres)
+        own = np.take_along_axis(apart, home[:, None], 1)
+        can = np.sqrt(apart) <= reach + self.radius + SLACK
+        can &= apart - own <= 2 * reach * self.between[home] + SLACK
+        np.put_along_axis(can, np.argsort(apart, axis=1, kind="stable")[:, :probes], True, 1)
+        return can & (self.radius >= 0) & (home[:, None] <= np.arange(len(index.centres)))
+
+
 def unit_rows(vectors: pd.Series, width: int) -> np.ndarray:
     """The vectors at length one, filled with zeros to the width. None may be zero."""
     out = np.zeros((len(vectors), width))
@@ -104,23 +144,43 @@ def unit_rows(vectors: pd.Series, width: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def _reach(cosine: float) -> float:
+    """The largest distance of unit vectors with that cosine."""
+    return float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+
+
 def _close(members: np.ndarray, codes, errors, asking: np.ndarray, residuals, index: Index, cosine: float):
     """Pairs (asking, member) with at least that cosine: looked up, then ranked exactly."""
-    reach = np.sqrt(max(0.0, 2 - 2 * cosine))
-    a, b = np.nonzero(index.lookup(residuals, codes) <= (reach + errors + 1e-9) ** 2)
-    exact = np.einsum("ij,ij->i", asking[a], members[b])
-    keep = exact >= cosine
+    a, b = np.nonzero(index.lookup(residuals, codes) <= (_reach(cosine) + errors + SLACK) ** 2)
+    cuts = range(0, len(a), PAIRS)
+    exact = [np.einsum("ij,ij->i", asking[a[n : n + PAIRS]], members[b[n : n + PAIRS]]) for n in cuts]
+    keep = np.concatenate([np.zeros(0), *exact]) >= cosine
     return a[keep], b[keep]
 
 
+def _forest(left: np.ndarray, right: np.ndarray, left_weight: np.ndarray, right_weight: np.ndarray) -> pd.DataFrame:
+    """Of pairs of entries: how many rows each is linked with, and the smallest entry it is connected to."""
+    nodes, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+    links = np.bincount(place, weights=np.concatenate([right_weight, left_weight]), minlength=len(nodes))
+    label, p, q = np.arange(len(nodes)), place[: len(left)], place[len(left) :]
+    while len(nodes):
+        new = label.copy()
+        np.minimum.at(new, p, label[q])
+        np.minimum.at(new, q, label[p])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return pd.DataFrame({"entry": nodes, "links": links.astype(np.int64), "to": nodes[label]})
+
+
 def near_duplicates(
     vectors: DataFrame, cosine: float = 0.9, probes: int = 8, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """For every row: ``id_col, n_links`` (other rows linked directly), ``component_id`` (the smallest id
     reachable by links, its own included) and ``kept`` (its own id is that).
 
-    Links join rows whose vectors have at least that cosine, by exact double precision, and that the
-    index finds. Equal vectors are linked. Vectors that are null, zero or hold null or non-finite
+    Links join rows whose vectors have at least that cosine, by exact double precision. Equal vectors are linked. Vectors that are null, zero or hold null or non-finite
     components link with nothing; shorter vectors count as filled with zeros. Rows with equal ids are
     told apart by place. An empty table gives no rows."""
     spark = vectors.sparkSession
@@ -142,64 +202,76 @@ def near_duplicates(
             F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept")
         )
     width = classes.agg(F.max(F.size("vector"))).first()[0]
-    sent = spark.sparkContext.broadcast(fit(unit_rows(sample, width)))  # its size is set by SAMPLE
+    fitted, reach = fit(unit_rows(sample, width)), _reach(cosine)
+    sent = spark.sparkContext.broadcast(fitted)  # its size is set by SAMPLE
 
     def assign(batches):
         index = sent.value
         for batch in batches:
             if len(batch):
-                lists = nearest(unit_rows(batch["vector"], width), index.centres, probes)
-                yield pd.DataFrame({"entry": batch["entry"], "weight": batch["weight"], "vector": batch["vector"], "lists": list(lists)})
+                apart = distances(unit_rows(batch["vector"], width), index.centres)
+                yield batch.assign(list=apart.argmin(axis=1), away=np.sqrt(apart.min(axis=1)))
 
-    assigned, _ = files.written(
-        classes.select("entry", "weight", "vector").mapInPandas(assign, "entry bigint, weight bigint, vector array<double>, lists array<int>"),
-        "assigned",
+    columns = "entry bigint, weight bigint, vector array<double>, list int"
+    assigned, place = files.written(
+        classes.select("entry", "weight", "vector").mapInPandas(assign, f"{columns}, away double"), "assigned"
     )
-    member = assigned.select("*", F.col("lists")[0].alias("list"), F.lit(True).alias("is_member"))
-    asking = assigned.select("*", F.explode("lists").alias("list"), F.lit(False).alias("is_member"))
-    # chunks of a list: a row for each list, bounded by the index
-    chunks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
-    sizes = F.broadcast(chunks(member, "members").join(chunks(asking, "askings"), "list"))
-    part = lambda n: F.pmod(F.xxhash64("entry"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["entry", "weight", "vector", "lists", "list", "is_member"]
+    held = assigned.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect()  # a row for each list
+    plan = Plan.of(fitted, {r["list"]: r["n"] for r in held}, {r["list"]: r["away"] for r in held})
+    planned = spark.sparkContext.broadcast(plan)
+
+    def ask(batches):
+        index, plan = sent.value, planned.value
+        for batch in batches:
+            if len(batch):
+                home = batch["list"].to_numpy()
+                asked = plan.asked(index, unit_rows(batch["vector"], width), home, reach, probes)
+                blocks = np.logical_or.reduceat(asked, plan.firsts, axis=1)
+                own = np.searchsorted(plan.firsts, home, side="right") - 1
+                yield batch.drop(columns="away").assign(own=own, asks=[np.flatnonzero(row) for row in blocks])
+
+    asked, _ = files.written(assigned.mapInPandas(ask, f"{columns}, own int, asks array<int>"), "asked")
+    files.drop(spark, place)
+    number = F.array(*map(F.lit, plan.chunks))  # bounded by the index, like the pairs of blocks
+    part = lambda block: F.pmod(F.xxhash64("entry"), number[F.col(block)]).cast("int")
+    every = lambda block: F.explode(F.sequence(F.lit(0), number[F.col(block)] - 1))
+    row = ["entry", "weight", "vector", "list"]
+    asking = asked.select(*row, F.lit(False).alias("is_member"), "own", F.explode("asks").alias("block"))
+    member = asked.select(*row, F.lit(True).alias("is_member"), F.col("own").alias("block"))
+    member = member.join(F.broadcast(asking.select("own", "block").distinct()), "block")
     dealt = (
-        member.join(sizes, "list")
-        .select(*columns, part("members").alias("m"), every("askings").alias("a"))
-        .unionByName(asking.join(sizes, "list").select(*columns, every("members").alias("m"), part("askings").alias("a")))
+        asking.select("*", part("own").alias("a"), every("block").alias("m"))
+        .unionByName(member.select("*", every("own").alias("a"), part("block").alias("m")))
+        .filter("own <> block OR a <= m")
     )
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        index, of = sent.value, int(part["list"].iloc[0])
+        index = sent.value
+        out = [pd.DataFrame({"entry": [], "links": [], "to": []}).astype("int64")]
         held, asks = part[part["is_member"].to_numpy()], part[~part["is_member"].to_numpy()]
         if not len(held) or not len(asks):
-            return pd.DataFrame({"entry": [], "links": [], "to": []}).astype("int64")
+            return out[0]
         x, y = unit_rows(asks["vector"], width), unit_rows(held["vector"], width)
-        codes, errors = index.code(y - index.centres[of])
-        a, b = _close(y, codes, errors, x, x - index.centres[of], index, cosine)
-        asks_id, held_id = asks["entry"].to_numpy(), held["entry"].to_numpy()
-        # a pair can be found from both sides: inside one list it counts once, by order; else where the
-        # member would not ask in turn, or in the lower list
-        home = np.array([lists[0] for lists in asks["lists"]])[a]
-        back = (np.stack(held["lists"].to_numpy())[b] == home[:, None]).any(axis=1)
-        once = np.where(home == of, asks_id[a] < held_id[b], ~back | (of < home))
-        a, b = a[once], b[once]
-        left, right = asks_id[a], held_id[b]
-        weights = asks["weight"].to_numpy()[a], held["weight"].to_numpy()[b]
-        nodes, place = np.unique(np.concatenate([left, right]), return_inverse=True)
-        links = np.bincount(place, weights=np.concatenate([weights[1], weights[0]]), minlength=len(nodes))
-        label, p, q = np.arange(len(nodes)), place[: len(left)], place[len(left) :]
-        while len(nodes):
-            new = label.copy()
-            np.minimum.at(new, p, label[q])
-            np.minimum.at(new, q, label[p])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        return pd.DataFrame({"entry": nodes, "links": links.astype(np.int64), "to": nodes[label]})
-
-    found, _ = files.written(dealt.groupBy("list", "m", "a").applyInPandas(compare, "entry bigint, links bigint, to bigint"), "links")
+        asks_id, held_id, home, kind = (t[c].to_numpy() for c in ("entry", "list") for t in (asks, held))
+        asks_weight, held_weight = asks["weight"].to_numpy(), held["weight"].to_numpy()
+        asked = planned.value.asked(index, x, home, reach, probes)
+        one = part["a"].iloc[0] == part["m"].iloc[0]
+        for of in np.unique(kind):
+            all_of, asking_of = np.flatnonzero(kind == of), np.flatnonzero(asked[:, of])
+            for at in range(0, len(all_of), CHUNK):
+                members = all_of[at : at + CHUNK]
+                codes, errors = index.code(y[members] - index.centres[of])
+                for start in range(0, len(asking_of), CHUNK):
+                    rows = asking_of[start : start + CHUNK]
+                    a, b = _close(y[members], codes, errors, x[rows], x[rows] - index.centres[of], index, cosine)
+                    a, b = rows[a], members[b]
+                    if one:  # inside one chunk of a list a pair is found from both sides and counts once, by order
+                        once = (home[a] != of) | (asks_id[a] < held_id[b])
+                        a, b = a[once], b[once]
+                    out.append(_forest(asks_id[a], held_id[b], asks_weight[a], held_weight[b]))
+        return pd.concat(out)
+
+    found, _ = files.written(dealt.groupBy("own", "block", "a", "m").applyInPandas(compare, "entry bigint, links bigint, to bigint"), "links")
     counts = found.groupBy("entry").agg(F.sum("links").alias("links"))
     roots, _ = components.components(found.select(F.col("entry").alias("a"), F.col("to").alias("b")))
     rooted = classes.join(roots, F.col("entry") == F.col("node"), "left").select(

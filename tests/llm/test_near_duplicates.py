@@ -265,6 +265,21 @@ def test_recall_on_a_table(spark):
     assert sum(found.values()) >= 0.99 * sum(expected.values())
 
 
+def test_dense_group_of_different_vectors(spark, monkeypatch):
+    """A third of the table is one group whose vectors are nearly all linked, cut into more lists than are probed."""
+    monkeypatch.setattr(vector_dedup, "LIST_SAMPLE", 32)
+    rng = np.random.default_rng(9)
+    unit = rng.normal(size=(3000, 32))
+    unit[:1000] = unit[0] + 0.28 * rng.normal(size=(1000, 32))
+    unit[1000:1200] = unit[1200:1400] + 0.3 * rng.normal(size=(200, 32))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(frame, 0.9).collect()}
+    expected = ((unit @ unit.T) >= 0.9).sum(axis=1) - 1
+    assert expected[:1000].mean() > 900
+    assert [found[n] for n in range(len(unit))] == expected.tolist()
+
+
 def test_index_loses_nothing_in_a_list():
     rng = np.random.default_rng(2)
     unit = rng.normal(size=(400, 24))
