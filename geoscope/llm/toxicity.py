@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoscope.llm import files
 from geoscope.llm.bpe import in_parts
 from geoscope.llm.kept import Kept
 
@@ -212,9 +213,10 @@ def is_held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from labelled rows that are not held out: of each label at most ``rows``, those with the
-    smallest hashes of (id, text), so that the sample is the same at every run. Ids with labels of both
-    kinds, and null labels, teach nothing."""
+    """Learns from labelled rows that are not held out. Of each label the ``rows`` ids with the smallest hashes
+    are taken, and of their different rows at most ``rows``, those with the smallest hashes of (id, text), so
+    that the sample is the same at every run and neither label takes the other's place. Repeated rows count
+    once. Ids with labels of both kinds, and null labels, teach nothing."""
     agreed = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
         .groupBy("doc_id")
@@ -229,8 +231,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     chosen = parts[0].union(parts[1])
     texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").filter("text is not null")
-    sample = found.withColumn("order", F.xxhash64("doc_id", "text")).orderBy("toxic", "order", "doc_id").limit(4 * rows)
-    got = sample.select("toxic", "text").toArrow()
+    # equal rows are one; a row repeated very often combines before the shuffle
+    distinct, place = files.written(found.select("toxic", "doc_id", "text").distinct(), "labelled_texts")
+    each = [
+        distinct.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(rows).toArrow()
+        for value in (0, 1)
+    ]
+    files.drop(docs.sparkSession, place)
+    got = pa.concat_tables(each)
     return train(got.column("text").to_pylist(), got.column("toxic").to_numpy())
 
 

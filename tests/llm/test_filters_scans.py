@@ -88,6 +88,19 @@ def test_held_out_labels_and_odd_rows_teach_nothing(spark, labelled):
     assert toxicity.score(docs.limit(0), nothing).count() == 0
 
 
+def test_a_repeated_row_does_not_displace_the_others(spark, labelled):
+    texts, labels = labelled
+    learned = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    given = spark.createDataFrame(list(enumerate(map(int, labels))), "doc_id long, toxic int")
+    once = toxicity.fit(docs, given)
+    assert once.by_feature.any()
+    for label in (0, 1):
+        hot = next(i for i in learned if labels[i] == label)
+        more = toxicity.fit(docs.union(spark.range(20_000).select(F.lit(hot).cast("long"), F.lit(texts[hot]))), given)
+        assert more.bias == once.bias and (more.by_feature == once.by_feature).all()
+
+
 def test_op7_columns(spark):
     rows = queries.op7_toxicity(spark, SMALL).collect()
     assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
