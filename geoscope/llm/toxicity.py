@@ -32,8 +32,8 @@ GRAMS = range(3, 7)
 #: Words of more characters are cut into pieces of so many, the most toxic of which counts.
 WORD_CHARS = 32
 PASSAGE = 8
-#: Bounds of the training sample: rows of each label, and characters of a training text.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
+#: Bound of the training sample: rows of each label. Their texts are learned whole.
+SAMPLE_ROWS = 2500
 #: Features that stand in fewer training texts have no vector.
 RARE = 2
 #: Training goes from whole texts to passages: up to these shares of the updates, passages are so
@@ -122,7 +122,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     vocabulary: dict[str, int] = {}
     spelled, counts = array("i"), np.zeros(len(texts), dtype=np.int64)
     for n, text in enumerate(texts):
-        split = text[:SAMPLE_CHARS].split()
+        split = text.split()
         spelled.extend([vocabulary.setdefault(w, len(vocabulary)) for w in split])
         counts[n] = len(split)
     words, known = np.array(spelled, dtype=np.int32), _Words(vocabulary)
@@ -229,8 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         ids = agreed.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         parts.append(ids)
     chosen = parts[0].union(parts[1])
-    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").filter("text is not null")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
     # equal rows are one; a row repeated very often combines before the shuffle
     distinct, place = files.written(found.select("toxic", "doc_id", "text").distinct(), "labelled_texts")
     each = [

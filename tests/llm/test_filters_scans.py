@@ -101,6 +101,20 @@ def test_a_repeated_row_does_not_displace_the_others(spark, labelled):
         assert more.bias == once.bias and (more.by_feature == once.by_feature).all()
 
 
+def test_late_passages_are_learned(spark, labelled):
+    """A word that stands only beyond the first 20,000 characters of some toxic texts has a vector."""
+    texts, labels = labelled
+    learned = [i for i in range(len(texts)) if labels[i] and zlib.crc32(str(i).encode()) % 5][:40]
+    clean = " ".join(t for t, y in zip(texts, labels) if not y)[:21_000]
+    long = [clean + " loathsome" if i in learned else t for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    given = spark.createDataFrame(list(enumerate(map(int, labels))), "doc_id long, toxic int")
+    model = toxicity.fit(docs, given)
+    own = [f for f in toxicity.features("loathsome") if f not in {f for t in texts for w in t.split() for f in toxicity.features(w)}]
+    assert own and model.by_feature[own].all()
+    assert toxicity.Scorer(model).score(pa.array(["so loathsome"]))[0] > toxicity.Scorer(model).score(pa.array(["so"]))[0]
+
+
 def test_op7_columns(spark):
     rows = queries.op7_toxicity(spark, SMALL).collect()
     assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
