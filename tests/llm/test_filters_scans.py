@@ -5,6 +5,7 @@ import itertools
 import os
 import re
 import sys
+import textwrap
 import zlib
 
 import duckdb
@@ -149,6 +150,23 @@ def test_licenses_match_sql(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_wrapped_notices(spark):
+    """A notice wrapped in any way gets the label of its template; its words far apart do not."""
+    bsd, gpl, mit = (next(t.text for t in queries.TEMPLATES if t.label == n) for n in ("bsd", "gpl", "mit"))
+    wrap = lambda text, width, mark="", end="\n": end.join(mark + x for x in textwrap.wrap(text, width))
+    texts = {
+        "bsd": [wrap(bsd, 70), wrap(bsd, 40, "# "), "x y z. " + wrap(bsd, 76, " * ", "\r\n") + " more", wrap(bsd, 60, "dnl "), wrap(bsd, 50, "", "\n\n")],
+        "gpl": [wrap(gpl, 72, "// "), wrap(gpl.replace("you can ", ""), 30), "word " * 3000 + "\n" + wrap(gpl, 80)],
+        "mit": [wrap(mit, 45), wrap(mit.replace("free of charge, ", ""), 20)],
+        "": ["\n".join(x + " word" * 60 for x in textwrap.wrap(bsd, 70)), wrap(bsd, 70)[:70], "\n".join(bsd.split()[:8] * 5)],
+    }
+    rows = [(label, n, text) for label, some in texts.items() for n, text in enumerate(some)]
+    docs = spark.createDataFrame([(n, text) for n, (_, _, text) in enumerate(rows)], "doc_id long, text string")
+    found = licenses.scan(docs, {"no such phrase": "none"}, queries.TEMPLATES, queries.CONTAINMENT).collect()
+    assert {r.doc_id: r.labels for r in found} == {n: label for n, (label, _, _) in enumerate(rows)}
+    assert all((r.score >= queries.CONTAINMENT) == bool(r.labels) for r in found)
+
+
 def test_places_by_plain_counting(spark):
     docs = odd_docs(spark).union(odd_docs(spark).limit(0))
     found = licenses.scan(docs, queries.PHRASES, queries.TEMPLATES, queries.CONTAINMENT).collect()
