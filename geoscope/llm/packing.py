@@ -3,8 +3,9 @@
 Whole pieces of ``capacity`` ids fill sequences of their own. What is left of each document is dealt
 to windows by Karmarkar-Karp multiway differencing: of all partial partitions the two with the
 largest differences between their windows are merged, the fullest window of one with the emptiest of
-the other, until one partition is left. Its windows are near-equal, and their number rises until all
-ids fit. Documents may be cut, so what a window holds above its capacity is cut off for one with room.
+the other, until one partition is left. Its windows are near-equal. Documents may be cut, so what a window
+holds above its capacity is cut off for one with room; batches are taken so that all their ids fit the
+planned windows, whose number therefore never rises in :func:`pack`.
 
 Every task packs the rows it reads, a bounded batch at a time; no row moves between executors. A
 batch is cut so that its windows come out all but full, the rest goes to the next batch. What a task
@@ -92,7 +93,7 @@ def _size(pieces: list[tuple]) -> int:
 
 def near_equal(pieces: list[tuple], capacity: int, windows: int) -> list[list[tuple]]:
     """Pieces dealt to near-equal windows within the capacity. The number of windows rises until they can
-    hold all ids. Where the largest pieces leave a window above the capacity, what stands over is cut off
+    hold all ids, which those of :func:`pack` always can. Where the largest pieces leave a window above the capacity, what stands over is cut off
     and goes to windows with room."""
     while _size(pieces) > windows * capacity:
         windows += 1
