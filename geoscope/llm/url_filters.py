@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from geoscope.llm import files
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: So many bad URLs of one token set are dealt to a task at a time.
+CHUNK = 1000
 RULES = "rule bigint, tokens array<string>, support bigint, confidence double"
 
 
@@ -80,6 +82,16 @@ def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return met.select("tokens", "rule")
 
 
+def transactions(sets: DataFrame) -> DataFrame:
+    """``items``: the tokens of every set of ``sets`` (``tokens, bad``), once for each bad URL. Counts are dealt
+    out in chunks before tokens are repeated, so one set with very many bad URLs is spread over all tasks."""
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    firsts = F.sequence(F.lit(0).cast("bigint"), F.col("bad") - 1, F.lit(CHUNK).cast("bigint"))
+    chunks = sets.filter("bad > 0").select("tokens", "bad", F.explode(firsts).alias("first")).repartition(n)
+    size = F.least(F.lit(CHUNK), F.col("bad") - F.col("first")).cast("int")
+    return chunks.select(F.explode(F.array_repeat("tokens", size)).alias("items"))
+
+
 def mine(
     spark: SparkSession, urls: DataFrame, labels: DataFrame, min_support: float, min_count: int, min_confidence: float
 ) -> DataFrame:
@@ -98,8 +110,7 @@ def mine(
     least = max(min_count, min_support * total)
     if bad < least:
         return spark.createDataFrame([], RULES)
-    transactions = sets.filter("bad > 0").select(F.explode(F.array_repeat("tokens", F.col("bad").cast("int"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=least / bad, minConfidence=min_confidence).fit(transactions)
+    model = FPGrowth(itemsCol="items", minSupport=least / bad, minConfidence=min_confidence).fit(transactions(sets))
     frequent, _ = files.written(
         model.freqItemsets.select(F.monotonically_increasing_id().alias("rule"), F.array_sort("items").alias("tokens")), "itemsets"
     )

@@ -238,6 +238,14 @@ def test_mining_against_all_combinations(spark):
         assert r.confidence == (max(expected[c][1] for c in matching) if matching else None)
 
 
+def test_a_hot_token_set_is_dealt_to_all_tasks(spark):
+    sets = spark.createDataFrame([(["a", "b"], 100_500), (["a"], 3), (["c"], 0)], "tokens array<string>, bad long").coalesce(1)
+    found = url_filters.transactions(sets)
+    assert {tuple(r["items"]): r["count"] for r in found.groupBy("items").count().collect()} == {("a", "b"): 100_500, ("a",): 3}
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == 4 and max(tasks) < 30_000
+
+
 def test_without_labels_there_are_no_rules(spark):
     urls = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     none = spark.createDataFrame([], "page_id long, bad boolean")
