@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoscope.llm import bpe, files, licenses, packing, simhash, suffix, token_files, topk, toxicity, url_filters, vector_dedup
+from geoscope.llm import bpe, divergence, files, licenses, packing, simhash, suffix, token_files, topk, toxicity, url_filters, vector_dedup
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -162,5 +162,35 @@ OP9_SQL = """
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 
-QUERIES: dict[str, Build] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_bpe, op4_vector_dedup, op5_packing, op6_suffix, op7_toxicity, op8_licenses, op9_topk, op10_token_files)}
-ORACLES: dict[str, str] = {"op8_licenses": _op8_sql(), "op9_topk": OP9_SQL}
+TERM_DOCS, TOP_TERMS = 30, 50
+
+
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), TERM_DOCS, TOP_TERMS)
+
+
+OP11_SQL = f"""
+    WITH read AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}') AS s FROM documents),
+    words AS (SELECT rid, lang, source, unnest(regexp_extract_all(s, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM read),
+    groups AS (SELECT DISTINCT lang, source FROM read),
+    kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT rid) >= {TERM_DOCS}),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    every AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n
+        FROM groups AS g JOIN kept AS k USING (lang) LEFT JOIN counts AS c USING (lang, source, term)),
+    shares AS (SELECT lang, source, term, n,
+        1 + ({divergence.SCALE}::hugeint * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p,
+        1 + ({divergence.SCALE}::hugeint * (total + 5)) // (sum(total) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS q
+        FROM every),
+    apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+        FROM shares AS a JOIN shares AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    found AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0)::bigint AS value
+        FROM groups AS g JOIN groups AS o ON g.lang = o.lang AND g.source <> o.source
+        LEFT JOIN apart AS a ON a.lang = g.lang AND a.source = g.source AND a.item = o.source
+        UNION ALL SELECT lang, source, 'term', term, (p - q)::bigint FROM shares WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank FROM found)
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {TOP_TERMS}"""
+
+
+QUERIES: dict[str, Build] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_bpe, op4_vector_dedup, op5_packing, op6_suffix, op7_toxicity, op8_licenses, op9_topk, op10_token_files, op11_divergence)}
+ORACLES: dict[str, str] = {"op8_licenses": _op8_sql(), "op9_topk": OP9_SQL, "op11_divergence": OP11_SQL}
