@@ -160,7 +160,7 @@ def _billionths(count: str, total: str, terms: str) -> Column:
     return F.expr(f"1 + (cast({SCALE} as decimal(12, 0)) * ({count} + {ADDED})) div ({total} + {ADDED} * {terms})")
 
 
-def _shard_sums(table: pa.Table) -> pa.Table:
+def _shard_sums(table: pa.Table, block_sources: int) -> pa.Table:
     """Sums of |p - p'| over the terms of one shard, for sources of one block against those of another. Rows
     without a term give a source's p where it lacks the term, and the number of terms in the shard."""
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
@@ -173,7 +173,7 @@ def _shard_sums(table: pa.Table) -> pa.Table:
     width = len(code.dictionary)
     dense = np.repeat(without[:, None], width, axis=1)
     dense[np.searchsorted(numbers, number[known]), code.indices.to_numpy()] = p[known]
-    block = numbers // BLOCK_SOURCES
+    block = numbers // block_sources
     a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
     rest = int(terms[0]) - width
     out = [(i, b, np.abs(dense[i] - dense[b]).sum(axis=1) + rest * np.abs(without[i] - without[b])) for i in a]
@@ -195,13 +195,16 @@ def audit(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
+    shard_terms: int = SHARD_TERMS,
+    block_sources: int = BLOCK_SOURCES,
 ) -> DataFrame:
     """``lang, source, part, item, value, rank``. Part ``pair``: every other source of the language, by the
     summed difference of the two sources' shares of all terms that at least ``min_docs`` rows of the
     language have. Part ``term``: the terms a source has that stand out most against its whole language.
 
     Nulls count as empty strings; repeated rows count each; a source without terms is compared like any
-    other; an empty table gives no rows. Ties in ``value`` go to the smaller ``item``."""
+    other; an empty table gives no rows. Ties in ``value`` go to the smaller ``item``. ``shard_terms`` and
+    ``block_sources`` bound a task's matrices and change no result."""
     counts, _ = files.written(term_counts(docs, text_col, lang_col, source_col), "term_counts")
     spoken = counts.filter("term IS NOT NULL")
     kept, _ = files.written(
@@ -221,8 +224,8 @@ def audit(
         .withColumns(
             {
                 "number": F.row_number().over(in_lang.orderBy("source")) - 1,
-                "blocks": F.ceil(F.count("*").over(in_lang) / BLOCK_SOURCES).cast("int"),
-                "shards": F.greatest(F.ceil(F.col("terms") / SHARD_TERMS), F.lit(1)).cast("bigint"),
+                "blocks": F.ceil(F.count("*").over(in_lang) / block_sources).cast("int"),
+                "shards": F.greatest(F.ceil(F.col("terms") / shard_terms), F.lit(1)).cast("bigint"),
             }
         ),
         "sources",
@@ -249,13 +252,13 @@ def audit(
         .select("lang", "source", "number", "blocks", "shard", F.lit(None).cast("string").alias("term"), "p", F.coalesce("in_shard", F.lit(0)).alias("terms"))
     )
     told = shared.select("lang", "source", "number", "blocks", shard.alias("shard"), "term", "p", F.lit(0).cast("bigint").alias("terms"))
-    own, other = F.expr(f"number div {BLOCK_SOURCES}"), F.col("other")
+    own, other = F.expr(f"number div {block_sources}"), F.col("other")
     dealt = (
         told.unionByName(bare)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)))
         .select("lang", "shard", F.least(own, other).alias("low"), F.greatest(own, other).alias("high"), "source", "number", "term", "p", "terms")
     )
-    sums = dealt.groupBy("lang", "shard", "low", "high").applyInArrow(_shard_sums, "lang string, source string, item string, value bigint")
+    sums = dealt.groupBy("lang", "shard", "low", "high").applyInArrow(lambda table: _shard_sums(table, block_sources), "lang string, source string, item string, value bigint")
     pair_part = (
         sums.groupBy("lang", "source", "item")
         .agg(F.sum("value").alias("value"))

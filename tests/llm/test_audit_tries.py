@@ -61,17 +61,15 @@ def plain_audit(docs, min_docs, top):
 
 
 @pytest.mark.parametrize("shard_terms, block", [(2048, 256), (3, 2)])
-def test_audit_equals_plain_counting(spark, monkeypatch, shard_terms, block):
+def test_audit_equals_plain_counting(spark, shard_terms, block):
     """Also with shards of a few terms and blocks of two sources."""
-    monkeypatch.setattr(divergence, "SHARD_TERMS", shard_terms)
-    monkeypatch.setattr(divergence, "BLOCK_SOURCES", block)
     rng = np.random.default_rng(1)
     spelled = ["Ab", "aB", "cd", "é", "日本", "x1y", "İ", "zz", "word" * 5, "word" * 5 + "s", "abcdefgh", "abcdefghi"]
     docs = [(" ,7".join(rng.choice(spelled, 9)), rng.choice(["a", "b", ""]), f"s{rng.integers(0, 5)}") for _ in range(300)]
     docs = [tuple(map(str, row)) for row in docs]
     docs += [(None, "a", "s1"), ("", "a", "empty"), ("ab cd", None, None), ("?", "lonely", "s1"), ("zz", "a", "Ω"), *[("hot zz", "b", "s1")] * 200]
     frame = spark.createDataFrame(docs, "text string, lang string, source string")
-    found = [tuple(r) for r in divergence.audit(frame, 5, 3).collect()]
+    found = [tuple(r) for r in divergence.audit(frame, 5, 3, shard_terms=shard_terms, block_sources=block).collect()]
     assert len(found) == len(set(found)) and set(found) == plain_audit(docs, 5, 3)
 
 
