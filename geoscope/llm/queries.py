@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoscope.llm import bpe, divergence, files, licenses, packing, simhash, suffix, token_files, topk, toxicity, url_filters, vector_dedup
+from geoscope.llm import bpe, divergence, files, licenses, packing, simhash, suffix, token_files, topk, toxicity, tries, url_filters, vector_dedup
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -192,5 +192,39 @@ OP11_SQL = f"""
     SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {TOP_TERMS}"""
 
 
-QUERIES: dict[str, Build] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_bpe, op4_vector_dedup, op5_packing, op6_suffix, op7_toxicity, op8_licenses, op9_topk, op10_token_files, op11_divergence)}
-ORACLES: dict[str, str] = {"op8_licenses": _op8_sql(), "op9_topk": OP9_SQL, "op11_divergence": OP11_SQL}
+CONVERSATION_GROUP, BORROWED_BELOW = 100, 6
+
+
+def op12_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered, convs = tries.turns(table(spark, sf_dir, "conversations"))
+    borrow = F.crc32(F.col("conv_id").cast("string").cast("binary")) % BORROWED_BELOW
+    return tries.build(*tries.opened_alike(ordered, convs, CONVERSATION_GROUP, borrow, BORROWED_BELOW))
+
+
+#: Paths are lists of (role, text); the checksum goes bit by bit over the digits of an id.
+OP12_SQL = f"""
+    WITH ordered AS (SELECT conv_id, list((coalesce(role, ''), coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS own
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    checked AS (SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(conv_id::varchar) + 1),
+        lambda i: ascii(substr(conv_id::varchar, i, 1))::bigint)), lambda crc, digit: list_reduce(list_prepend(xor(crc, digit), range(8)),
+        lambda a, _: xor(a >> 1, (a & 1) * 3988292384))), 4294967295) % {BORROWED_BELOW} AS h FROM ordered),
+    rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.own[1 : c.h], []), c.own[c.h + 1 :]) AS path
+        FROM checked AS c LEFT JOIN ordered AS b ON b.conv_id = c.conv_id - c.conv_id % {CONVERSATION_GROUP}),
+    prefixes AS (SELECT conv_id, path, unnest(range(len(path) + 1)) AS depth FROM rebuilt),
+    nodes AS (SELECT path[1 : depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CASE WHEN len(path) = depth THEN conv_id::varchar END, ',' ORDER BY conv_id), '')) AS ends_sha256
+        FROM prefixes GROUP BY 1, 2),
+    linked AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes AS n LEFT JOIN nodes AS p
+        ON p.depth = n.depth - 1 AND p.path = n.path[1 : n.depth - 1]),
+    children AS (SELECT path[1 : depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+    shares AS (SELECT l.*, coalesce(c.n, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(l.path[-1][2]) END AS saved
+        FROM linked AS l LEFT JOIN children AS c ON c.path = l.path),
+    climbed AS (SELECT path[1 : up] AS path, sum((n_children = 0)::int) AS n_leaves, sum(saved) AS saved_tokens
+        FROM (SELECT path, n_children, saved, unnest(range(depth + 1)) AS up FROM shares) GROUP BY 1)
+    SELECT conv_id::bigint AS conv_id, depth::bigint AS depth, parent_conv_id::bigint AS parent_conv_id, n_convs::bigint AS n_convs,
+        n_children::bigint AS n_children, n_leaves::bigint AS n_leaves, saved_tokens::bigint AS saved_tokens, ends_sha256
+    FROM shares JOIN climbed USING (path)"""
+
+
+QUERIES: dict[str, Build] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_bpe, op4_vector_dedup, op5_packing, op6_suffix, op7_toxicity, op8_licenses, op9_topk, op10_token_files, op11_divergence, op12_tries)}
+ORACLES: dict[str, str] = {"op8_licenses": _op8_sql(), "op9_topk": OP9_SQL, "op11_divergence": OP11_SQL, "op12_tries": OP12_SQL}

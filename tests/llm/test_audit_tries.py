@@ -1,9 +1,11 @@
 """Source divergence and conversation tries, against plain recomputation."""
 
 import collections
+import hashlib
 import os
 import re
 import sys
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +13,11 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from odd import odd_docs
+from odd import CLASHING, odd_docs
+from pyspark.sql import functions as F
 
 import compare
-from geoscope.llm import divergence, queries
+from geoscope.llm import divergence, queries, tries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -98,7 +101,91 @@ def test_document_counts(spark):
     assert found == {("s", "a"): (3, 2), ("s", "b"): (1, 1), ("", "b"): (1, 1), ("s", None): (0, 2), ("", None): (0, 1)}
 
 
-@pytest.mark.parametrize("name", ["op11_divergence"])
+# -- conversation tries
+
+
+def plain_trie(rows, group=100, below=6):
+    """The same by listing every prefix of every rebuilt conversation. Turns of one number must be equal."""
+    own = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(turns)] for c, turns in own.items()}
+    members, ends = collections.defaultdict(set), collections.defaultdict(list)
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % below
+        base = c - (c % group if c >= 0 else -(-c % group))
+        path = tuple(own.get(base, [])[:h] + turns[h:])
+        ends[path].append(c)
+        for d in range(len(path) + 1):
+            members[path[:d]].add(c)
+    children = collections.Counter(path[:-1] for path in members if path)
+    leaves, saved = collections.Counter(), collections.Counter()
+    for path, convs in members.items():
+        for d in range(len(path) + 1):
+            leaves[path[:d]] += children[path] == 0
+            saved[path[:d]] += (len(convs) - 1) * len(path[-1][1]) if path else 0
+    return sorted(
+        (
+            min(convs), len(path), min(members[path[:-1]]) if path else -1, len(convs), children[path], leaves[path], saved[path],
+            hashlib.sha256(",".join(map(str, sorted(ends[path]))).encode()).hexdigest(),
+        )
+        for path, convs in members.items()
+    )
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def found_trie(frame, **sizes):
+    ordered, convs = tries.turns(frame)
+    borrow = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    rows = tries.build(*tries.opened_alike(ordered, convs, 100, borrow, 6), **sizes).fillna(-1, ["parent_conv_id"])
+    return sorted(tuple(r) for r in rows.collect())
+
+
+def conversations():
+    """Copies, shared openings, one long conversation and a copy of it that goes on, turnless ones, repeated rows,
+    nulls, ids below zero."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for c in [*range(60, 240), *range(1000, 1040), -7, -100, -350, 5003]:
+        opening = [("system", "Be kind."), ("user", "hi"), ("assistant", "héllo 😀")][: int(rng.integers(0, 4))]
+        if c % 3 == 0:
+            path = [("system", "copy"), ("user", "copied"), (None, "copied"), ("user", None), ("", "x")] * 2
+        else:
+            path = opening + [(str(rng.choice(["user", "assistant"])), str(rng.choice(["a", "b", "cc"]))) for _ in range(int(rng.integers(0, 9)))]
+        rows += [(c, n if n else None, *turn) for n, turn in enumerate(path or [("user", "only")])]
+    long = [(n, "user", f"turn {n % 7}") for n in range(60)]
+    rows += [(100, *t) for t in long] + [(9000, *t) for t in long] + [(9001, *t) for t in [*long, (60, "user", "more")]]
+    rows += [(7777, 1, "user", "again")] * 12 + [(None, 0, "user", "nobody")] * 3
+    return rows
+
+
+@pytest.mark.parametrize("container, shard, chunk, piece", [(4096, 1 << 14, 1024, 4096), (40, 100, 8, 16), (0, 10, 3, 2)])
+def test_trie_equals_plain_listing(spark, monkeypatch, container, shard, chunk, piece):
+    """Also with containers that are burst once, often and always, and with small windows and pieces."""
+    monkeypatch.setattr(tries, "CHUNK", chunk)
+    monkeypatch.setattr(tries, "PIECE_IDS", piece)
+    rows = [r for r in conversations() if r[0] != 100] + [(100, n, "user", f"turn {n % 7}") for n in range(60)]
+    frame = spark.createDataFrame(rows, TURNS).repartition(5)
+    clashing = frame.selectExpr("*", *[f"'x' AS {name}" for name in [*CLASHING.split(), "depth", "length", "seq", "chunk", "at"]])
+    assert found_trie(clashing, container_turns=container, shard_turns=shard) == plain_trie(rows)
+
+
+def test_trie_of_no_and_of_turnless_conversations(spark):
+    assert found_trie(spark.createDataFrame([], TURNS)) == []
+    rows = [(c, 1, "user", "t") for c in range(101, 160)]  # most borrow from a conversation that is not there
+    assert found_trie(spark.createDataFrame(rows, TURNS)) == plain_trie(rows)
+
+
+def test_ties_do_not_depend_on_the_scan(spark):
+    rows = [(1, None, "user", t) for t in "abcdef"] + [(1, 2, r, "x") for r in "uvw"]
+    frame = spark.createDataFrame(rows, TURNS)
+    assert found_trie(frame.repartition(4)) == found_trie(frame.orderBy(F.desc("text")).coalesce(1))
+
+
+@pytest.mark.parametrize("name", ["op11_divergence", "op12_tries"])
 def test_query_matches_sql(name, spark):
     problem, rows = compare.difference(name, spark, compare.duck(SMALL), SMALL)
     assert problem is None and rows, problem
