@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoscope.llm import bpe, divergence, files, licenses, packing, simhash, suffix, token_files, topk, toxicity, tries, url_filters, vector_dedup
+from geoscope.llm import bpe, divergence, files, licenses, packing, quality, simhash, suffix, token_files, topk, toxicity, tries, url_filters, vector_dedup
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -226,5 +226,16 @@ OP12_SQL = f"""
     FROM shares JOIN climbed USING (path)"""
 
 
-QUERIES: dict[str, Build] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_bpe, op4_vector_dedup, op5_packing, op6_suffix, op7_toxicity, op8_licenses, op9_topk, op10_token_files, op11_divergence, op12_tries)}
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        toxicity.is_held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+QUERIES: dict[str, Build] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_bpe, op4_vector_dedup, op5_packing, op6_suffix, op7_toxicity, op8_licenses, op9_topk, op10_token_files, op11_divergence, op12_tries, op13_quality)}
 ORACLES: dict[str, str] = {"op8_licenses": _op8_sql(), "op9_topk": OP9_SQL, "op11_divergence": OP11_SQL, "op12_tries": OP12_SQL}
