@@ -18,9 +18,10 @@ from geoscope.operators.nearest import nearest_distance
 from geoscope.operators.zones import (
     DEFAULT_CELL,
     MEASURES,
-    cell_for,
+    MERGE,
     coordinate_counts,
     coordinate_measures,
+    rings,
     with_radius,
     zone_histogram,
     zone_median,
@@ -34,10 +35,6 @@ REGION_FACTOR = 3.0
 RELIABILITY_RADIUS = 5.0
 
 
-# Larger zones are covered with larger cells.
-WIDE_CELL = 2.0
-
-
 def _zone_n(
     obs: DataFrame,
     locations: DataFrame,
@@ -80,7 +77,7 @@ def proximity(d_min: Column) -> Column:
 
 def reliability_index(obs: DataFrame, locations: DataFrame) -> DataFrame:
     """0-100: nearness of the closest record (40 %), records within 5° (40 %), land (20 %, always)."""
-    near = _zone_n(obs, locations.drop("radius"), RELIABILITY_RADIUS, name="n_near", cell=cell_for(RELIABILITY_RADIUS))
+    near = _zone_n(obs, locations.drop("radius"), RELIABILITY_RADIUS, name="n_near")
     distances = nearest_distance(obs, locations)
     closeness = F.greatest(F.lit(0.0), 100 - F.col("d_min") * 10)
     density = F.least(F.lit(100.0), F.col("n_near") * 2.0)
@@ -159,30 +156,38 @@ def zone_statistics(obs: DataFrame, locations: DataFrame, as_of_year: int, shape
     classes (from three records on), share of the dominant class, records per square degree, and
     the share of the surrounding region (three times the radius).
     """
-    basics = zone_summary(
-        coordinate_measures(obs).select("reclat", "reclong", "n", "mass_sum", "year_min", "year_max", "year_sum"),
-        locations,
-        measures={k: MEASURES[k] for k in ("n", "mass_sum", "year_min", "year_max", "year_sum")},
+    kept = ("n", "mass_sum", "year_min", "year_max", "year_sum")
+    counts = zone_summary(
+        coordinate_measures(obs, ["recclass"]).select("reclat", "reclong", "recclass", *kept),
+        rings(locations.select("location_id", "lat", "lon", "radius"), (1.0, REGION_FACTOR)),
+        ["location_id", "ring"],
+        by=["recclass"],
+        measures={k: MEASURES[k] for k in kept},
         shape=shape,
     )
-    medians = zone_median(obs, locations, "mass_g", shape).withColumnRenamed("median", "median_mass")
-    region = _zone_n(obs, locations, F.col("radius") * REGION_FACTOR, shape, "n_region", WIDE_CELL)
-    main = (
-        _ranked_classes(zone_class_counts(obs, locations, shape))
-        .filter(F.col("rank") <= 3)
+    own = F.col("ring") == 1.0
+
+    def inside(name: str) -> Column:
+        return F.when(own, F.col(name))
+
+    order = Window.partitionBy("location_id", "ring").orderBy(F.desc("n"), "recclass")
+    basics = (
+        counts.withColumn("rank", F.row_number().over(order))
         .groupBy("location_id")
         .agg(
-            F.sort_array(F.collect_list(F.struct("rank", "recclass"))).alias("_main"),
-            F.max("n").alias("_top"),
+            *[MERGE[MEASURES[k]](inside(k)).alias(k) for k in kept],
+            F.sum(F.when(~own, F.col("n"))).alias("n_region"),
+            F.sort_array(F.collect_list(F.when(own & (F.col("rank") <= 3), F.struct("rank", "recclass")))).alias("_main"),
+            F.max(inside("n")).alias("_top"),
         )
+        .filter(F.col("n") > 0)
     )
+    medians = zone_median(obs, locations, "mass_g", shape).withColumnRenamed("median", "median_mass")
     enough = F.col("n") >= 3
     return (
         locations.select("location_id", "radius")
         .join(basics, "location_id")
         .join(medians, "location_id")
-        .join(region, "location_id")
-        .join(main, "location_id")
         .select(
             "location_id",
             "n",
@@ -232,14 +237,21 @@ def region_comparison(obs: DataFrame, locations: DataFrame, shape: str = "box",
     """
     if units not in ("mixed", "km2"):
         raise ValueError(f"unknown units {units}")
-    local = _zone_n(obs, locations, shape=shape, name="n_local")
-    region = _zone_n(obs, locations, F.col("radius") * REGION_FACTOR, shape, "n_region", WIDE_CELL)
+    found = zone_summary(
+        coordinate_counts(obs),
+        rings(locations.select("location_id", "lat", "lon", "radius"), (1.0, REGION_FACTOR)),
+        ["location_id", "ring"],
+        shape=shape,
+    )
+    counts = found.groupBy("location_id").agg(
+        F.sum(F.when(F.col("ring") == 1.0, F.col("n"))).alias("n_local"), F.sum(F.when(F.col("ring") != 1.0, F.col("n"))).alias("n_region")
+    )
     per_degree = KM_PER_DEGREE**2 if units == "km2" else 1.0
     area = math.pi * F.col("radius") * F.col("radius") * per_degree
     rows = (
         locations.select("location_id", "radius")
-        .join(local, "location_id")
-        .join(region, "location_id")
+        .join(counts, "location_id", "left")
+        .fillna(0, ["n_local", "n_region"])
         .withColumn("n_global", _catalogue(obs)["n"])
     )
     if shape == "box":

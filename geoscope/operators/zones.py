@@ -7,26 +7,31 @@ loop over all pairs, so zones are laid on a grid and joined by grid cell:
 * rows wanted (``within_zone``): zones list the cells they touch, observations know their own
   cell, an equi-join brings them together and the exact test decides.
 * summaries wanted (``zone_summary``): observations first collapse to one row per coordinate, and
-  those to one row per cell. A cell that lies wholly inside a zone adds its ready-made summary;
-  only cells on the rim are tested point by point. Neither a heap of records on one spot nor a
-  crowded cell is ever multiplied by the zones that cover it.
-
-Zone cells carry a merge hint: Spark estimates an exploded table by its small input and would
-broadcast it, whatever it has grown to. A shuffled join is right for any number of zones, and
-adaptive skew handling may split its partitions.
-
-Coordinates, not records, are what the rim join sees, so what can still be uneven is the number
-of *different* coordinates per cell; adaptive skew handling splits such partitions.
+  those to one row per cell on every level of a pyramid. A zone is covered from coarse to fine: a
+  cell that lies wholly inside adds its ready-made summary, whatever its size, and only what crosses
+  the rim is cut further, down to cells that are tested point by point. So a zone's cells grow with
+  its circumference, not with its area, and neither a heap of records on one spot nor a crowded cell
+  is ever multiplied by the zones that cover it.
+
+Few zones (``near``, ``bounded``) keep the catalogue where it is: what lies outside their boxes is not read
+where the store is in space order, and their cells are broadcast behind a count. Beyond that, zone cells carry a
+merge hint: Spark estimates an exploded table by its small input and would broadcast it, whatever
+it has grown to.
+
+Coordinates, not records, are what the rim join sees. Where a square degree holds very many *different*
+ones, both sides of the join are dealt over salts (``dealt``), in proportion to their number.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoscope.functions.space import PLACE, place_runs
 from geoscope.operators.quantiles import bucket, middle_values, rank_buckets
 
 DEFAULT_RADIUS = 2.5
@@ -41,11 +46,6 @@ SLACK = 1e-9
 MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def cell_for(radius: float) -> float:
-    """Cell size that covers a disc of this radius with some hundred cells."""
-    return 2.0 ** math.floor(math.log2(radius / 4.0))
-
-
 def grid_cell(value: Column | str, size: float) -> Column:
     """Cell number of a coordinate that is not null, for a size that is a power of two.
 
@@ -87,44 +87,173 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(n, *keys)
 
 
-def zone_cells(zones: DataFrame, size: float, shape: str) -> DataFrame:
-    """One row per zone and grid cell it touches, with ``whole`` = the cell lies inside the zone."""
+def touched_cells(zones: DataFrame, size: float, shape: str) -> DataFrame:
+    """One row per zone and grid cell of this size that it touches."""
 
     def touched(centre: str) -> Column:
         reach = F.col("radius") + SLACK
         return F.explode(F.sequence(grid_cell(F.col(centre) - reach, size), grid_cell(F.col(centre) + reach, size)))
 
-    def gaps(centre: str, at: str) -> tuple[Column, Column]:
-        low, high = F.col(at) * size, (F.col(at) + 1) * size
-        c = F.col(centre)
-        return F.greatest(low - c, c - high, F.lit(0.0)), F.greatest(F.abs(low - c), F.abs(high - c))
-
     # Dropping nulls here, where every branch begins, keeps Catalyst from adding the same test to some.
     usable = zones.dropna(subset=["location_id", "lat", "lon", "radius"])
     cells = spread(usable, "location_id").withColumn("cy", touched("lat")).withColumn("cx", touched("lon"))
-    (near_y, far_y), (near_x, far_x) = gaps("lat", "cy"), gaps("lon", "cx")
-    if shape == "box":
-        far = F.greatest(far_y, far_x)
-    else:
-        far = F.sqrt(far_y * far_y + far_x * far_x)
-        near = F.sqrt(near_y * near_y + near_x * near_x)
-        cells = cells.filter(near <= F.col("radius") + SLACK)
-    return cells.withColumn("whole", far <= F.col("radius") - SLACK)
+    return cells.filter(_gap(size, shape, "near") <= F.col("radius") + SLACK) if shape == "radius" else cells
+
+
+def _gap(size: float, shape: str, which: str) -> Column:
+    """Distance from a zone's centre to the nearest or farthest point of the cell (cy, cx)."""
+    parts = []
+    for centre, at in (("lat", "cy"), ("lon", "cx")):
+        low, high, c = F.col(at) * size, (F.col(at) + 1) * size, F.col(centre)
+        near = F.greatest(low - c, c - high, F.lit(0.0))
+        parts.append(near if which == "near" else F.greatest(F.abs(low - c), F.abs(high - c)))
+    dy, dx = parts
+    return F.greatest(dy, dx) if shape == "box" else F.sqrt(dy * dy + dx * dx)
+
+
+#: A cover starts with cells of this size and cuts each into 4 x 4 where it crosses the rim.
+COARSEST, CUTS = 32.0, 4
+#: The level of cells that are tested point by point.
+RIM = -1
+
+
+def cover_sizes(size: float) -> list[float]:
+    """The sizes of a pyramid's cells, coarsest first, ``size`` last."""
+    sizes = [size]
+    while sizes[0] < COARSEST:
+        sizes.insert(0, sizes[0] * CUTS)
+    return sizes
+
+
+def zone_cover(zones: DataFrame, size: float, shape: str) -> DataFrame:
+    """One row per zone and cell of its cover: ``level`` (the place of its size in :func:`cover_sizes`, or ``RIM``)
+    and ``cy, cx``. Each level is a step on the rows of the one before: no join, no shuffle."""
+    sizes = cover_sizes(size)
+    undecided = F.col("level") == RIM
+    cells = touched_cells(zones, sizes[0], shape).withColumn("level", F.lit(RIM))
+    for number, now in enumerate(sizes):
+        if number:
+            children = [
+                F.struct(F.lit(RIM).alias("level"), (F.col("cy") * CUTS + y).alias("cy"), (F.col("cx") * CUTS + x).alias("cx"))
+                for y in range(CUTS)
+                for x in range(CUTS)
+            ]
+            itself = F.array(F.struct("level", "cy", "cx"))
+            cells = cells.select(*zones.columns, F.inline(F.when(undecided, F.array(*children)).otherwise(itself)))
+            cells = cells.filter(~undecided | (_gap(now, shape, "near") <= F.col("radius") + SLACK))
+        inside = undecided & (_gap(now, shape, "far") <= F.col("radius") - SLACK)
+        cells = cells.withColumn("level", F.when(inside, number).otherwise(F.col("level")))
+    return cells
 
 
 def with_cell(points: DataFrame, size: float) -> DataFrame:
     return located(points).withColumns({"cy": grid_cell("reclat", size), "cx": grid_cell("reclong", size)})
 
 
+#: Zones and cells up to which the catalogue is searched where it lies.
+FEW_ZONES, FEW_CELLS = 64, 50_000
+
+
+def bounded(cells: DataFrame, most: int = FEW_CELLS) -> bool:
+    """Whether there are at most so many cells; counts no further than that."""
+    return cells.limit(most + 1).count() <= most
+
+
+def near(obs: DataFrame, zones: DataFrame, many: bool = True) -> DataFrame:
+    """Observations (or coordinates) that may lie in one of the zones (lat, lon, radius): all that do and some more.
+
+    For up to ``FEW_ZONES`` zones their boxes become filters on coordinates, and on the space-order key
+    ``place`` where the store has one, which files answer from their statistics. For more, a table of
+    the touched square degrees (at most 181 x 361, the outermost standing for all beyond) is broadcast, or, without
+    ``many``, all rows stay. Looks at the zones at once, so these should be a plain table."""
+    rows = zones.select("lat", "lon", "radius").dropna()
+    few = rows.limit(FEW_ZONES + 1).collect()
+    if len(few) > FEW_ZONES:
+        return _in_touched_degrees(obs, rows) if many else obs
+    if not few:
+        return obs.filter(F.lit(False))
+    boxes = [(r.lat - r.radius - SLACK, r.lat + r.radius + SLACK, r.lon - r.radius - SLACK, r.lon + r.radius + SLACK) for r in few]
+    inside = [F.col("reclat").between(a, b) & F.col("reclong").between(c, d) for a, b, c, d in boxes]
+    found = obs.filter(functools.reduce(Column.__or__, inside))
+    if PLACE in obs.columns:
+        runs = place_runs(boxes)
+        found = found.filter(functools.reduce(Column.__or__, [F.col(PLACE).between(a, b) for a, b in runs]))
+    return found
+
+
+def _in_touched_degrees(obs: DataFrame, zones: DataFrame) -> DataFrame:
+    def box(size: float, names: tuple[str, str]) -> dict[str, Column]:
+        out = {}
+        for name, centre, limit in zip(names, ("lat", "lon"), (90, 180)):
+            ends = [F.floor((F.col(centre) + sign * (F.col("radius") + SLACK)) / size) for sign in (-1, 1)]
+            low, high = math.floor(-limit / size), math.floor(limit / size)
+            clamped = [F.greatest(F.least(e, F.lit(high)), F.lit(low)) for e in ends]
+            out[name] = F.explode(F.sequence(*clamped))
+        return out
+
+    def listed(rows: DataFrame, size: float, names: tuple[str, str]) -> DataFrame:
+        for name, column in box(size, names).items():
+            rows = rows.withColumn(name, column)
+        return rows.select(*names).distinct()
+
+    wide = 8.0  # large zones list cells of this size first
+    large = listed(zones.filter(F.col("radius") > wide), wide, ("wy", "wx"))
+    for name, w in (("dy", "wy"), ("dx", "wx")):
+        large = large.withColumn(name, F.explode(F.sequence(F.col(w) * int(wide), F.col(w) * int(wide) + int(wide) - 1)))
+    cells = listed(zones.filter(F.col("radius") <= wide), 1.0, ("dy", "dx")).unionByName(large.select("dy", "dx")).distinct()
+    own = [
+        F.greatest(F.least(F.floor("reclat"), F.lit(90)), F.lit(-90)) == F.col("dy"),
+        F.greatest(F.least(F.floor("reclong"), F.lit(180)), F.lit(-180)) == F.col("dx"),
+    ]
+    return obs.join(F.broadcast(cells), own, "left_semi")
+
+
+#: Different coordinates in a square degree from which the rows of its cells are dealt over several tasks.
+CROWDED = 1 << 16
+
+
+def dealt(points: DataFrame, cells: DataFrame, size: float, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on (cy, cx) with a ``salt``: rows of ``points`` in crowded places draw one of as many
+    as keep each below ``most`` rows, and ``cells`` there are listed for each of them. The table of crowded
+    places is broadcast: there are at most 181 x 361 of them, however many points."""
+    most = most or CROWDED
+    ratio = max(1.0, 1.0 / size)
+    high_y, high_x = math.floor(90 / max(size, 1.0)), math.floor(180 / max(size, 1.0))
+
+    def degree(name: str, high: int) -> Column:
+        return F.greatest(F.least(F.floor(F.col(name) / ratio), F.lit(high)), F.lit(-high - 1))
+
+    key = {"_dy": degree("cy", high_y), "_dx": degree("cx", high_x)}
+    crowds = F.broadcast(
+        points.groupBy(*[c.alias(n) for n, c in key.items()])
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > most)
+        .select("_dy", "_dx", F.ceil(F.col("_rows") / most).alias("_salts"))
+    )
+    drawn = points.withColumns(key).join(crowds, ["_dy", "_dx"], "left")
+    drawn = drawn.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*points.columns), F.col("_salts")), F.lit(0).cast("long")))
+    listed = cells.withColumns(key).join(crowds, ["_dy", "_dx"], "left")
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1).cast("long")) - 1)
+    return drawn.drop("_dy", "_dx", "_salts"), listed.withColumn("salt", F.explode(every)).drop("_dy", "_dx", "_salts")
+
+
+def _met(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """``points`` (with their cell) and zone ``cells``, joined by cell."""
+    if bounded(cells):
+        return points.join(F.broadcast(cells), ["cy", "cx"])
+    points, cells = dealt(points, cells, size)
+    return points.join(cells.hint("merge"), ["cy", "cx", "salt"]).drop("salt")
+
+
 def within_zone(
     obs: DataFrame, zones: DataFrame, shape: str = "radius", cell: float = DEFAULT_CELL, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Every (zone, observation) pair inside, with its ``distance``: the zone's ``location_id``
     (and ``keep`` columns) beside all columns of the observation."""
-    cells = zone_cells(zones.select("location_id", "lat", "lon", "radius", *keep), cell, shape).drop("whole")
+    zones = zones.select("location_id", "lat", "lon", "radius", *keep)
+    cells = touched_cells(zones, cell, shape)
     return (
-        with_cell(obs, cell)
-        .join(cells.hint("merge"), ["cy", "cx"])
+        _met(with_cell(near(obs, zones), cell), cells, cell)
         .filter(in_zone(shape))
         .withColumn("distance", planar_distance(F.col("lat"), F.col("lon")))
         .select("location_id", *keep, *obs.columns, "distance")
@@ -134,8 +263,8 @@ def within_zone(
 def within_points(points: DataFrame, zones: DataFrame, reach: Column, cell: float = DEFAULT_CELL) -> DataFrame:
     """(zone, coordinate) pairs no further apart than ``reach``; zone and point columns side by side."""
     wide = zones.withColumn("_own", F.col("radius")).withColumn("radius", reach + SLACK)
-    cells = zone_cells(wide, cell, "radius").drop("whole")
-    pairs = with_cell(points, cell).join(cells.hint("merge"), ["cy", "cx"]).filter(in_zone("radius"))
+    cells = touched_cells(wide, cell, "radius")
+    pairs = _met(with_cell(points, cell), cells, cell).filter(in_zone("radius"))
     return pairs.withColumn("radius", F.col("_own")).drop("_own", "cy", "cx")
 
 
@@ -154,6 +283,13 @@ def within_box(obs: DataFrame, locations: DataFrame, radius: float | None = None
     return within_zone(obs, with_radius(locations, radius), "box")
 
 
+def rings(zones: DataFrame, factors: Sequence[float]) -> DataFrame:
+    """Every zone once for each factor, which ``ring`` names, with its radius times that factor: zones about
+    one centre share one list of cells and one join."""
+    every = F.explode(F.array(*[F.lit(float(f)) for f in factors]))
+    return zones.withColumn("ring", every).withColumn("radius", F.col("radius") * F.col("ring"))
+
+
 # Summaries -----------------------------------------------------------------------------------
 
 # What is kept per coordinate, and how two such rows merge.
@@ -180,11 +316,11 @@ def coordinate_counts(obs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return located(obs).groupBy("reclat", "reclong", *by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def coordinate_measures(obs: DataFrame) -> DataFrame:
-    """One row per coordinate with everything the location scores need."""
+def coordinate_measures(obs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per coordinate (and ``by``) with everything the location scores need."""
     n = F.count(F.lit(1))
     year = F.col("year").cast("double")
-    grouped = located(obs).groupBy("reclat", "reclong").agg(
+    grouped = located(obs).groupBy("reclat", "reclong", *by).agg(
         n.alias("n"),
         F.sum("mass_g").alias("mass_sum"),
         F.sum(F.log10("mass_g")).alias("log_sum"),
@@ -218,26 +354,44 @@ def zone_summary(
     shape: str = "radius",
     cell: float = DEFAULT_CELL,
     match: Sequence[str] = (),
+    derived: bool = False,
 ) -> DataFrame:
     """Measures of all points inside each zone, per ``by`` value. Zones without points are absent.
 
     ``points`` has reclat, reclong, ``by`` and the measures. ``match`` names columns of ``by`` that
-    the zones carry as well and that must agree (they become part of the join key).
+    the zones carry as well and that must agree (they become part of the join key). ``derived`` zones are
+    results of other joins and are not looked at beforehand.
     """
     zone_keys, by, match = list(zone_keys), list(by), list(match)
+    points = points if derived else near(points, zones, many=False)
     wanted = list(dict.fromkeys([*zone_keys, "lat", "lon", "radius", *match]))
-    cells = zone_cells(zones.select(*wanted), cell, shape)
+    cells = zone_cover(zones.select(*wanted), cell, shape)
     single = with_cell(points, cell)
-    nowhere = F.lit(None).cast("double")
-    per_cell = (
-        single.groupBy("cy", "cx", *by)
+    per_cell = single.groupBy("cy", "cx", *by).agg(*merged(measures))
+    # The pyramid: a cell's summary goes to the cells above it as well.
+    sizes = cover_sizes(cell)
+    above = [
+        F.struct(
+            F.lit(level).alias("level"),
+            F.floor(F.col("cy") / (now / cell)).alias("cy"),
+            F.floor(F.col("cx") / (now / cell)).alias("cx"),
+        )
+        for level, now in enumerate(sizes)
+    ]
+    pyramid = (
+        per_cell.select(*by, *measures, F.inline(F.array(*above)))
+        .groupBy("level", "cy", "cx", *by)
         .agg(*merged(measures))
-        .withColumns({"whole": F.lit(True), "reclat": nowhere, "reclong": nowhere})
     )
+    nowhere = F.lit(None).cast("double")
+    whole = pyramid.withColumns({"reclat": nowhere, "reclong": nowhere, "salt": F.lit(0).cast("long")})
     # Ready-made cell rows and single coordinates side by side: a covered cell meets the former, a
     # rim cell the latter, in one join over one list of cells.
-    offered = single.select(*per_cell.drop("whole").columns).withColumn("whole", F.lit(False)).unionByName(per_cell)
-    met = cells.hint("merge").join(offered, ["cy", "cx", "whole", *match]).filter(F.col("whole") | in_zone(shape))
+    on_rim = F.col("level") == RIM
+    drawn, rim = dealt(single, cells.filter(on_rim), cell)
+    offered = drawn.withColumn("level", F.lit(RIM)).select(whole.columns).unionByName(whole)
+    listed = rim.unionByName(cells.filter(~on_rim).withColumn("salt", F.lit(0).cast("long")))
+    met = listed.hint("merge").join(offered, ["level", "cy", "cx", "salt", *match]).filter(~on_rim | in_zone(shape))
     return met.groupBy(*dict.fromkeys([*zone_keys, *by])).agg(*merged(measures))
 
 
@@ -257,15 +411,14 @@ def _bucketed(obs: DataFrame, value: str) -> DataFrame:
 def _zone_buckets(points: DataFrame, zones: DataFrame, shape: str, cell: float) -> DataFrame:
     """Per zone and coarse value bucket: records, smallest and largest value."""
     ranged = points.withColumn("low", F.col("value")).withColumn("high", F.col("value"))
-    return zone_summary(
-        ranged, zones, by=["b1"], measures={"n": "sum", "low": "min", "high": "max"}, shape=shape, cell=cell
-    )
+    measures = {"n": "sum", "low": "min", "high": "max"}
+    return zone_summary(ranged, zones, by=["b1"], measures=measures, shape=shape, cell=cell, derived=True)
 
 
 def _zone_values(points: DataFrame, zones: DataFrame, targets: DataFrame, shape: str, cell: float) -> DataFrame:
     """Per zone: the distinct values (with counts) in the zone's target buckets only."""
     aimed = zones.select("location_id", "lat", "lon", "radius").join(targets, "location_id")
-    return zone_summary(points, aimed, by=["b1", "value"], shape=shape, cell=cell, match=["b1"])
+    return zone_summary(points, aimed, by=["b1", "value"], shape=shape, cell=cell, match=["b1"], derived=True)
 
 
 def zone_median(
@@ -273,13 +426,13 @@ def zone_median(
 ) -> DataFrame:
     """Exact median of ``value`` per zone: (location_id, median)."""
     key = ["location_id"]
-    points = _bucketed(obs, value)
+    points = _bucketed(near(obs, zones, many=False), value)
     first = rank_buckets(_zone_buckets(points, zones, shape, cell).select(*key, "b1", "n"), key, "b1")
     values = _zone_values(points, zones, first.select(*key, "b1"), shape, cell)
-    near = values.join(first, [*key, "b1"]).withColumn("b2", bucket("value", ZONE_FINE_BITS))
-    fine = near.groupBy(*key, "b1", "b2", "total", "before").agg(F.sum("n").alias("n"))
+    opened = values.join(first, [*key, "b1"]).withColumn("b2", bucket("value", ZONE_FINE_BITS))
+    fine = opened.groupBy(*key, "b1", "b2", "total", "before").agg(F.sum("n").alias("n"))
     second = rank_buckets(fine, key, "b2", parent="b1")
-    return middle_values(near.drop("total", "before").join(second, [*key, "b2"]), key, "value", parent="b2")
+    return middle_values(opened.drop("total", "before").join(second, [*key, "b2"]), key, "value", parent="b2")
 
 
 def zone_histogram(
@@ -297,7 +450,7 @@ def zone_histogram(
     value bucket that falls into one bin is counted whole; only the few buckets that straddle a
     bin edge are opened.
     """
-    points = _bucketed(obs, value)
+    points = _bucketed(near(obs, zones, many=False), value)
     extent = Window.partitionBy("location_id")
     buckets = (
         _zone_buckets(points, zones, shape, cell)

@@ -3,7 +3,9 @@
 from conftest import SMALL
 
 import __spark_entry__ as entry
-from geoscope.plans import staging
+from geoscope.operators import zones
+from geoscope.plans import derived, staging
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -25,9 +27,14 @@ def test_year_filters_skip_decades(spark):
     assert "PartitionFilters: [isnotnull(decade" in text
 
 
-def test_zone_cells_are_never_broadcast(spark):
-    text = plan(entry.queries()["within_radius"](spark, SMALL))
-    assert "SortMergeJoin [cy" in text
+def test_zone_cells_are_never_broadcast(spark, monkeypatch):
+    """Unless they were counted: beyond the bound they are shuffled."""
+    located, zones_ = staging.obs(spark, SMALL), derived.parameters(spark, SMALL)
+    assert "BroadcastHashJoin [cy" in plan(zones.within_radius(located, zones_))
+    monkeypatch.setattr(zones, "FEW_CELLS", 10)
+    monkeypatch.setattr(zones.bounded, "__defaults__", (10,))
+    assert "SortMergeJoin [cy" in plan(zones.within_radius(located, zones_))
+    assert "SortMergeJoin [level" in plan(zones.zone_summary(zones.coordinate_counts(located), zones_))
 
 
 def test_staging_uses_the_shared_folder(spark):
