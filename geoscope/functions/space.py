@@ -60,12 +60,6 @@ def place_runs(boxes: list[tuple[float, float, float, float]], most: int = MOST_
             runs[-1][1] = first + size - 1
         else:
             runs.append([first, first + size - 1])
-    gaps = sorted((b[0] - a[1] for a, b in zip(runs, runs[1:])), reverse=True)[: most - 1]
-    least = gaps[-1] if len(gaps) == most - 1 else 0
-    out: list[list[int]] = []
-    for run in runs:
-        if out and (len(runs) > most and run[0] - out[-1][1] < least):
-            out[-1][1] = run[1]
-        else:
-            out.append(list(run))
-    return [tuple(run) for run in out]
+    gaps = sorted(range(1, len(runs)), key=lambda i: runs[i - 1][1] - runs[i][0])  # widest first
+    starts = [0, *sorted(gaps[: most - 1]), len(runs)]
+    return [(runs[a][0], runs[b - 1][1]) for a, b in zip(starts, starts[1:]) if a < b]

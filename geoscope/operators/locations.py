@@ -32,6 +32,8 @@ EARTH_RADIUS_KM = 6371.0
 KM_PER_DEGREE = EARTH_RADIUS_KM * math.pi / 180.0
 
 REGION_FACTOR = 3.0
+# Zones together with their regions reach far, so their rims are tested in cells of this size.
+REGION_CELL = 1.0
 RELIABILITY_RADIUS = 5.0
 
 
@@ -157,13 +159,18 @@ def zone_statistics(obs: DataFrame, locations: DataFrame, as_of_year: int, shape
     the share of the surrounding region (three times the radius).
     """
     kept = ("n", "mass_sum", "year_min", "year_max", "year_sum")
+    # The zone itself meets coordinates by class, its region bare counts, in one join.
+    by_class = coordinate_measures(obs, ["recclass"]).select("reclat", "reclong", "recclass", *kept, F.lit(1.0).alias("ring"))
+    bare = coordinate_counts(obs).withColumn("ring", F.lit(REGION_FACTOR))
     counts = zone_summary(
-        coordinate_measures(obs, ["recclass"]).select("reclat", "reclong", "recclass", *kept),
+        by_class.unionByName(bare, allowMissingColumns=True),
         rings(locations.select("location_id", "lat", "lon", "radius"), (1.0, REGION_FACTOR)),
         ["location_id", "ring"],
-        by=["recclass"],
+        by=["ring", "recclass"],
         measures={k: MEASURES[k] for k in kept},
         shape=shape,
+        cell=REGION_CELL,
+        match=["ring"],
     )
     own = F.col("ring") == 1.0
 
@@ -242,6 +249,7 @@ def region_comparison(obs: DataFrame, locations: DataFrame, shape: str = "box",
         rings(locations.select("location_id", "lat", "lon", "radius"), (1.0, REGION_FACTOR)),
         ["location_id", "ring"],
         shape=shape,
+        cell=REGION_CELL,
     )
     counts = found.groupBy("location_id").agg(
         F.sum(F.when(F.col("ring") == 1.0, F.col("n"))).alias("n_local"), F.sum(F.when(F.col("ring") != 1.0, F.col("n"))).alias("n_region")

@@ -18,8 +18,9 @@ where the store is in space order, and their cells are broadcast behind a count.
 merge hint: Spark estimates an exploded table by its small input and would broadcast it, whatever
 it has grown to.
 
-Coordinates, not records, are what the rim join sees. Where a square degree holds very many *different*
-ones, both sides of the join are dealt over salts (``dealt``), in proportion to their number.
+Where a square degree holds very many rows, both sides of a join for pairs are dealt over salts
+(``dealt``), in proportion to their number. Summaries see coordinates, not records, and their rim
+cells at most one cell's; adaptive skew handling splits such partitions.
 """
 
 from __future__ import annotations
@@ -91,8 +92,8 @@ def touched_cells(zones: DataFrame, size: float, shape: str) -> DataFrame:
     """One row per zone and grid cell of this size that it touches."""
 
     def touched(centre: str) -> Column:
-        reach = F.col("radius") + SLACK
-        return F.explode(F.sequence(grid_cell(F.col(centre) - reach, size), grid_cell(F.col(centre) + reach, size)))
+        low, high = (f"coalesce(floor(({centre} {sign} (radius + {SLACK}D)) * {1.0 / size}D), 0L)" for sign in "-+")
+        return F.expr(f"explode(sequence({low}, {high}))")
 
     # Dropping nulls here, where every branch begins, keeps Catalyst from adding the same test to some.
     usable = zones.dropna(subset=["location_id", "lat", "lon", "radius"])
@@ -104,11 +105,10 @@ def _gap(size: float, shape: str, which: str) -> Column:
     """Distance from a zone's centre to the nearest or farthest point of the cell (cy, cx)."""
     parts = []
     for centre, at in (("lat", "cy"), ("lon", "cx")):
-        low, high, c = F.col(at) * size, (F.col(at) + 1) * size, F.col(centre)
-        near = F.greatest(low - c, c - high, F.lit(0.0))
-        parts.append(near if which == "near" else F.greatest(F.abs(low - c), F.abs(high - c)))
+        low, high = f"({at} * {size}D - {centre})", f"({centre} - ({at} + 1) * {size}D)"
+        parts.append(f"greatest({low}, {high}, 0D)" if which == "near" else f"greatest(abs({low}), abs({high}))")
     dy, dx = parts
-    return F.greatest(dy, dx) if shape == "box" else F.sqrt(dy * dy + dx * dx)
+    return F.expr(f"greatest({dy}, {dx})" if shape == "box" else f"sqrt({dy} * {dy} + {dx} * {dx})")
 
 
 #: A cover starts with cells of this size and cuts each into 4 x 4 where it crosses the rim.
@@ -133,13 +133,13 @@ def zone_cover(zones: DataFrame, size: float, shape: str) -> DataFrame:
     cells = touched_cells(zones, sizes[0], shape).withColumn("level", F.lit(RIM))
     for number, now in enumerate(sizes):
         if number:
-            children = [
-                F.struct(F.lit(RIM).alias("level"), (F.col("cy") * CUTS + y).alias("cy"), (F.col("cx") * CUTS + x).alias("cx"))
-                for y in range(CUTS)
-                for x in range(CUTS)
-            ]
-            itself = F.array(F.struct("level", "cy", "cx"))
-            cells = cells.select(*zones.columns, F.inline(F.when(undecided, F.array(*children)).otherwise(itself)))
+            parts = f"explode(if(level = {RIM}, sequence(0, {CUTS * CUTS - 1}), array(0)))"
+            cells = cells.selectExpr(*zones.columns, "level", "cy", "cx", f"{parts} AS part").selectExpr(
+                *zones.columns,
+                "level",
+                f"if(level = {RIM}, cy * {CUTS} + part div {CUTS}, cy) AS cy",
+                f"if(level = {RIM}, cx * {CUTS} + part % {CUTS}, cx) AS cx",
+            )
             cells = cells.filter(~undecided | (_gap(now, shape, "near") <= F.col("radius") + SLACK))
         inside = undecided & (_gap(now, shape, "far") <= F.col("radius") - SLACK)
         cells = cells.withColumn("level", F.when(inside, number).otherwise(F.col("level")))
@@ -367,31 +367,23 @@ def zone_summary(
     wanted = list(dict.fromkeys([*zone_keys, "lat", "lon", "radius", *match]))
     cells = zone_cover(zones.select(*wanted), cell, shape)
     single = with_cell(points, cell)
-    per_cell = single.groupBy("cy", "cx", *by).agg(*merged(measures))
-    # The pyramid: a cell's summary goes to the cells above it as well.
-    sizes = cover_sizes(cell)
-    above = [
-        F.struct(
-            F.lit(level).alias("level"),
-            F.floor(F.col("cy") / (now / cell)).alias("cy"),
-            F.floor(F.col("cx") / (now / cell)).alias("cx"),
-        )
-        for level, now in enumerate(sizes)
-    ]
+    # The pyramid: a coordinate counts to its cell on every level, mostly within the task.
+    levels = ", ".join(
+        f"struct({number} AS level, cy div {int(now / cell)} - if(cy % {int(now / cell)} < 0, 1, 0) AS cy, "
+        f"cx div {int(now / cell)} - if(cx % {int(now / cell)} < 0, 1, 0) AS cx)"
+        for number, now in enumerate(cover_sizes(cell))
+    )
+    nowhere = F.lit(None).cast("double")
     pyramid = (
-        per_cell.select(*by, *measures, F.inline(F.array(*above)))
+        single.selectExpr(*by, *measures, f"inline(array({levels}))")
         .groupBy("level", "cy", "cx", *by)
         .agg(*merged(measures))
+        .withColumns({"reclat": nowhere, "reclong": nowhere})
     )
-    nowhere = F.lit(None).cast("double")
-    whole = pyramid.withColumns({"reclat": nowhere, "reclong": nowhere, "salt": F.lit(0).cast("long")})
     # Ready-made cell rows and single coordinates side by side: a covered cell meets the former, a
     # rim cell the latter, in one join over one list of cells.
-    on_rim = F.col("level") == RIM
-    drawn, rim = dealt(single, cells.filter(on_rim), cell)
-    offered = drawn.withColumn("level", F.lit(RIM)).select(whole.columns).unionByName(whole)
-    listed = rim.unionByName(cells.filter(~on_rim).withColumn("salt", F.lit(0).cast("long")))
-    met = listed.hint("merge").join(offered, ["level", "cy", "cx", "salt", *match]).filter(~on_rim | in_zone(shape))
+    offered = single.withColumn("level", F.lit(RIM)).select(pyramid.columns).unionByName(pyramid)
+    met = cells.hint("merge").join(offered, ["level", "cy", "cx", *match]).filter((F.col("level") != RIM) | in_zone(shape))
     return met.groupBy(*dict.fromkeys([*zone_keys, *by])).agg(*merged(measures))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from geoscope.operators import nearest, zones
 from geoscope.plans import derived as d
 from geoscope.plans.registry import add
-from geoscope.plans.staging import obs
+from geoscope.plans.staging import obs, obs_in_place
 
 _PAIR = "obs CROSS JOIN locations"
 _DISTANCE = "sqrt((reclat - lat) * (reclat - lat) + (reclong - lon) * (reclong - lon))"
@@ -40,6 +40,38 @@ add(
     f"SELECT location_id, id, {_DISTANCE} AS distance FROM obs CROSS JOIN parameters "
     f"WHERE {_IN_BOX.format(r='radius')}",
 )
+# One location, as when a point is picked on a map: the middle of all. Of the store in space order only
+# pages around it are read.
+_MIDDLE = [
+    "CAST(0 AS BIGINT) AS location_id",
+    "CAST(floor(avg(lat)) AS DOUBLE) AS lat",
+    "CAST(floor(avg(lon)) AS DOUBLE) AS lon",
+    "CAST(2.5 AS DOUBLE) AS radius",
+]
+
+
+def _middle(s, p):
+    return d.locations(s, p).agg(*map(F.expr, _MIDDLE))
+
+
+for _name, _search, _test in (
+    ("within_radius_here", zones.within_radius, f"{_DISTANCE} <= 2.5"),
+    ("within_box_here", zones.within_box, _IN_BOX.format(r="2.5")),
+):
+    add(
+        _name,
+        lambda s, p, search=_search: search(obs_in_place(s, p), _middle(s, p)).select(*_COLUMNS),
+        "obs locations",
+        f""", middle AS (SELECT {', '.join(_MIDDLE)} FROM locations)
+        SELECT {_LIST}, {_DISTANCE} AS distance FROM obs CROSS JOIN middle WHERE {_test}""",
+    )
+add(
+    "zone_counts_here",
+    lambda s, p: zones.zone_summary(zones.coordinate_counts(obs_in_place(s, p)), _middle(s, p)),
+    "obs locations",
+    f""", middle AS (SELECT {', '.join(_MIDDLE)} FROM locations)
+    SELECT location_id, count(*) AS n FROM obs CROSS JOIN middle WHERE {_DISTANCE} <= radius GROUP BY location_id""",
+)
 add(
     "nearest_distance",
     lambda s, p: nearest.nearest_distance(obs(s, p), d.locations(s, p)),

@@ -9,13 +9,14 @@ it survives the loss of any executor.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from geoscope.plans import derived
-from geoscope.sources import read_obs, write_obs
+from geoscope.sources import read_obs, read_obs_in_place, write_obs, write_obs_in_place
 
-_staged: dict[tuple[str, str], str] = {}
+_staged: dict[tuple[str, str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,10 +33,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _staged:
-        path = new_path(spark, "obs")
-        write_obs(derived.obs(spark, sf_dir), path)
+        path = new_path(spark, name)
+        write(path)
         _staged[key] = path
-    return read_obs(spark, _staged[key])
+    return _staged[key]
+
+
+def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_obs(spark, _once(spark, sf_dir, "obs", lambda path: write_obs(derived.obs(spark, sf_dir), path)))
+
+
+def obs_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue in space order, for searches around few locations."""
+    path = _once(spark, sf_dir, "obs_in_place", lambda path: write_obs_in_place(obs(spark, sf_dir), path))
+    return read_obs_in_place(spark, path)
