@@ -148,8 +148,8 @@ def spatial_probability_grid(obs: DataFrame, locations: DataFrame, steps: int =
 
     Instead of looking up records per grid point, each observed coordinate marks where it starts and
     stops counting along each grid row it reaches; the marks are summed per grid point (partial sums
-    form map-side, at most one row per grid point and task) and a running sum along each row of
-    ``steps + 2`` marks gives the counts.
+    form map-side, at most one row per grid point and task). A running sum over the marks of a row gives
+    the counts of its runs, which become grid points last: points without a change are never shuffled.
     """
     last = steps
     near = within_points(
@@ -208,17 +208,19 @@ def spatial_probability_grid(obs: DataFrame, locations: DataFrame, steps: int =
             ),
         )
     )
-    index = F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))
-    grid = spread(locations.select("location_id"), "location_id").select("location_id", F.explode(index).alias("i")).select(
-        "location_id", "i", F.explode(index).alias("j"), F.lit(0).cast("long").alias("mark")
-    )
-    along = Window.partitionBy("location_id", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    # One mark of zero opens every grid row, so each column lies in a run that some mark begins.
+    zero = F.lit(0).cast("long")
+    rows = F.explode(F.sequence(zero, F.lit(last).cast("long")))
+    opened = spread(locations.select("location_id"), "location_id").select("location_id", rows.alias("i"), zero.alias("j"), zero.alias("mark"))
+    along = Window.partitionBy("location_id", "i").orderBy("j")
     counted = (
-        marks.unionByName(grid)
+        marks.unionByName(opened)
         .groupBy("location_id", "i", "j")
         .agg(F.sum("mark").alias("mark"))
-        .withColumn("n", F.sum("mark").over(along))
+        .withColumn("n", F.sum("mark").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("next", F.lead("j", 1, last + 1).over(along))
         .filter(F.col("j") <= last)
+        .select("location_id", "i", F.explode(F.sequence("j", F.col("next") - 1)).alias("j"), "n")
     )
     y, x = row_lat(F.col("i")), column_lon(F.col("j"))
     dy, dx = F.col("grid_lat") - F.col("lat"), F.col("grid_lon") - F.col("lon")

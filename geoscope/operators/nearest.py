@@ -4,8 +4,9 @@ Places are summarised in a pyramid of grid cells (each a power of two in size, s
 exactly). A query walks down from the coarsest level: of each cell it knows the box that holds
 the cell's places and one real place. The nearest box edge is a lower bound, the real place an
 upper bound; cells whose lower bound exceeds the best upper bound are dropped. A query keeps a
-handful of cells per level however dense or empty its surroundings are, so neither isolated
-queries nor crowded cells need a fallback. All comparisons use the same floating expression as
+handful of cells per level however dense or empty its surroundings are. A cell of the last level that
+holds more than ``LEAF`` places is split on, by levels that only such cells have, so a query meets
+a bounded number of places however crowded its surroundings are. All comparisons use the same floating expression as
 the final distance, so no true nearest place, ties included, is ever dropped.
 """
 
@@ -22,6 +23,10 @@ from geoscope.operators.zones import coordinate_counts, grid_cell, located, plan
 # Each level has up to 64 children per cell of the one before.
 LEVELS = (64.0, 8.0, 1.0, 0.125, 0.015625)
 
+# Cells of the finest level with more coordinates than this are split further, by these levels.
+LEAF = 64
+DEEP = (2.0**-10, 2.0**-14, 2.0**-18)
+
 # Down to this size a level has at most 181 x 361 cells, which is a small table to broadcast.
 BROADCAST_SIZE = 1.0
 
@@ -55,8 +60,9 @@ def _bounds(south: Column, north: Column, west: Column, east: Column, lat: Colum
     return low, high
 
 
-def _pyramid(points: DataFrame, levels: Sequence[float]) -> list[DataFrame]:
-    """Occupied cells per level, coarsest first: own and parent cell, extent, one real place.
+def _pyramid(points: DataFrame, levels: Sequence[float], under: float | None = None) -> list[DataFrame]:
+    """Occupied cells per level, coarsest first: own and parent cell (of size ``under`` for the first level, if
+    given), extent, one real place; for the finest level, the number of places.
 
     Built from the finest level upwards, so the points are read once.
     """
@@ -67,13 +73,14 @@ def _pyramid(points: DataFrame, levels: Sequence[float]) -> list[DataFrame]:
         F.min("reclong").alias("west"),
         F.max("reclong").alias("east"),
         F.min(F.struct("reclat", "reclong")).alias("real"),
+        F.count(F.lit(1)).alias("places"),
     )
     out = []
-    for size, above in zip(reversed(levels), [*reversed(levels[:-1]), None]):
+    for size, above in zip(reversed(levels), [*reversed(levels[:-1]), under]):
         if above:
             level = level.withColumns({"py": grid_cell("cy", above / size), "px": grid_cell("cx", above / size)})
         out.append(F.broadcast(level) if size >= BROADCAST_SIZE else level)
-        if above:
+        if above and above != under:
             level = level.groupBy(F.col("py").alias("cy"), F.col("px").alias("cx")).agg(
                 F.min("south").alias("south"),
                 F.max("north").alias("north"),
@@ -84,30 +91,57 @@ def _pyramid(points: DataFrame, levels: Sequence[float]) -> list[DataFrame]:
     return out[::-1]
 
 
-def candidate_cells(points: DataFrame, queries: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
-    """For each query box (qid, q_south, q_north, q_west, q_east): the finest cells (cy, cx) that can
-    hold the nearest place of some point in the box. A point query is a box without extent."""
-    box = ["deal", "qid", "q_south", "q_north", "q_west", "q_east"]
-    best = Window.partitionBy("deal", "qid")
+_BOX = ["deal", "qid", "q_south", "q_north", "q_west", "q_east"]
+
+
+def _kept(seen: DataFrame) -> DataFrame:
+    """Of (query box, cell) rows, those whose cell can hold the nearest place of some point in the box."""
     extent = [F.col(c) for c in ("south", "north", "west", "east")]
     low, high = _bounds(*extent, F.col("real.reclat"), F.col("real.reclong"))
+    number = ["places"] if "places" in seen.columns else []
+    return (
+        seen.withColumn("low", low)
+        .withColumn("best", F.min(high).over(Window.partitionBy("deal", "qid")))
+        .filter(F.col("low") <= F.col("best"))
+        .select(*_BOX, F.col("cy").alias("py"), F.col("cx").alias("px"), *number)
+    )
+
+
+def candidate_cells(points: DataFrame, queries: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
+    """For each query box (qid, q_south, q_north, q_west, q_east): the finest cells (cy, cx) that can
+    hold the nearest place of some point in the box, with their number of ``places``. A point query is a box
+    without extent."""
+    return _descended(points, queries, levels).select("qid", F.col("py").alias("cy"), F.col("px").alias("cx"), "places")
+
+
+def _descended(points: DataFrame, queries: DataFrame, levels: Sequence[float]) -> DataFrame:
     # Dealt out once by a hash of the query; as long as the levels are small enough to be broadcast,
     # no join or window below moves a row again.
-    kept = spread(queries.withColumn("deal", F.xxhash64("qid")).select(*box), "deal")
+    kept = spread(queries.withColumn("deal", F.xxhash64("qid")).select(*_BOX), "deal")
     for i, level in enumerate(_pyramid(points, levels)):
         if i == 0:
             # At most 4 x 6 rows, listed for every query.
             top = level.agg(F.collect_list(F.struct("cy", "cx", "south", "north", "west", "east", "real"))).scalar()
-            seen = kept.withColumn("top", F.explode(top)).select(*box, "top.*")
+            seen = kept.withColumn("top", F.explode(top)).select(*_BOX, "top.*")
         else:
-            seen = kept.join(level, ["py", "px"])
-        kept = (
-            seen.withColumn("low", low)
-            .withColumn("best", F.min(high).over(best))
-            .filter(F.col("low") <= F.col("best"))
-            .select(*box, F.col("cy").alias("py"), F.col("cx").alias("px"))
-        )
-    return kept.select("qid", F.col("py").alias("cy"), F.col("px").alias("cx"))
+            seen = kept.drop("places").join(level, ["py", "px"])
+        kept = _kept(seen)
+    return kept
+
+
+def nearest_pairs(coordinates: DataFrame, queries: DataFrame, levels: Sequence[float] = LEVELS, deep: Sequence[float] = DEEP, leaf: int = LEAF) -> DataFrame:
+    """(qid, reclat, reclong): the coordinates each query box may have nearest, some ``leaf`` for each cell kept."""
+    kept = _descended(coordinates, queries, levels)
+    single = coordinates.withColumns(dict(zip(("py", "px"), globe_cell("reclat", "reclong", levels[-1]))))
+    pairs = kept.filter(F.col("places") <= leaf).select("qid", "py", "px").join(single, ["py", "px"])
+    # What follows is empty unless a cell is crowded, and adaptive execution then leaves it out.
+    crowded = kept.filter(F.col("places") > leaf)
+    places = single.join(crowded.select("py", "px").distinct(), ["py", "px"], "left_semi").select("reclat", "reclong")
+    inner = crowded.drop("places")
+    for level in _pyramid(places, deep, under=levels[-1]):
+        inner = _kept(inner.drop("places").join(level, ["py", "px"]))
+    finest = places.withColumns(dict(zip(("py", "px"), globe_cell("reclat", "reclong", deep[-1]))))
+    return pairs.unionByName(inner.select("qid", "py", "px").join(finest, ["py", "px"])).select("qid", "reclat", "reclong")
 
 
 def nearest_distance(obs: DataFrame, locations: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
@@ -124,15 +158,12 @@ def nearest_distance(obs: DataFrame, locations: DataFrame, levels: Sequence[floa
         F.col("lon").alias("q_west"),
         F.col("lon").alias("q_east"),
     )
-    cells = candidate_cells(coordinates, points, levels).join(
-        locations.select(F.col("location_id").alias("qid"), "lat", "lon"), "qid"
-    )
-    size = levels[-1]
-    cy, cx = globe_cell("reclat", "reclong", size)
-    single = coordinates.withColumns({"cy": cy, "cx": cx})
+    here = locations.select("location_id", "lat", "lon")
     return (
-        cells.join(single, ["cy", "cx"])
-        .groupBy(F.col("qid").alias("location_id"))
+        nearest_pairs(coordinates, points, levels)
+        .withColumnRenamed("qid", "location_id")
+        .join(here, "location_id")
+        .groupBy("location_id")
         .agg(F.min(planar_distance(F.col("lat"), F.col("lon"))).alias("d_min"))
     )
 

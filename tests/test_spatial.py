@@ -136,6 +136,22 @@ def test_one_record_on_the_other_side_and_records_off_the_globe(make_obs, make_l
     assert nearest.nearest_distance(make_obs([(0, 0)]).filter("false"), make_locations([{}])).count() == 0
 
 
+def test_crowded_cell_meets_few_pairs(spark):
+    """100,000 coordinates inside one cell of 1/64 degree, and 1,000 queries there."""
+    rng = random.Random(8)
+    size = nearest.LEVELS[-1]
+    crowd = [(10 + rng.random() * size, 20 + rng.random() * size) for _ in range(100_000)]
+    asked = [(i, 10 + rng.random() * size, 20 + rng.random() * size) for i in range(1000)]
+    points = spark.createDataFrame(crowd, "reclat double, reclong double").repartition(8)
+    queries = spark.createDataFrame([(i, a, a, o, o) for i, a, o in asked], "qid long, q_south double, q_north double, q_west double, q_east double")
+    per_query = nearest.nearest_pairs(points, queries).groupBy("qid").count()
+    most = per_query.agg(F.max("count"), F.count("*")).first()
+    assert most[1] == 1000 and most[0] <= 8 * nearest.LEAF
+    locations = spark.createDataFrame(asked[:40], "location_id long, lat double, lon double")
+    got = {r.location_id: r.d_min for r in nearest.nearest_distance(points, locations).collect()}
+    assert got == {i: min(distance(p, (a, o)) for p in crowd) for i, a, o in asked[:40]}
+
+
 def test_nearest_place_with_ties(make_obs, spark, cloud):
     rng = random.Random(2)
     gazetteer = [(i, f"c{i % 3}", round(rng.uniform(-80, 80)), round(rng.uniform(-170, 170))) for i in range(40)]
