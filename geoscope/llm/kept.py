@@ -27,3 +27,14 @@ class Kept:
                 else:
                     now[word] = value
         return out
+
+    def known(self, words: Iterable) -> tuple[dict, list]:
+        """The values of those of the words that have one, in a dictionary of the caller's own, and the others.
+        What a caller holds does not depend on what the store keeps meanwhile."""
+        missing = self.missing(words)
+        now, rest = self.now, set(missing)
+        return {word: now[word] for word in words if word not in rest}, missing
+
+    def add(self, values: dict) -> None:
+        """Keeps values; as many as fill a generation at a time."""
+        self.now.update(values)

@@ -185,9 +185,9 @@ def pack(
         for batch in batches:
             id_type = batch.schema.field(id_col).type
             for part in in_parts(batch, text_col, 8 << 20):
-                ids, borders = coder.encode(part.column(text_col))
+                ids, borders = coder.encode(part.column(text_col), end_id)
                 for doc, a, b in zip(part.column(id_col).to_pylist(), borders, borders[1:]):
-                    task.add(doc, np.append(ids[a:b], np.uint32(end_id)))
+                    task.add(doc, ids[a:b])
                 yield from out()
         task.end()
         yield from out()

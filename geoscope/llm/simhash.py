@@ -200,15 +200,16 @@ def groups(docs: DataFrame, words: int, distance: int = 3, blocks: int = 5, id_c
 
 
 def keep_one(docs: DataFrame, words: int, distance: int = 3, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one of each group: the smallest id; of repeated rows of that id and text,
-    one. Columns and values stay."""
+    """The rows of ``docs`` with one of each group: the smallest id, null ids last; of rows with that id and text, the
+    one whose values in all columns have the smallest hash, so a second run keeps the same one. Columns and
+    values stay, whatever their names; null texts count as empty; an empty table stays empty."""
     found = groups(docs, words, distance, blocks, id_col, text_col)
-    keepers = found.select(F.col("component_id").alias("__keep_id"), F.col("keeper_hash").alias("__keep_hash")).distinct()
-    hashed = docs.withColumn("__keep_hash_of", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return (
-        hashed.join(
-            keepers, F.col("__keep_id").eqNullSafe(hashed[id_col]) & (F.col("__keep_hash") == F.col("__keep_hash_of")), "left_semi"
-        )
-        .dropDuplicates([id_col, "__keep_hash_of"])
-        .select(*docs.columns)
+    keepers = found.select(F.col("component_id").alias("id"), F.col("keeper_hash").alias("hash")).distinct()
+    hashed = docs.select(
+        docs[id_col].alias("id"),
+        F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("hash"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
     )
+    same = hashed["id"].eqNullSafe(keepers["id"]) & (hashed["hash"] == keepers["hash"])
+    rows = hashed.join(keepers, same, "left_semi").groupBy("id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.select("row.*")

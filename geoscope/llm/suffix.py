@@ -406,6 +406,8 @@ def repeated(docs: DataFrame, length: int, text_col: str = "text", with_text: bo
     joined = texts.join(spans, "k1", "left").select("k1", "k2", "copies", "own", "text")
     schema = "k1 bigint, k2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
     result, _ = files.written(joined.mapInArrow(run, schema), "repeated")
+    spark.sql(f"DROP TABLE {name}")
+    files.drop(spark, path)
     return result
 
 
@@ -420,11 +422,10 @@ def removals(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_co
 
 def cleaned(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with what stands elsewhere too removed from their texts, whole characters only.
-    All rows stay, null texts too, and so do all other columns."""
+    All rows stay, null texts too, and so do all other columns, whatever their names; an empty table stays empty."""
     result = repeated(docs, length, text_col, with_text=True)
-    kept = result.filter("n_removed > 0").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("kept_text").alias("__kept"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    k1, k2 = _keys(text)
-    joined = docs.join(kept, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left")
-    value = F.coalesce(F.col("__kept"), F.col(text_col))
-    return joined.select(*[value.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    kept = result.filter("n_removed > 0").select("k1", "k2", "kept_text")
+    rows = docs.select(*_keys(F.coalesce(docs[text_col], F.lit(""))), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = rows.join(kept, ["k1", "k2"], "left")
+    value = F.coalesce("kept_text", F.col("row")[text_col])
+    return joined.select(*[(value if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

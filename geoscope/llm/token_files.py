@@ -42,17 +42,15 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str =
         coder, part, before = word_tokens.load(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in in_parts(batch, "text", 8 << 20):
-                ids, borders = coder.encode(rows.column("text"))
+                ids, borders = coder.encode(rows.column("text"), end_id)
                 n = rows.num_rows
-                flat = np.insert(ids, borders[1:], end_id).astype(np.int32)
-                borders = borders + np.arange(n + 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(n, part, dtype=np.int32)),
                         rows.column("doc_id"),
                         pa.array(before + borders[:-1]),
                         pa.array(np.diff(borders)),
-                        pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(flat)),
+                        pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(ids.view(np.int32))),
                     ],
                     ["part", "doc_id", "before", "n_tokens", "ids"],
                 )
@@ -89,8 +87,8 @@ def digests(read_rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("ids")
-            borders, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-            crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(borders, borders[1:])]
+            borders, flat = lists.offsets.to_numpy(), np.ascontiguousarray(lists.values.to_numpy(), dtype="<i4")
+            crcs = [zlib.crc32(flat[a:b]) for a, b in zip(borders, borders[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(borders).astype(np.int64)), pa.array(crcs, pa.int64())],
                 ["doc_id", "start", "n_tokens", "ids_crc32"],

@@ -1,6 +1,6 @@
 """Rows that operators must stand: nulls in any column, empty and long texts, repeated rows, clashing names."""
 
-CLASHING = "fp row ids n_tokens score k1 k2 component_id part words id text_hash own mask stretch list rule label"
+CLASHING = "fp row ids n_tokens score k1 k2 component_id part words id text_hash own mask stretch list rule label hash kept_text __keep_id __keep_hash __keep_hash_of __k1 __k2 __kept"
 
 TEXTS = [
     (1, "the quick brown fox jumps over the lazy dog near the river bank"),

@@ -328,3 +328,17 @@ def test_search_is_exact(seed, n):
     found, scores = topk.Index(rows).search(query, 3, 0, tie)
     best = sorted(range(1, n), key=lambda i: (-(rows[i] @ query), tie[i]))[:3]
     assert found.tolist() == best and scores.tolist() == [int(rows[i] @ query) for i in best]
+
+
+def test_kept_row_is_the_same_at_every_run(spark):
+    """Of rows with one id and text but other values elsewhere."""
+    rows = [(1, "one two three four five", f"v{n}") for n in range(40)] + [(2, "one two three four five", "w")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __keep_id string")
+    kept = [simhash.keep_one(frame.repartition(n), 3).collect() for n in (1, 3, 7)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] == kept[2] and kept[0][0].doc_id == 1
+
+
+def test_no_table_is_left_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert suffix.cleaned(odd_docs(spark), 200).columns == odd_docs(spark).columns
+    assert {t.name for t in spark.catalog.listTables()} == before

@@ -79,6 +79,18 @@ def test_store_keeps_frequent_words():
             kept.now[word] = 1
 
 
+def test_ids_do_not_depend_on_the_store(word_library):
+    """A store of three words, and parts of which it knows half: every word of a part is found."""
+    coder = word_tokens.WordCoder(queries.WORD_BPE, cached_words=3)
+    words = ["alpha", "Beta.", "gamma", "delta!", "eps;", "zeta", "eta?", "theta", "iota:", "kappa", "<s>", "É.", "a.b."]
+    for part in (words[:5], words, words[::-1], ["", "new, words; here.", *words], words):
+        ids, borders = coder.encode(pa.array(part), 2)
+        expected = [[*word_library.encode(t, add_special_tokens=False).ids, 2] for t in part]
+        assert [ids[a:b].tolist() for a, b in zip(borders, borders[1:])] == expected
+    ids, borders = coder.encode(pa.array([], pa.string()), 2)
+    assert ids.tolist() == [] and borders.tolist() == [0]
+
+
 def test_op3(spark, byte_library):
     docs = odd_docs(spark)
     found = sorted(bpe.round_trip(docs, queries.BYTE_BPE).collect(), key=str)
