@@ -1,14 +1,19 @@
 """Models of mass, class and place, trained, stored and applied with MLlib.
 
-Training data is split by arithmetic on the record id, not by a random draw: the split is the same on
+Training data is split by a digest of the record id, not by a random draw: the split is the same on
 every recomputation, so a lost executor cannot move a row from the test to the training side.
+
+A store keeps versions of a model. A new one is written whole under a name of its own and then published by
+one rename; readers take the newest version that loads, so neither a writer that dies half way nor a
+damaged version costs more than the step back to the version before.
 """
 
 from __future__ import annotations
 
+import logging
+import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -29,9 +34,8 @@ NUM_TREES = 100
 MAX_DEPTH, MAX_BINS = 10, 32
 SEED = 42
 TRAIN_PERCENT = 80
-# Spreads neighbouring ids over the hundredths of the split; coprime to 100.
-SPLIT_FACTOR = 7919
 
+# Bounds of predictions, what stands in for none, and the blend of both fall types.
 MIN_PREDICTED_MASS, MAX_PREDICTED_MASS = 0.1, 10_000_000.0
 DEFAULT_MASS = 10.0
 FOUND_WEIGHT, FELL_WEIGHT = 0.6, 0.4
@@ -66,7 +70,10 @@ def class_codes(obs: DataFrame) -> DataFrame:
 
 
 def split(frame: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    draw = F.pmod(F.col("id") * SPLIT_FACTOR + seed, F.lit(100))
+    """Training and test rows by a digest of ``id`` and seed: any ids, however far apart, spread evenly, and a record
+    is on the same side at every run."""
+    digest = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100
     return frame.filter(draw < TRAIN_PERCENT), frame.filter(draw >= TRAIN_PERCENT)
 
 
@@ -208,23 +215,53 @@ def location_clusters(obs: DataFrame, k: int = CLUSTERS, seed: int = SEED) -> Da
 # Storing ----------------------------------------------------------------------------------------------
 
 
-def save_model(model: FittedModel, path: str, spark: SparkSession) -> None:
-    """The pipeline, and beside it one row of metadata, written last: without it a store is incomplete."""
-    model.pipeline.write().overwrite().save(f"{path}/{model.kind}/pipeline")
-    report = model_report(model, spark).withColumn("trained_at", F.current_timestamp())
-    report.write.mode("overwrite").json(f"{path}/{model.kind}/metadata")
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def load_model(kind: str, path: str, spark: SparkSession) -> FittedModel | None:
-    """The stored model of this kind, or None when there is none (or an incomplete one)."""
+def versions(kind: str, path: str, spark: SparkSession) -> list[int]:
+    """Published versions of a kind of model, newest first."""
+    system, place = _folder(spark, f"{path}/{kind}")
+    if not system.exists(place):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(place)]
+    return sorted((int(name[1:]) for name in names if name[:1] == "v" and name[1:].isdigit()), reverse=True)
+
+
+def save_model(model: FittedModel, path: str, spark: SparkSession) -> int:
+    """Stores a model as the newest version of its kind and returns its number. The pipeline and a row of metadata
+    are written aside and published together by one rename; of two writers with one number the second
+    takes the next."""
+    aside = f"{path}/{model.kind}/writing-{uuid.uuid4().hex}"
+    model.pipeline.write().save(f"{aside}/pipeline")
+    model_report(model, spark).withColumn("trained_at", F.current_timestamp()).write.json(f"{aside}/metadata")
+    system, source = _folder(spark, aside)
+    while True:
+        number = max(versions(model.kind, path, spark), default=0) + 1
+        _, target = _folder(spark, f"{path}/{model.kind}/v{number}")
+        if not system.exists(target) and system.rename(source, target):
+            return number
+
+
+def load_version(kind: str, path: str, number: int, spark: SparkSession) -> FittedModel | None:
+    """A stored version, or None when it is damaged or incomplete."""
     schema = "model string, metric string, score double, trained_at timestamp"
+    place = f"{path}/{kind}/v{number}"
     try:
-        stored = spark.read.schema(schema).json(f"{path}/{kind}/metadata").first()
-    except AnalysisException:
-        return None
-    if stored is None:
+        stored = spark.read.schema(schema).json(f"{place}/metadata").first()
+        if stored is None or stored["model"] != kind or stored["score"] is None:
+            return None
+        return FittedModel(kind, PipelineModel.load(f"{place}/pipeline"), stored["score"])
+    except Exception as damage:  # noqa: BLE001 - a broken store shows as an error of any layer below
+        logging.getLogger(__name__).warning("version %s of model %s does not load: %s", number, kind, str(damage)[:200])
         return None
-    return FittedModel(kind, PipelineModel.load(f"{path}/{kind}/pipeline"), stored["score"])
+
+
+def load_model(kind: str, path: str, spark: SparkSession) -> FittedModel | None:
+    """The newest stored model of this kind that loads, or None when there is none."""
+    found = (load_version(kind, path, number, spark) for number in versions(kind, path, spark))
+    return next((model for model in found if model is not None), None)
 
 
 def load_or_train(kind: str, path: str, obs: DataFrame, force: bool = False, **settings) -> FittedModel:

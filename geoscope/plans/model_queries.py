@@ -77,6 +77,27 @@ def _class_check(spark, sf_dir: str):
     return predicted.join(known, F.col("predicted_class") == F.col("known"), "left").select("id", F.col("known").isNotNull().alias("is_known"))
 
 
+def _cluster_check(spark, sf_dir: str):
+    """Whether each record's cluster is one of those whose centres are nearest to it."""
+    records = obs(spark, sf_dir)
+    centres = ml.fit_clusters(records).clusterCenters()
+    away = [F.pow(F.col("reclat") - float(c[0]), 2) + F.pow(F.col("reclong") - float(c[1]), 2) for c in centres]
+    own = F.get(F.array(*away), F.col("cluster"))
+    found = ml.location_clusters(records).withColumn("is_nearest", own <= F.least(*away) + 1e-6)
+    return found.select("id", "is_nearest")
+
+
+def _importance_check(spark, sf_dir: str):
+    """Of each model: how many features it weighs, and whether their weights are a whole."""
+    parts = [
+        ml.feature_importance(_model(kind, spark, sf_dir), spark)
+        .agg(F.count("*").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("is_whole"))
+        .select(F.lit(kind).alias("model"), "features", "is_whole")
+        for kind in ("mass", "class")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 _USABLE = "f AS (SELECT * FROM obs WHERE fall IN ('Fell', 'Found') AND reclat IS NOT NULL AND reclong IS NOT NULL AND mass_g IS NOT NULL)"
 
 add(
@@ -89,7 +110,7 @@ add(
     "model_split",
     _split_counts,
     "obs",
-    f""", {_USABLE}, s AS (SELECT (id * {ml.SPLIT_FACTOR} + {ml.SEED}) % 100 AS draw FROM f)
+    f""", {_USABLE}, s AS (SELECT CAST('0x' || substr(md5(concat(id, ':{ml.SEED}')), 1, 8) AS BIGINT) % 100 AS draw FROM f)
     SELECT 'train' AS side, count(*) FILTER (WHERE draw < {ml.TRAIN_PERCENT}) AS n FROM s
     UNION ALL SELECT 'test' AS side, count(*) FILTER (WHERE draw >= {ml.TRAIN_PERCENT}) AS n FROM s""",
 )
@@ -161,3 +182,12 @@ def write_filtered_text(spark, sf_dir: str):
 _FILTERED_SQL = f"SELECT {', '.join(OBS_COLUMNS)} FROM obs WHERE {FACET_SQL}"
 add("write_filtered", write_filtered_parquet, "obs", _FILTERED_SQL)
 add("write_filtered_json", write_filtered_text, "obs", _FILTERED_SQL)
+
+add("location_clusters_check", _cluster_check, "obs", "SELECT id, TRUE AS is_nearest FROM obs")
+add(
+    "feature_importance_check",
+    _importance_check,
+    "obs",
+    "SELECT 'mass' AS model, 4 AS features, count(*) > 0 AS is_whole FROM obs "
+    "UNION ALL SELECT 'class' AS model, 5 AS features, count(*) > 0 AS is_whole FROM obs",
+)

@@ -74,6 +74,36 @@ def test_split_is_stable_and_complete(signal):
     assert len(ids) + test.count() == frame.count() == 400
 
 
+def test_split_of_far_and_of_regular_ids(spark):
+    """Ids near 2**62, and ids that step by 100, spread like any others."""
+    for ids in (range(2**62, 2**62 + 1000), range(0, 100_000, 100), range(-500, 500)):
+        train, test = ml.split(spark.createDataFrame([(i,) for i in ids], "id long"))
+        assert 750 <= train.count() <= 850 and train.count() + test.count() == 1000
+
+
+def test_damaged_versions_fall_back(signal, spark, tmp_path):
+    """Killed between steps, without pipeline, without metadata: the version before serves; then training does."""
+    path = str(tmp_path)
+    first = ml.train_mass_model(signal, num_trees=2, max_depth=2)
+    second = ml.train_mass_model(signal, num_trees=3, max_depth=3)
+    assert ml.save_model(first, path, spark) == 1 and ml.save_model(second, path, spark) == 2
+    assert ml.load_model("mass", path, spark).score == second.score
+    first.pipeline.write().save(f"{path}/mass/writing-dead/pipeline")  # a writer that never published
+    assert ml.versions("mass", path, spark) == [2, 1]
+    for f in (tmp_path / "mass/v2/pipeline/stages").glob("2_*/treesMetadata/*"):
+        f.write_bytes(b"")
+    for f in (tmp_path / "mass/v2/pipeline/stages").glob("2_*/treesMetadata/.*"):
+        f.write_bytes(b"")
+    assert ml.load_model("mass", path, spark).score == first.score
+    (tmp_path / "mass/v3").mkdir()  # neither pipeline nor metadata
+    assert ml.load_model("mass", path, spark).score == first.score
+    for f in (tmp_path / "mass/v1/metadata").iterdir():
+        f.write_bytes(b"")
+    assert ml.load_model("mass", path, spark) is None
+    trained = ml.load_or_train("mass", path, signal, **SMALL)
+    assert ml.versions("mass", path, spark)[0] == 4 and ml.load_model("mass", path, spark).score == trained.score
+
+
 def test_clusters_cover_every_record(make_obs):
     centres = [(0, 0), (60, 0), (-60, 0), (0, 120), (0, -120)]
     obs = make_obs([(a + i % 3, o + i % 2) for a, o in centres for i in range(20)])
