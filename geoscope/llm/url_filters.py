@@ -1,9 +1,11 @@
 """URL filters: given rules by host and path, and rules mined from labels.
 
-Mining: a URL is a set of tokens (scheme, host labels, path segments, query keys, fragment). FP-growth
-finds the token combinations that are frequent among URLs with the bad label; a combination's support
-and confidence are then counted over all labelled URLs, and combinations below either bound are
-pruned. What is left are rules "these tokens imply the bad label".
+Mining: a URL is a set of tokens (scheme, host labels, path segments, query keys, fragment). Tokens that
+stand in exactly the same labelled URLs count as one. FP-growth finds the combinations that are frequent
+among URLs with the bad label; a combination's support and confidence are then counted over all labelled
+URLs, and combinations below either bound are pruned. Of combinations that the same URLs have, only the
+one that holds all the others is kept (the closed one), as they would say the same of the labels. What is left
+are rules "these tokens imply the bad label".
 
 Matching, for mining and use alike, is by an inverted index: a rule is listed under its rarest token
 only, URLs meet rules through their tokens, and what meets is verified by set inclusion. URLs with
@@ -92,10 +94,30 @@ def transactions(sets: DataFrame) -> DataFrame:
     return chunks.select(F.explode(F.array_repeat("tokens", size)).alias("items"))
 
 
+def together(sets: DataFrame) -> DataFrame:
+    """``item, members``: the tokens of ``sets`` (``tokens, bad``), those in exactly the same sets as one group, named
+    by its first token. Groups without a bad URL are left out. Sets are told apart by 128 bits, so a group is found
+    by one sum per token and no list of sets is gathered; its members all stand in one URL, which bounds them."""
+    marks = [F.xxhash64("tokens").alias("m1"), F.xxhash64(F.lit("second"), "tokens").alias("m2")]
+    spread = sets.select(F.explode("tokens").alias("token"), "bad", *marks)
+    tokens_of = spread.groupBy("token").agg(
+        F.count("*").alias("sets"), F.sum("bad").alias("bad"), F.bit_xor("m1").alias("m1"), F.bit_xor("m2").alias("m2")
+    )
+    groups = tokens_of.filter("bad > 0").groupBy("sets", "bad", "m1", "m2").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return groups.select(F.col("members")[0].alias("item"), "members", "bad")
+
+
+def closed(counted: DataFrame) -> DataFrame:
+    """Of combinations (``tokens`` sorted, ``urls``), those that no other with one token more has as many URLs as."""
+    shorter = counted.filter(F.size("tokens") > 1).select(F.explode("tokens").alias("token"), "tokens", "urls")
+    shorter = shorter.select(F.array_except("tokens", F.array("token")).alias("tokens"), "urls").distinct()
+    return counted.join(shorter, ["tokens", "urls"], "left_anti")
+
+
 def mine(
     spark: SparkSession, urls: DataFrame, labels: DataFrame, min_support: float, min_count: int, min_confidence: float
 ) -> DataFrame:
-    """Rules from ``urls`` (``page_id, url``) whose id has a label (``page_id, bad`` boolean): combinations
+    """Rules from ``urls`` (``page_id, url``) whose id has a label (``page_id, bad`` boolean): closed combinations
     of tokens with at least ``min_support`` of all labelled URLs and ``min_count`` of them bad, and with at
     least ``min_confidence`` of theirs bad. Null labels teach nothing; a URL counts once for each label of
     its id. Without any such combination the table is empty."""
@@ -110,15 +132,21 @@ def mine(
     least = max(min_count, min_support * total)
     if bad < least:
         return spark.createDataFrame([], RULES)
-    model = FPGrowth(itemsCol="items", minSupport=least / bad, minConfidence=min_confidence).fit(transactions(sets))
+    groups, _ = files.written(together(sets).filter(F.col("bad") >= least).select("item", "members"), "groups")
+    # Every set by its items that can be frequent; sets that agree in these become one.
+    items = sets.withColumn("set", F.monotonically_increasing_id()).withColumn("item", F.explode("tokens"))
+    items = items.join(groups.select("item"), "item").groupBy("set", "urls", "bad").agg(F.array_sort(F.collect_list("item")).alias("tokens"))
+    small, _ = files.written(items.groupBy("tokens").agg(F.sum("urls").alias("urls"), F.sum("bad").alias("bad")), "items")
+    model = FPGrowth(itemsCol="items", minSupport=least / bad, minConfidence=min_confidence).fit(transactions(small))
     frequent, _ = files.written(
         model.freqItemsets.select(F.monotonically_increasing_id().alias("rule"), F.array_sort("items").alias("tokens")), "itemsets"
     )
-    counted = match(sets, frequent).join(sets, "tokens").groupBy("rule").agg(F.sum("urls").alias("urls"), F.sum("bad").alias("support"))
-    return (
-        frequent.join(counted, "rule")
-        .select("rule", "tokens", "support", (F.col("support") / F.col("urls")).alias("confidence"))
-        .filter((F.col("support") >= least) & (F.col("confidence") >= min_confidence))
+    counted = match(small, frequent).join(small, "tokens").groupBy("rule").agg(F.sum("urls").alias("urls"), F.sum("bad").alias("support"))
+    counted, _ = files.written(frequent.join(counted, "rule"), "counted")
+    kept = closed(counted.filter(F.col("support") >= least)).withColumn("confidence", F.col("support") / F.col("urls"))
+    whole = kept.filter(F.col("confidence") >= min_confidence).withColumn("item", F.explode("tokens")).join(groups, "item")
+    return whole.groupBy("rule", "support", "confidence").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("tokens")).select(
+        "rule", "tokens", "support", "confidence"
     )
 
 

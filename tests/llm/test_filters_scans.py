@@ -227,7 +227,12 @@ def test_mining_against_all_combinations(spark):
                 counts[combination] += 1
                 bads[combination] += bad
     least = max(5, support * len(rows))
-    expected = {c: (bads[c], bads[c] / counts[c]) for c in counts if bads[c] >= least and bads[c] / counts[c] >= confidence}
+    same = {}
+    for combination in counts:  # the URLs that have it, and all tokens that these share
+        having = [url_tokens(url) for _, url, _ in rows if url_tokens(url) >= set(combination)]
+        same[combination] = frozenset.intersection(*having)
+    whole = [c for c in counts if set(c) == same[c]]
+    expected = {c: (bads[c], bads[c] / counts[c]) for c in whole if bads[c] >= least and bads[c] / counts[c] >= confidence}
     assert expected and {tuple(r.tokens): (r.support, r.confidence) for r in found} == expected
     rules = spark.createDataFrame(found, url_filters.RULES)
     judged = url_filters.judge(urls, rules, {}).collect()
@@ -238,6 +243,29 @@ def test_mining_against_all_combinations(spark):
         assert r.confidence == (max(expected[c][1] for c in matching) if matching else None)
 
 
+def test_a_long_url_that_repeats_gives_one_rule(spark):
+    """40 segments are 2^42 combinations, all of which the same URLs have."""
+    long = "http://a.example.com/" + "/".join(f"s{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(40))
+    rows = [(n, long, True) for n in range(1000)] + [(1000 + n, f"http://b.example.com/x/{chr(97 + n % 7)}", False) for n in range(500)]
+    rows += [(2000 + n, "http://a.example.com/saa", n < 30) for n in range(60)]
+    urls = spark.createDataFrame([(n, u) for n, u, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(n, bad) for n, _, bad in rows], "page_id long, bad boolean")
+    found = url_filters.mine(spark, urls, labels, 0.002, 20, 0.5).collect()
+    short = {"scheme=http", "host=a", "host=example", "host=com", "path=saa"}
+    everywhere = {"scheme=http", "host=example", "host=com"}
+    assert {frozenset(r.tokens): (r.support, r.confidence) for r in found} == {
+        url_tokens(long): (1000, 1.0),
+        frozenset(short): (1030, 1030 / 1060),
+        frozenset(everywhere): (1030, 1030 / 1560),
+    }
+
+
+def test_tokens_of_the_same_sets_are_one_item(spark):
+    sets = spark.createDataFrame([(["a", "b", "c"], 2), (["a", "c", "d"], 1), (["e", "f"], 0)], "tokens array<string>, bad long")
+    found = {r.item: (r.members, r.bad) for r in url_filters.together(sets).collect()}
+    assert found == {"a": (["a", "c"], 3), "b": (["b"], 2), "d": (["d"], 1)}
+
+
 def test_a_hot_token_set_is_dealt_to_all_tasks(spark):
     sets = spark.createDataFrame([(["a", "b"], 100_500), (["a"], 3), (["c"], 0)], "tokens array<string>, bad long").coalesce(1)
     found = url_filters.transactions(sets)
