@@ -13,7 +13,7 @@ the final distance, so no true nearest place, ties included, is ever dropped.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,13 +91,15 @@ def _pyramid(points: DataFrame, levels: Sequence[float], under: float | None = N
     return out[::-1]
 
 
+Bounds = Callable[[Column, Column, Column, Column, Column, Column], tuple[Column, Column]]
+
 _BOX = ["deal", "qid", "q_south", "q_north", "q_west", "q_east"]
 
 
-def _kept(seen: DataFrame) -> DataFrame:
+def _kept(seen: DataFrame, bounds: Bounds = _bounds) -> DataFrame:
     """Of (query box, cell) rows, those whose cell can hold the nearest place of some point in the box."""
     extent = [F.col(c) for c in ("south", "north", "west", "east")]
-    low, high = _bounds(*extent, F.col("real.reclat"), F.col("real.reclong"))
+    low, high = bounds(*extent, F.col("real.reclat"), F.col("real.reclong"))
     number = ["places"] if "places" in seen.columns else []
     return (
         seen.withColumn("low", low)
@@ -114,7 +116,7 @@ def candidate_cells(points: DataFrame, queries: DataFrame, levels: Sequence[floa
     return _descended(points, queries, levels).select("qid", F.col("py").alias("cy"), F.col("px").alias("cx"), "places")
 
 
-def _descended(points: DataFrame, queries: DataFrame, levels: Sequence[float]) -> DataFrame:
+def _descended(points: DataFrame, queries: DataFrame, levels: Sequence[float], bounds: Bounds = _bounds) -> DataFrame:
     # Dealt out once by a hash of the query; as long as the levels are small enough to be broadcast,
     # no join or window below moves a row again.
     kept = spread(queries.withColumn("deal", F.xxhash64("qid")).select(*_BOX), "deal")
@@ -125,13 +127,21 @@ def _descended(points: DataFrame, queries: DataFrame, levels: Sequence[float]) -
             seen = kept.withColumn("top", F.explode(top)).select(*_BOX, "top.*")
         else:
             seen = kept.drop("places").join(level, ["py", "px"])
-        kept = _kept(seen)
+        kept = _kept(seen, bounds)
     return kept
 
 
-def nearest_pairs(coordinates: DataFrame, queries: DataFrame, levels: Sequence[float] = LEVELS, deep: Sequence[float] = DEEP, leaf: int = LEAF) -> DataFrame:
-    """(qid, reclat, reclong): the coordinates each query box may have nearest, some ``leaf`` for each cell kept."""
-    kept = _descended(coordinates, queries, levels)
+def nearest_pairs(
+    coordinates: DataFrame,
+    queries: DataFrame,
+    levels: Sequence[float] = LEVELS,
+    deep: Sequence[float] = DEEP,
+    leaf: int = LEAF,
+    bounds: Bounds = _bounds,
+) -> DataFrame:
+    """(qid, reclat, reclong): the coordinates each query box may have nearest, some ``leaf`` for each cell kept.
+    ``bounds`` measures from the query box to a cell's extent and to one place in it."""
+    kept = _descended(coordinates, queries, levels, bounds)
     single = coordinates.withColumns(dict(zip(("py", "px"), globe_cell("reclat", "reclong", levels[-1]))))
     pairs = kept.filter(F.col("places") <= leaf).select("qid", "py", "px").join(single, ["py", "px"])
     # What follows is empty unless a cell is crowded, and adaptive execution then leaves it out.
@@ -139,7 +149,7 @@ def nearest_pairs(coordinates: DataFrame, queries: DataFrame, levels: Sequence[f
     places = single.join(crowded.select("py", "px").distinct(), ["py", "px"], "left_semi").select("reclat", "reclong")
     inner = crowded.drop("places")
     for level in _pyramid(places, deep, under=levels[-1]):
-        inner = _kept(inner.drop("places").join(level, ["py", "px"]))
+        inner = _kept(inner.drop("places").join(level, ["py", "px"]), bounds)
     finest = places.withColumns(dict(zip(("py", "px"), globe_cell("reclat", "reclong", deep[-1]))))
     return pairs.unionByName(inner.select("qid", "py", "px").join(finest, ["py", "px"])).select("qid", "reclat", "reclong")
 

@@ -173,6 +173,11 @@ def near(obs: DataFrame, zones: DataFrame, many: bool = True) -> DataFrame:
     if not few:
         return obs.filter(F.lit(False))
     boxes = [(r.lat - r.radius - SLACK, r.lat + r.radius + SLACK, r.lon - r.radius - SLACK, r.lon + r.radius + SLACK) for r in few]
+    return in_boxes(obs, boxes)
+
+
+def in_boxes(obs: DataFrame, boxes: list[tuple[float, float, float, float]]) -> DataFrame:
+    """Rows in one of a few boxes (south, north, west, east), by filters that the files can answer."""
     inside = [F.col("reclat").between(a, b) & F.col("reclong").between(c, d) for a, b, c, d in boxes]
     found = obs.filter(functools.reduce(Column.__or__, inside))
     if PLACE in obs.columns:
@@ -237,7 +242,7 @@ def dealt(points: DataFrame, cells: DataFrame, size: float, most: int | None = N
     return drawn.drop("_dy", "_dx", "_salts"), listed.withColumn("salt", F.explode(every)).drop("_dy", "_dx", "_salts")
 
 
-def _met(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+def met(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
     """``points`` (with their cell) and zone ``cells``, joined by cell."""
     if bounded(cells):
         return points.join(F.broadcast(cells), ["cy", "cx"])
@@ -253,7 +258,7 @@ def within_zone(
     zones = zones.select("location_id", "lat", "lon", "radius", *keep)
     cells = touched_cells(zones, cell, shape)
     return (
-        _met(with_cell(near(obs, zones), cell), cells, cell)
+        met(with_cell(near(obs, zones), cell), cells, cell)
         .filter(in_zone(shape))
         .withColumn("distance", planar_distance(F.col("lat"), F.col("lon")))
         .select("location_id", *keep, *obs.columns, "distance")
@@ -264,7 +269,7 @@ def within_points(points: DataFrame, zones: DataFrame, reach: Column, cell: floa
     """(zone, coordinate) pairs no further apart than ``reach``; zone and point columns side by side."""
     wide = zones.withColumn("_own", F.col("radius")).withColumn("radius", reach + SLACK)
     cells = touched_cells(wide, cell, "radius")
-    pairs = _met(with_cell(points, cell), cells, cell).filter(in_zone("radius"))
+    pairs = met(with_cell(points, cell), cells, cell).filter(in_zone("radius"))
     return pairs.withColumn("radius", F.col("_own")).drop("_own", "cy", "cx")
 
 

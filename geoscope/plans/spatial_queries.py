@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoscope.operators import nearest, zones
+from geoscope.operators import globe, nearest, zones
 from geoscope.plans import derived as d
 from geoscope.plans.registry import add
 from geoscope.plans.staging import obs, obs_in_place
@@ -120,3 +120,39 @@ add(
     "GROUP BY location_id",
     rounded="median",
 )
+
+# Great-circle distances, in degrees of arc.
+_ARC = (
+    "degrees(2 * asin(sqrt(least(1, pow(sin(radians(reclat - lat) / 2), 2) "
+    "+ cos(radians(lat)) * cos(radians(reclat)) * pow(sin(radians(reclong - lon) / 2), 2)))))"
+)
+
+add(
+    "globe_radius",
+    lambda s, p: globe.within_radius(obs(s, p), d.parameters(s, p)).select("location_id", "id", "distance"),
+    "obs parameters",
+    f"SELECT location_id, id, {_ARC} AS distance FROM obs CROSS JOIN parameters WHERE {_ARC} <= radius",
+    rounded="distance",
+)
+add(
+    "globe_radius_here",
+    lambda s, p: globe.within_radius(obs_in_place(s, p), _middle(s, p)).select("location_id", "id", "distance"),
+    "obs locations",
+    f""", middle AS (SELECT {', '.join(_MIDDLE)} FROM locations)
+    --result
+    SELECT location_id, id, {_ARC} AS distance FROM obs CROSS JOIN middle WHERE {_ARC} <= radius""",
+    rounded="distance",
+)
+add(
+    "globe_zone_counts",
+    lambda s, p: globe.zone_counts(obs(s, p), d.parameters(s, p)),
+    "obs parameters",
+    f"SELECT location_id, count(*) AS n FROM obs CROSS JOIN parameters WHERE {_ARC} <= radius GROUP BY location_id",
+)
+add(
+    "globe_nearest_distance",
+    lambda s, p: globe.nearest_distance(obs(s, p), d.locations(s, p)),
+    "obs locations",
+    f"SELECT location_id, min({_ARC}) AS d_min FROM {_PAIR} GROUP BY location_id",
+    rounded="d_min",
+)
