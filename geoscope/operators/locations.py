@@ -59,6 +59,11 @@ def _has(df: DataFrame, name: str) -> list[str]:
     return [name] if name in df.columns else []
 
 
+def _known_years(obs: DataFrame) -> DataFrame:
+    """Year 0 (unknown) as null, so that no year figure counts it."""
+    return obs.withColumn("year", F.when(F.col("year") > 0, F.col("year")))
+
+
 def _facts(obs: DataFrame, locations: DataFrame) -> DataFrame:
     """All locations with the measures of their radius zone (null sums and zero counts when empty)."""
     measures = zone_summary(coordinate_measures(obs), locations, measures=MEASURES)
@@ -151,14 +156,19 @@ def _ranked_classes(counts: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order))
 
 
-def zone_statistics(obs: DataFrame, locations: DataFrame, as_of_year: int, shape: str = "box") -> DataFrame:
+def zone_statistics(
+    obs: DataFrame, locations: DataFrame, as_of_year: int, shape: str = "box", exclude_unknown_year: bool = False
+) -> DataFrame:
     """Statistics of every zone that holds records.
 
     Count, total / mean / median mass, first and last year, mean age in whole years, the three main
     classes (from three records on), share of the dominant class, records per square degree, and
-    the share of the surrounding region (three times the radius).
+    the share of the surrounding region (three times the radius). Year 0 (unknown) is in the years and ages
+    unless ``exclude_unknown_year``; a zone without a known year then has none.
     """
-    kept = ("n", "mass_sum", "year_min", "year_max", "year_sum")
+    if exclude_unknown_year:
+        obs = _known_years(obs)
+    kept = ("n", "mass_sum", "year_min", "year_max", "years", "year_sum")
     # The zone itself meets coordinates by class, its region bare counts, in one join.
     by_class = coordinate_measures(obs, ["recclass"]).select("reclat", "reclong", "recclass", *kept, F.lit(1.0).alias("ring"))
     bare = coordinate_counts(obs).withColumn("ring", F.lit(REGION_FACTOR))
@@ -203,7 +213,7 @@ def zone_statistics(obs: DataFrame, locations: DataFrame, as_of_year: int, shape
             "median_mass",
             F.col("year_min").alias("first_year"),
             F.col("year_max").alias("last_year"),
-            (as_of_year - F.col("year_sum") / F.col("n")).cast("int").alias("mean_age"),
+            (as_of_year - F.try_divide("year_sum", "years")).cast("int").alias("mean_age"),
             F.when(enough, F.array_join("_main.recclass", ", ")).alias("main_classes"),
             F.when(enough, F.col("_main")[0]["recclass"]).alias("dominant_class"),
             F.when(enough, share("_top", "n") * 100).alias("dominant_share"),
@@ -435,14 +445,18 @@ def probable_class(obs: DataFrame, locations: DataFrame) -> DataFrame:
     )
 
 
-def _sample_std(total: str, squares: str) -> Column:
+def _sample_std(total: str, squares: str, count: str = "n") -> Column:
     """Sample standard deviation from n, Σx and Σx²."""
-    n, s = F.col("n"), F.col(total)
+    n, s = F.col(count), F.col(total)
     return F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col(squares) - s * s / n, n - 1)))
 
 
-def confidence_score(obs: DataFrame, locations: DataFrame) -> DataFrame:
-    """0-100 from data volume, horizon, spread in time and space, class dominance and user settings."""
+def confidence_score(obs: DataFrame, locations: DataFrame, exclude_unknown_year: bool = False) -> DataFrame:
+    """0-100 from data volume, horizon, spread in time and space, class dominance and user settings.
+
+    Year 0 (unknown) is part of the spread in time unless ``exclude_unknown_year``."""
+    if exclude_unknown_year:
+        obs = _known_years(obs)
     modal = _modal_class(obs, locations).select("location_id", "top_n")
     rows = _facts(obs, locations).join(modal, "location_id", "left")
     n = F.col("n")
@@ -451,7 +465,7 @@ def confidence_score(obs: DataFrame, locations: DataFrame) -> DataFrame:
     dominance = share("top_n", "n")
     time_bonus = F.when(
         n > 5,
-        F.when((years > 50) & (_sample_std("year_sum", "year_sq") > 15), 15).when(years > 20, 10).otherwise(0),
+        F.when((years > 50) & (_sample_std("year_sum", "year_sq", "years") > 15), 15).when(years > 20, 10).otherwise(0),
     ).otherwise(0)
     space_bonus = F.when(n > 10, F.when(dispersion > 0.5, 10).when(dispersion > 0.2, 5).otherwise(0)).otherwise(0)
     class_bonus = F.when(n > 5, F.when(dominance > 0.7, 10).when(dominance > 0.5, 5).otherwise(0)).otherwise(0)

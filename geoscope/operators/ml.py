@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoscope.functions import clamp, fall_code
+from geoscope.operators.filters import location_problem
 
 MASS_FEATURES = ["reclat", "reclong", "year", "fall_code"]
 CLASS_FEATURES = ["reclat", "reclong", "mass_g", "year", "fall_code"]
@@ -160,13 +161,12 @@ def invalid_requests(requests: DataFrame) -> DataFrame:
 def predict_mass_blend(model: FittedModel, locations: DataFrame, as_of_year: int) -> DataFrame:
     """Predicted mass at the horizon of each location; detection 'all' blends .6 Found and .4 Fell.
 
-    Both predictions are made on the same row, so nothing is shuffled. Locations without coordinates or
-    horizon, or with an unknown detection, get ``DEFAULT_MASS``; ``filters.quarantine_locations`` names
-    them with the reason.
+    Both predictions are made on the same row, so nothing is shuffled. Locations that are not valid (coordinates,
+    horizon or detection missing or out of range) are not predicted and get ``DEFAULT_MASS``;
+    ``filters.quarantine_locations`` names them with the reason.
     """
     asked = locations.withColumn("year", F.lit(as_of_year) + F.col("horizon"))
-    complete = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("year").isNotNull()
-    rows = asked.filter(complete)
+    rows = asked.filter(location_problem().isNull())
     for fall in ("Found", "Fell"):
         rows = predict_mass(model, rows.withColumn("fall", F.lit(fall))).withColumnRenamed(
             "predicted_mass", f"mass_{fall.lower()}"
@@ -178,7 +178,7 @@ def predict_mass_blend(model: FittedModel, locations: DataFrame, as_of_year: int
         .when(F.col("detection") == "Fell", fell)
     )
     predicted = rows.select("location_id", "detection", "year", blended.alias("predicted_mass"))
-    rest = asked.filter(~complete).select("location_id", "detection", "year", F.lit(None).cast("double").alias("predicted_mass"))
+    rest = asked.filter(location_problem().isNotNull()).select("location_id", "detection", "year", F.lit(None).cast("double").alias("predicted_mass"))
     return predicted.unionByName(rest).withColumn("predicted_mass", F.coalesce("predicted_mass", F.lit(DEFAULT_MASS)))
 
 

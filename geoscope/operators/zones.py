@@ -307,6 +307,7 @@ MEASURES = {
     "found": "sum",
     "year_min": "min",
     "year_max": "max",
+    "years": "sum",
     "year_sum": "sum",
     "year_sq": "sum",
     "lat_sum": "sum",
@@ -333,6 +334,7 @@ def coordinate_measures(obs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if(F.col("fall") == "Found").alias("found"),
         F.min("year").alias("year_min"),
         F.max("year").alias("year_max"),
+        F.count("year").alias("years"),
         F.sum(year).alias("year_sum"),
         F.sum(year * year).alias("year_sq"),
     )

@@ -13,10 +13,10 @@ from geoscope.functions import (
     probability_band,
     reliability_tier,
 )
-from geoscope.operators import cleaning, facets, filters, ml, trends
+from geoscope.operators import cleaning, facets, filters, ml, sketches, trends
 from geoscope.plans import derived as d
 from geoscope.plans.registry import add
-from geoscope.plans.staging import new_path
+from geoscope.plans.staging import kpi_sketches, new_path
 from geoscope.plans.staging import obs as staged_obs
 from geoscope.sources.catalogue import read_raw_csv, write_raw_csv
 
@@ -340,6 +340,33 @@ add(
         count(DISTINCT recclass) AS n_classes, min(year) AS min_year, max(year) AS max_year FROM obs""",
     rounded="total_mass mean_mass median_mass",
 )
+
+
+def _sketched(where: str) -> str:
+    """Sketched figures from the exact middle masses: each stands for the mass in the middle of its bucket."""
+    grown = f"({sketches.GROWTH!r}::DOUBLE)"
+    middle = f"2 / ({grown} + 1) * pow({grown}, ceil(ln({{}}) / ln({grown})))"
+    return f""", f AS (SELECT * FROM obs WHERE {where}), v AS (SELECT list_sort(list(mass_g)) AS v, count(*) AS k FROM f)
+    --result
+    SELECT count(*) AS n, sum(mass_g) AS total_mass, avg(mass_g) AS mean_mass, min(year) AS min_year, max(year) AS max_year,
+        count(DISTINCT recclass) AS n_classes,
+        (SELECT ({middle.format('v[(k + 1) // 2]')} + {middle.format('v[k // 2 + 1]')}) / 2 FROM v) AS median_mass FROM f"""
+
+
+add(
+    "kpi_sketched",
+    lambda s, p: sketches.kpi_from_sketches(kpi_sketches(s, p)),
+    "obs",
+    _sketched("true"),
+    rounded="total_mass mean_mass median_mass",
+)
+add(
+    "filtered_kpi_sketched",
+    lambda s, p: sketches.kpi_from_sketches(sketches.filter_sketches(kpi_sketches(s, p), "Fell", (1850, 1950))),
+    "obs",
+    _sketched("fall = 'Fell' AND decade BETWEEN 1850 AND 1950"),
+    rounded="total_mass mean_mass median_mass",
+)
 add(
     "kpi_fall_ratio",
     lambda s, p: facets.kpi_fall_ratio(staged_obs(s, p)),

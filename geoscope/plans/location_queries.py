@@ -121,6 +121,15 @@ add(
     _zone_statistics(_DISC, _DISC_REGION),
     rounded=_STATISTICS_ROUNDED,
 )
+# Year 0 stands for an unknown year.
+_KNOWN_YEARS = "(SELECT * REPLACE (nullif(year, 0) AS year) FROM z)"
+add(
+    "zone_stats_known_years",
+    _on(locations.zone_statistics, YEAR, exclude_unknown_year=True),
+    "obs parameters",
+    _zone_statistics(_BOX, _BOX_REGION).replace("FROM z GROUP BY 1)\n    --result", f"FROM {_KNOWN_YEARS} GROUP BY 1)\n    --result"),
+    rounded=_STATISTICS_ROUNDED,
+)
 add(
     "zone_observations",
     _on(locations.zone_observations),
@@ -289,6 +298,15 @@ add(
     SELECT * FROM s""",
     rounded="score",
 )
+add(
+    "confidence_score_known_years",
+    _on(locations.confidence_score, exclude_unknown_year=True),
+    "obs parameters",
+    f"""{_SCORE.replace('LEFT JOIN z USING (location_id) GROUP BY ALL', f'LEFT JOIN {_KNOWN_YEARS} z USING (location_id) GROUP BY ALL')}
+    --result
+    SELECT * FROM s""",
+    rounded="score",
+)
 add(
     "confidence_reason",
     lambda s, p: locations.confidence_reason(locations.confidence_score(obs(s, p), d.parameters(s, p))),

@@ -120,6 +120,16 @@ add(
     "parameters",
     f"SELECT location_id, detection, CAST({d.AS_OF_YEAR} + horizon AS INT) AS year, TRUE AS is_blend FROM parameters",
 )
+add(
+    "predict_mass_blend_refused",
+    lambda s, p: ml.predict_mass_blend(_model("mass", s, p), d.requests(s, p), d.AS_OF_YEAR)
+    .filter(F.col("predicted_mass") == ml.DEFAULT_MASS)
+    .select("location_id", "detection", "year"),
+    "requests",
+    f"""SELECT location_id, detection, CAST({d.AS_OF_YEAR} + horizon AS INT) AS year FROM requests
+    WHERE NOT (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND horizon BETWEEN 1 AND 50)
+        OR detection IS NULL OR detection NOT IN ('Fell', 'Found', 'all')""",
+)
 add("predict_class_check", _class_check, "obs", f", {_USABLE} SELECT id, TRUE AS is_known FROM f")
 add("mass_model", lambda s, p: ml.model_report(_model("mass", s, p), s))
 add("class_model", lambda s, p: ml.model_report(_model("class", s, p), s))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from geoscope.operators import globe, nearest, zones
 from geoscope.plans import derived as d
 from geoscope.plans.registry import add
-from geoscope.plans.staging import obs, obs_in_place
+from geoscope.plans.staging import country_names, gazetteer, obs, obs_in_place
 
 _PAIR = "obs CROSS JOIN locations"
 _DISTANCE = "sqrt((reclat - lat) * (reclat - lat) + (reclong - lon) * (reclong - lon))"
@@ -80,7 +80,7 @@ add(
 )
 add(
     "nearest_place",
-    lambda s, p: nearest.nearest_place(obs(s, p), d.gazetteer(s, p)),
+    lambda s, p: nearest.nearest_place(obs(s, p), gazetteer(s, p)),
     "obs gazetteer",
     f""", c AS (SELECT reclat, reclong, count(*) AS n FROM obs GROUP BY reclat, reclong),
     b AS (SELECT reclat, reclong, n, min((({_DISTANCE}), place_id, country)) AS best
@@ -89,14 +89,14 @@ add(
 )
 add(
     "country_lookup",
-    lambda s, p: nearest.country_lookup(d.gazetteer(s, p), d.country_names(s, p)),
+    lambda s, p: nearest.country_lookup(gazetteer(s, p), country_names(s, p)),
     "gazetteer country_names",
     "SELECT g.*, country_name, iso_alpha FROM gazetteer g LEFT JOIN country_names c ON g.country = c.country",
 )
-add("gazetteer_scan", lambda s, p: d.gazetteer(s, p), "gazetteer", "SELECT * FROM gazetteer")
+add("gazetteer_scan", lambda s, p: gazetteer(s, p), "gazetteer", "SELECT * FROM gazetteer")
 add(
     "country_counts",
-    lambda s, p: nearest.country_counts(obs(s, p), d.gazetteer(s, p), d.country_names(s, p)),
+    lambda s, p: nearest.country_counts(obs(s, p), gazetteer(s, p), country_names(s, p)),
     "obs gazetteer country_names",
     f""", b AS (SELECT id, min((({_DISTANCE}), place_id, country)) AS best FROM obs CROSS JOIN gazetteer GROUP BY id),
     k AS (SELECT best[3] AS country, count(*) AS n FROM b GROUP BY 1)
@@ -134,13 +134,20 @@ add(
     f"SELECT location_id, id, {_ARC} AS distance FROM obs CROSS JOIN parameters WHERE {_ARC} <= radius",
     rounded="distance",
 )
+# One location on the meridian where longitudes turn over.
+_TURN = [
+    "CAST(0 AS BIGINT) AS location_id",
+    "CAST(floor(avg(lat)) AS DOUBLE) AS lat",
+    "CAST(180 AS DOUBLE) AS lon",
+    "CAST(10 AS DOUBLE) AS radius",
+]
 add(
     "globe_radius_here",
-    lambda s, p: globe.within_radius(obs_in_place(s, p), _middle(s, p)).select("location_id", "id", "distance"),
+    lambda s, p: globe.within_radius(obs_in_place(s, p), d.locations(s, p).agg(*map(F.expr, _TURN))).select("location_id", "id", "distance"),
     "obs locations",
-    f""", middle AS (SELECT {', '.join(_MIDDLE)} FROM locations)
+    f""", turn AS (SELECT {', '.join(_TURN)} FROM locations)
     --result
-    SELECT location_id, id, {_ARC} AS distance FROM obs CROSS JOIN middle WHERE {_ARC} <= radius""",
+    SELECT location_id, id, {_ARC} AS distance FROM obs CROSS JOIN turn WHERE {_ARC} <= radius""",
     rounded="distance",
 )
 add(

@@ -13,8 +13,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoscope.operators import sketches
 from geoscope.plans import derived
-from geoscope.sources import read_obs, read_obs_in_place, write_obs, write_obs_in_place
+from geoscope.sources import read_country_names, read_gazetteer, read_obs, read_obs_in_place, write_obs, write_obs_in_place
 
 _staged: dict[tuple[str, str, str], str] = {}
 
@@ -50,3 +51,23 @@ def obs_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue in space order, for searches around few locations."""
     path = _once(spark, sf_dir, "obs_in_place", lambda path: write_obs_in_place(obs(spark, sf_dir), path))
     return read_obs_in_place(spark, path)
+
+
+def kpi_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's key figures as sketches by decade and fall type."""
+
+    def write(path: str) -> None:
+        sketches.write_kpi_sketches(sketches.kpi_sketches(obs(spark, sf_dir)), path)
+
+    return sketches.read_kpi_sketches(spark, _once(spark, sf_dir, "kpi_sketches", write))
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places as a Parquet gazetteer that its reader reads."""
+    return read_gazetteer(spark, _once(spark, sf_dir, "gazetteer", derived.gazetteer(spark, sf_dir).write.parquet))
+
+
+def country_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The country names as a headed CSV that its reader reads."""
+    names = derived.country_names(spark, sf_dir)
+    return read_country_names(spark, _once(spark, sf_dir, "country_names", lambda path: names.write.csv(path, header=True)))

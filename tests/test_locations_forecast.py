@@ -152,3 +152,16 @@ def test_cubic_forecast_equals_polyfit(make_obs):
     np.testing.assert_allclose([r.n for r in rows], np.polyval(fit, np.arange(1930, 1960) - 1915.0), rtol=1e-7)
     assert all(abs(r.lower - 0.8 * r.n) < 1e-9 and abs(r.upper - 1.2 * r.n) < 1e-9 for r in rows)
     assert forecast.count_forecast(make_obs([{"year": 1900 + i} for i in range(9)])).count() == 0
+
+
+def test_unknown_years_can_be_left_out(make_obs, make_locations):
+    years = [0, 0, 1900, 1950, 2000, 0, 1990]
+    obs = make_obs([{"year": y} for y in years] + [{"year": 0, "reclat": 40.0}])
+    locs = make_locations([{}, {"lat": 40.0}])
+    known = {r.location_id: r for r in locations.zone_statistics(obs, locs, 2025, exclude_unknown_year=True).collect()}
+    assert (known[0].n, known[0].first_year, known[0].last_year, known[0].mean_age) == (7, 1900, 2000, 65)
+    assert (known[1].n, known[1].first_year, known[1].last_year, known[1].mean_age) == (1, None, None, None)
+    every = {r.location_id: r for r in locations.zone_statistics(obs, locs, 2025).collect()}
+    assert (every[0].first_year, every[1].mean_age) == (0, 2025)
+    score = {x: locations.confidence_score(make_obs([{"year": y} for y in [0] + [2000] * 6]), make_locations([{}]), exclude_unknown_year=x).first().score for x in (True, False)}
+    assert score[True] < score[False]

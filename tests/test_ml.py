@@ -113,3 +113,10 @@ def test_clusters_cover_every_record(make_obs):
     for r in rows:
         groups.setdefault(r.cluster, set()).add((round(r.reclat / 60), round(r.reclong / 120)))
     assert len(groups) == 5 and all(len(g) == 1 for g in groups.values())
+
+
+def test_locations_out_of_range_are_not_predicted(signal, make_locations):
+    model = ml.train_mass_model(signal, **SMALL)
+    locs = make_locations([{}, {"lat": 95.0}, {"lon": -181.0}, {"horizon": 0}, {"horizon": 51}, {"detection": "other"}, {"detection": None}])
+    got = {r.location_id: r.predicted_mass for r in ml.predict_mass_blend(model, locs, 2025).collect()}
+    assert set(got) == set(range(7)) and got[0] != ml.DEFAULT_MASS and {got[k] for k in range(1, 7)} == {ml.DEFAULT_MASS}
