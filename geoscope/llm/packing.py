@@ -3,13 +3,13 @@
 Whole pieces of ``capacity`` ids fill sequences of their own. What is left of each document is dealt
 to windows by Karmarkar-Karp multiway differencing: of all partial partitions the two with the
 largest differences between their windows are merged, the fullest window of one with the emptiest of
-the other, until one partition is left. Its windows are near-equal. Documents may be cut, so what a window
-holds above its capacity is cut off for one with room; batches are taken so that all their ids fit the
-planned windows, whose number therefore never rises in :func:`pack`.
+the other, until one partition is left. Its windows are near-equal. While one of them exceeds the capacity, the
+number of windows rises and differencing begins anew. Documents may be cut, so the room that this leaves
+is filled from the emptiest windows, which dissolve.
 
-Every task packs the rows it reads, a bounded batch at a time; no row moves between executors. A
-batch is cut so that its windows come out all but full, the rest goes to the next batch. What a task
-has left at its end, less than a window, is cut into pieces of powers of two, which need no padding.
+Every task packs the rows it reads, a bounded batch at a time; no row moves between executors. The last
+window of a batch, if not full, goes to the next batch. What a task has left at its end, less than a window,
+is cut into pieces of powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from geoscope.llm.bpe import in_parts
 
 #: A batch holds the remainders for this many windows, which bounds a task's memory and time.
 WINDOWS = 64
-#: Windows are planned this much short of the capacity, so that few near-equal ones need a cut.
+#: Windows that lack no more than this share of the capacity count as full.
 SPARE = 1 / 512
 
 
@@ -91,22 +91,37 @@ def _size(pieces: list[tuple]) -> int:
     return sum(len(p[2]) for p in pieces)
 
 
-def near_equal(pieces: list[tuple], capacity: int, windows: int) -> list[list[tuple]]:
-    """Pieces dealt to near-equal windows within the capacity. The number of windows rises until they can
-    hold all ids, which those of :func:`pack` always can. Where the largest pieces leave a window above the capacity, what stands over is cut off
-    and goes to windows with room."""
-    while _size(pieces) > windows * capacity:
-        windows += 1
-    dealt = [[pieces[i] for i in items] for items in differencing([len(p[2]) for p in pieces], windows)]
-    over: list[tuple] = []
-    for n, window in enumerate(dealt):
-        if _size(window) > capacity:
-            dealt[n], rest = _cut(window, capacity), window
-            over += rest
-    for window in dealt:
-        room = min(capacity - _size(window), _size(over))
-        window += _cut(over, room)
-    return [window for window in dealt if window]
+def within_capacity(sizes: list[int], capacity: int, windows: int) -> list[list[int]]:
+    """The items of each window, none above the capacity, for items that are not either. The number of windows
+    rises, by half of those that are above, until that is so."""
+    while True:
+        found = differencing(sizes, windows)
+        above = sum(sum(sizes[i] for i in items) > capacity for items in found)
+        if not above:
+            return found
+        windows += -(-above // 2)
+
+
+def near_equal(pieces: list[tuple], capacity: int, windows: int, spare: int = 0) -> list[list[tuple]]:
+    """Pieces dealt to near-equal windows within the capacity, at least so many that can hold all ids, more
+    where differencing leaves one above it. The emptiest are then cut up to fill the others, so all
+    windows but the last lack at most ``spare`` ids. Pieces above the capacity are cut first."""
+    parts = [
+        (doc, start + at, ids[at : at + capacity], total) for doc, start, ids, total in pieces for at in range(0, len(ids), capacity)
+    ]
+    windows = max(windows, -(-_size(parts) // capacity))
+    dealt = [[parts[i] for i in items] for items in within_capacity([len(p[2]) for p in parts], capacity, windows)]
+    dealt = sorted((window for window in dealt if window), key=_size, reverse=True)
+    n = 0
+    while n < len(dealt) - 1:
+        room = capacity - _size(dealt[n])
+        if room > spare:
+            dealt[n] += _cut(dealt[-1], min(room, _size(dealt[-1])))
+            if not dealt[-1]:
+                dealt.pop()
+        else:
+            n += 1
+    return dealt
 
 
 class _Task:
@@ -137,20 +152,21 @@ class _Task:
             self._pack(WINDOWS)
 
     def _pack(self, windows: int) -> None:
-        pieces = self._take(min(self.ids_waiting, windows * (self.capacity - self.spare)))
-        for window in near_equal(pieces, self.capacity, windows):
-            self._emit(window)
+        pieces = self._take(min(self.ids_waiting, windows * self.capacity))
+        for window in near_equal(pieces, self.capacity, windows, self.spare):
+            if _size(window) >= self.capacity - self.spare:
+                self._emit(window)
+            else:
+                self.waiting[:0] = window
+                self.ids_waiting += _size(window)
 
     def _take(self, wanted: int) -> list[tuple]:
         self.ids_waiting -= wanted
         return _cut(self.waiting, wanted)
 
     def end(self) -> None:
-        windows = -(-self.ids_waiting // self.capacity)
-        if windows and self.ids_waiting >= windows * (self.capacity - 2 * self.spare):
-            self._pack(windows)  # full but for the spare
-        elif windows > 1:
-            self._pack(windows - 1)
+        if self.ids_waiting >= self.capacity - self.spare:
+            self._pack(-(-self.ids_waiting // self.capacity))
         while self.ids_waiting:
             self._emit(self._take(min(1 << self.ids_waiting.bit_length() - 1, self.capacity)))
 

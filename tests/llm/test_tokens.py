@@ -203,3 +203,24 @@ def test_windows_rise_until_all_fit(sizes, windows):
     assert all(sum(len(p[2]) for p in w) <= 64 for w in found)
     assert sum(len(p[2]) for w in found for p in w) == sum(sizes)
     assert len(found) <= max(windows, -(-sum(sizes) // 64))
+
+
+def test_windows_rise_while_one_exceeds_the_capacity(monkeypatch):
+    sizes = [3000] * 8 + [500]
+    found = packing.within_capacity(sizes, 4096, 6)
+    assert len(found) == 8 and sorted(i for w in found for i in w) == list(range(9))
+    assert max(sum(sizes[i] for i in w) for w in found) <= 4096
+    tried = []
+    differencing = packing.differencing
+    monkeypatch.setattr(packing, "differencing", lambda sizes, windows: tried.append(windows) or differencing(sizes, windows))
+    task = packing._Task(4096, 0)
+    rng = np.random.default_rng(2)
+    for doc in range(3000):
+        task.add(doc, rng.integers(0, 49_000, int(rng.choice((40, 900, 2500, 3900, 9000))), dtype=np.uint32))
+    task.end()
+    assert any(b > a for a, b in zip(tried, tried[1:]))  # a rise within a batch
+    lengths = collections.Counter()
+    for _, _, length, _, _, sequence, _ in task.taken():
+        lengths[sequence] += length
+    padded = sum(4096 - n for n in lengths.values() if n & (n - 1))
+    assert max(lengths.values()) <= 4096 and padded < 0.01 * sum(lengths.values())
