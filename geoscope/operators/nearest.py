@@ -193,20 +193,21 @@ def _box_id(size: float) -> Column:
     return F.struct(y.alias("y"), x.alias("x"))
 
 
-def _possible(pairs: DataFrame) -> DataFrame:
-    """Of (box, place) pairs, those in which the place can be the nearest of some point in the box."""
+def _possible(pairs: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Of (box, place) pairs, those in which the place can be the nearest of some point in the box. ``within``
+    names columns that a box has one value of and by which the pairs are dealt already, so that they stay."""
     low, high = _bounds(F.col("lat"), F.col("lat"), F.col("lon"), F.col("lon"), F.col("lat"), F.col("lon"))
     return (
         pairs.withColumn("low", low)
-        .withColumn("best", F.min(high).over(Window.partitionBy("qid")))
+        .withColumn("best", F.min(high).over(Window.partitionBy(*within, "qid")))
         .filter(F.col("low") <= F.col("best"))
-        .select("qid", "place_id", "country", "lat", "lon")
+        .select(*within, "qid", "place_id", "country", "lat", "lon")
     )
 
 
 # Observed coordinates are grouped into boxes of the first size (at most one per square degree of
-# the globe) for the descent, then into boxes of the second size for the final choice of places.
-BOX_SIZES = (1.0, 0.125)
+# the globe) for the descent, then into boxes of halved sizes, the last for the final choice of places.
+BOX_SIZES = (1.0, 0.5, 0.25, 0.125)
 
 # Boxes are many, so their descent takes smaller steps: fewer children are looked at per cell kept.
 PLACE_LEVELS = (64.0, 16.0, 4.0, 1.0)
@@ -217,7 +218,9 @@ def nearest_place(obs: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
     One row per coordinate: reclat, reclong, n (records there), place_id, country, distance.
     The descent runs once per square degree that holds observations, not per coordinate. Its
-    places are narrowed to those of each eighth of a degree, and a coordinate only meets these.
+    places are narrowed to those of each half, quarter and eighth of a degree; a box meets
+    the places of the one around it where these lie, so only the places kept are shuffled. A coordinate meets
+    those of the last.
     """
     levels = PLACE_LEVELS
     coordinates = coordinate_counts(obs)
@@ -225,19 +228,19 @@ def nearest_place(obs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     cy, cx = globe_cell("lat", "lon", levels[-1])
     known = places.withColumns({"cy": cy, "cx": cx})
 
-    wide, narrow = _boxes(coordinates, BOX_SIZES[0]), _boxes(coordinates, BOX_SIZES[1])
+    wide = _boxes(coordinates, BOX_SIZES[0])
     points = places.select(F.col("lat").alias("reclat"), F.col("lon").alias("reclong"))
-    around = _possible(
-        candidate_cells(points, wide, levels).join(known, ["cy", "cx"]).join(wide, "qid")
-    ).withColumnRenamed("qid", "wide")
-    ratio = BOX_SIZES[0] / BOX_SIZES[1]
-    parent = F.struct(grid_cell("qid.y", ratio).alias("y"), grid_cell("qid.x", ratio).alias("x"))
-    near = _possible(narrow.withColumn("wide", parent).join(around, "wide"))
+    near = _possible(candidate_cells(points, wide, levels).join(known, ["cy", "cx"]).join(wide, "qid"))
+
+    for above, now in zip(BOX_SIZES, BOX_SIZES[1:]):
+        parent = F.struct(grid_cell("qid.y", above / now).alias("y"), grid_cell("qid.x", above / now).alias("x"))
+        boxes = _boxes(coordinates, now).withColumn("parent", parent)
+        near = _possible(boxes.join(near.withColumnRenamed("qid", "parent"), "parent"), ["parent"]).drop("parent")
 
     distance = planar_distance(F.col("lat"), F.col("lon"))
     best = F.min(F.struct(distance.alias("distance"), F.col("place_id"), F.col("country")))
     return (
-        coordinates.withColumn("qid", _box_id(BOX_SIZES[1]))
+        coordinates.withColumn("qid", _box_id(BOX_SIZES[-1]))
         .join(near, "qid")
         .groupBy("reclat", "reclong", "n")
         .agg(best.alias("best"))
