@@ -15,6 +15,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,20 +62,81 @@ def coded(block: Columns, *names: str) -> tuple[np.ndarray, Columns]:
     if kept not in block:
         codes = np.zeros(len(block["reclat"]), np.int64)
         for name in names:
-            values, own = np.unique(block[name], return_inverse=True)
+            own, values = pd.factorize(block[name], use_na_sentinel=False)
             codes = codes * len(values) + own
         _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
         block[kept] = (codes, {name: block[name][first] for name in names})
     return block[kept]
 
 
-def counted(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers that occur, with the sum of ``n`` of each."""
-    if not len(codes):
-        return codes, n
-    sums = np.bincount(codes, weights=n)
-    seen = np.bincount(codes) > 0
-    return np.flatnonzero(seen), sums[seen].astype(np.int64)
+def zone_groups(by: Sequence[str], shape: str, match: str | None = None) -> Work:
+    """Sums of ``n`` for each value of ``by`` in a zone; of observations that agree with the zone in ``match`` only."""
+
+    def work(block, zones, at):
+        found = inside(block, *(zones[c][at] for c in ("lat", "lon", "radius")), shape)
+        if match:
+            found = found[block[match][found] == zones[match][at]]
+        codes, values = coded(block, *by)
+        seen, place = np.unique(codes[found], return_inverse=True)
+        n = np.bincount(place, weights=block["n"][found], minlength=len(seen)).astype(np.int64)
+        return {**{c: v[seen] for c, v in values.items()}, "n": n}
+
+    return work
+
+
+def zone_extent(value: str, shape: str) -> Work:
+    """The least and largest value in a zone, and the sum of ``n``."""
+
+    def work(block, zones, at):
+        found = inside(block, *(zones[c][at] for c in ("lat", "lon", "radius")), shape)
+        if not len(found):
+            return None
+        v = block[value][found]
+        return {"lo": np.fmin.reduce(v, keepdims=True), "hi": v.max(keepdims=True), "total": block["n"][found].sum(keepdims=True)}
+
+    return work
+
+
+def zone_bins(value: str, bins: int, shape: str) -> Work:
+    """Sums of ``n`` for each of the equal bins between the zone's ``lo`` and ``hi``."""
+
+    def work(block, zones, at):
+        found = inside(block, *(zones[c][at] for c in ("lat", "lon", "radius")), shape)
+        lo, hi = zones["lo"][at], zones["hi"][at]
+        place = np.zeros(len(found), np.int64)
+        if hi > lo:
+            place = np.minimum(np.floor((block[value][found] - lo) / (hi - lo) * bins), bins - 1).astype(np.int64)
+        n = np.bincount(place, weights=block["n"][found], minlength=bins).astype(np.int64)
+        seen = np.unique(place)
+        return {"bin": seen, "n": n[seen]}
+
+    return work
+
+
+_REDUCE = {"sum": np.add, "min": np.minimum, "max": np.maximum}
+
+
+def zone_measures(by: str, measures: dict[str, str], shape: str) -> Work:
+    """Measures of the observations of a zone for each value of ``by``, as doubles: not a number where all are null."""
+
+    def work(block, zones, at):
+        found = inside(block, *(zones[c][at] for c in ("lat", "lon", "radius")), shape)
+        if not len(found):
+            return None
+        codes, values = coded(block, by)
+        order = np.argsort(codes[found], kind="stable")
+        found = found[order]
+        seen, starts = np.unique(codes[found], return_index=True)
+        out = {by: values[by][seen]}
+        for name, how in measures.items():
+            v = block[name][found].astype(np.float64)
+            known = ~np.isnan(v)
+            neutral = {"sum": 0.0, "min": np.inf, "max": -np.inf}[how]
+            reduced = _REDUCE[how].reduceat(np.where(known, v, neutral), starts)
+            out[name] = np.where(np.logical_or.reduceat(known, starts), reduced, np.nan)
+        return out
+
+    return work
 
 
 def _numpy(column: pa.Array) -> np.ndarray:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoscope.functions import clamp, confidence_tier, reliability_tier, share
+from geoscope.operators.distributions import zone_cells, zone_histogram, zone_measured, zone_median
 from geoscope.operators.nearest import nearest_distance
 from geoscope.operators.zones import (
     DEFAULT_CELL,
@@ -23,8 +24,6 @@ from geoscope.operators.zones import (
     coordinate_measures,
     rings,
     with_radius,
-    zone_histogram,
-    zone_median,
     zone_summary,
 )
 
@@ -169,19 +168,12 @@ def zone_statistics(
     if exclude_unknown_year:
         obs = _known_years(obs)
     kept = ("n", "mass_sum", "year_min", "year_max", "years", "year_sum")
-    # The zone itself meets coordinates by class, its region bare counts, in one join.
-    by_class = coordinate_measures(obs, ["recclass"]).select("reclat", "reclong", "recclass", *kept, F.lit(1.0).alias("ring"))
-    bare = coordinate_counts(obs).withColumn("ring", F.lit(REGION_FACTOR))
-    counts = zone_summary(
-        by_class.unionByName(bare, allowMissingColumns=True),
-        rings(locations.select("location_id", "lat", "lon", "radius"), (1.0, REGION_FACTOR)),
-        ["location_id", "ring"],
-        by=["ring", "recclass"],
-        measures={k: MEASURES[k] for k in kept},
-        shape=shape,
-        cell=REGION_CELL,
-        match=["ring"],
-    )
+    measures = {k: MEASURES[k] for k in kept}
+    # The zone itself meets coordinates by class, its region bare counts.
+    zones = locations.select("location_id", "lat", "lon", "radius")
+    by_class = zone_measured(coordinate_measures(obs, ["recclass"]), zones, "recclass", measures, shape)
+    region = zone_summary(coordinate_counts(obs), with_radius(zones, F.col("radius") * REGION_FACTOR), shape=shape, cell=REGION_CELL)
+    counts = by_class.withColumn("ring", F.lit(1.0)).unionByName(region.withColumn("ring", F.lit(REGION_FACTOR)), allowMissingColumns=True)
     own = F.col("ring") == 1.0
 
     def inside(name: str) -> Column:
@@ -336,11 +328,7 @@ def zone_density(obs: DataFrame, locations: DataFrame, cell: float = 0.25, shape
         {"cell_lat": F.floor(F.col("reclat") / cell), "cell_lon": F.floor(F.col("reclong") / cell)}
     )
     zones = with_radius(locations, F.col("radius") * 2.0) if shape == "radius" else locations
-    counts = zone_summary(points, zones, by=["cell_lat", "cell_lon"], shape=shape)
-    if shape != "radius":
-        return counts
-    whole = Window.partitionBy("location_id")
-    return counts.withColumn("total", F.sum("n").over(whole)).filter(F.col("total") >= MIN_ZONE_ROWS).drop("total")
+    return zone_cells(points, zones, ["cell_lat", "cell_lon"], shape, MIN_ZONE_ROWS if shape == "radius" else 0)
 
 
 # Fall probabilities, mass, class, confidence ----------------------------------------------------------

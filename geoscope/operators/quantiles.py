@@ -6,7 +6,7 @@ counting instead: values fall into ordered buckets of a monotone scale, bucket c
 map-side, and only the bucket that holds the middle rank is looked at more closely.
 
 ``rank_buckets`` / ``middle_values`` are written against counts, so the same steps serve plain
-groups (``exact_median``) and overlapping zones (``zones.zone_median``).
+groups (``exact_median``) and overlapping zones (``distributions.zone_median``).
 """
 
 from __future__ import annotations

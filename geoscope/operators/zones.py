@@ -29,11 +29,10 @@ import functools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoscope.functions.space import PLACE, place_runs
-from geoscope.operators.quantiles import bucket, middle_values, rank_buckets
 
 DEFAULT_RADIUS = 2.5
 
@@ -386,91 +385,10 @@ def zone_summary(
     return met.groupBy(*dict.fromkeys([*zone_keys, *by])).agg(*merged(measures))
 
 
-# Value distributions within zones ------------------------------------------------------------
+def __getattr__(name: str):
+    """``zone_median`` and ``zone_histogram`` are in :mod:`geoscope.operators.distributions`, which builds on this module."""
+    if name in ("zone_median", "zone_histogram"):
+        from geoscope.operators import distributions
 
-# log1p buckets of width 2**-8 (a few thousand up to 1e7) per zone, then 2**-30.
-ZONE_COARSE_BITS, ZONE_FINE_BITS = 8, 30
-
-
-def _bucketed(obs: DataFrame, value: str) -> DataFrame:
-    """One row per coordinate and distinct value, with its coarse bucket."""
-    rows = located(obs).filter(F.col(value).isNotNull()).select("reclat", "reclong", F.col(value).alias("value"))
-    counted = rows.groupBy("reclat", "reclong", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("b1", bucket("value", ZONE_COARSE_BITS))
-
-
-def _zone_buckets(points: DataFrame, zones: DataFrame, shape: str, cell: float) -> DataFrame:
-    """Per zone and coarse value bucket: records, smallest and largest value."""
-    ranged = points.withColumn("low", F.col("value")).withColumn("high", F.col("value"))
-    measures = {"n": "sum", "low": "min", "high": "max"}
-    return zone_summary(ranged, zones, by=["b1"], measures=measures, shape=shape, cell=cell, derived=True)
-
-
-def _zone_values(points: DataFrame, zones: DataFrame, targets: DataFrame, shape: str, cell: float) -> DataFrame:
-    """Per zone: the distinct values (with counts) in the zone's target buckets only."""
-    aimed = zones.select("location_id", "lat", "lon", "radius").join(targets, "location_id")
-    return zone_summary(points, aimed, by=["b1", "value"], shape=shape, cell=cell, match=["b1"], derived=True)
-
-
-def zone_median(
-    obs: DataFrame, zones: DataFrame, value: str = "mass_g", shape: str = "radius", cell: float = DEFAULT_CELL
-) -> DataFrame:
-    """Exact median of ``value`` per zone: (location_id, median)."""
-    key = ["location_id"]
-    points = _bucketed(near(obs, zones, many=False), value)
-    first = rank_buckets(_zone_buckets(points, zones, shape, cell).select(*key, "b1", "n"), key, "b1")
-    values = _zone_values(points, zones, first.select(*key, "b1"), shape, cell)
-    opened = values.join(first, [*key, "b1"]).withColumn("b2", bucket("value", ZONE_FINE_BITS))
-    fine = opened.groupBy(*key, "b1", "b2", "total", "before").agg(F.sum("n").alias("n"))
-    second = rank_buckets(fine, key, "b2", parent="b1")
-    return middle_values(opened.drop("total", "before").join(second, [*key, "b2"]), key, "value", parent="b2")
-
-
-def zone_histogram(
-    obs: DataFrame,
-    zones: DataFrame,
-    value: str,
-    bins: int = 10,
-    min_rows: int = 5,
-    shape: str = "radius",
-    cell: float = DEFAULT_CELL,
-) -> DataFrame:
-    """Equal-width histogram of ``value`` per zone over the zone's own range.
-
-    Zones with fewer than ``min_rows`` records are left out; empty bins are not listed. A coarse
-    value bucket that falls into one bin is counted whole; only the few buckets that straddle a
-    bin edge are opened.
-    """
-    points = _bucketed(near(obs, zones, many=False), value)
-    extent = Window.partitionBy("location_id")
-    buckets = (
-        _zone_buckets(points, zones, shape, cell)
-        .withColumn("lo", F.min("low").over(extent))
-        .withColumn("hi", F.max("high").over(extent))
-        .withColumn("total", F.sum("n").over(extent))
-        .filter(F.col("total") >= min_rows)
-    )
-
-    def bin_of(v: str) -> Column:
-        at = F.floor((F.col(v) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-        return F.when(F.col("hi") > F.col("lo"), F.least(at, F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-
-    edges = ["location_id", "lo", "hi"]
-    one_bin = bin_of("low") == bin_of("high")
-    settled = buckets.filter(one_bin).select(*edges, bin_of("low").alias("bin"), "n")
-    open_buckets = buckets.filter(~one_bin).select(*edges, "b1")
-    values = _zone_values(points, zones, open_buckets.select("location_id", "b1"), shape, cell)
-    opened = values.join(open_buckets, ["location_id", "b1"]).select(*edges, bin_of("value").alias("bin"), "n")
-    width = (F.col("hi") - F.col("lo")) / bins
-    return (
-        settled.unionByName(opened)
-        .groupBy(*edges, "bin")
-        .agg(F.sum("n").alias("n"))
-        .select(
-            "location_id",
-            "bin",
-            (F.col("lo") + width * F.col("bin")).alias("low"),
-            (F.col("lo") + width * (F.col("bin") + 1)).alias("high"),
-            "n",
-        )
-    )
+        return getattr(distributions, name)
+    raise AttributeError(f"module {__name__!r} has no attribute {name!r}")

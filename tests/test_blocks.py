@@ -2,12 +2,13 @@
 
 import math
 import random
+import statistics
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoscope.operators import blocks, forecast, zones
+from geoscope.operators import blocks, distributions, forecast, nearest, zones
 
 
 def test_grid_rows_leave_a_block_not_pairs(make_obs, make_locations):
@@ -44,3 +45,47 @@ def test_crowded_blocks_are_dealt_and_lose_nothing(spark, make_obs, make_locatio
     got = {k: sum(r.n for r in rows if r.location_id == k) for k in (0, 1)}
     expected = {r.location_id: r.n for r in zones.zone_summary(zones.coordinate_counts(obs), locs, shape=shape).collect()}
     assert got == expected and max(r.held for r in rows) < 100 and {r.location_id for r in rows} <= {0, 1}
+
+
+@pytest.mark.parametrize("shape", ["radius", "box"])
+def test_a_zone_leaves_a_block_as_few_buckets(make_obs, make_locations, shape):
+    rng = random.Random(8)
+    # The zone lies in one block; all masses differ.
+    points = [{"reclat": rng.uniform(1, 7), "reclong": rng.uniform(1, 7), "mass_g": rng.uniform(1, 1e7)} for _ in range(3000)]
+    obs, locs = make_obs(points), make_locations([{"lat": 4.0, "lon": 4.0, "radius": 2.9}])
+    seen = []
+    plain = distributions.met_in_blocks
+
+    def watched(*args, **kwargs):
+        found = plain(*args, **kwargs)
+        seen.append(found.count())
+        return found
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(distributions, "met_in_blocks", watched)
+        median = distributions.zone_median(obs, locs, shape=shape).first().median
+        bins = distributions.zone_histogram(obs, locs, "mass_g", shape=shape).collect()
+    assert len(seen) == 5 and max(seen) <= 2 * 128  # before, a row for each of thousands of buckets and cells
+    in_zone = [p["mass_g"] for p in points if (math.hypot(p["reclat"] - 4, p["reclong"] - 4) if shape == "radius" else max(abs(p["reclat"] - 4), abs(p["reclong"] - 4))) <= 2.9]
+    assert median == statistics.median(in_zone) and sum(r.n for r in bins) == len(in_zone)
+
+
+def test_pairs_of_boxes_and_places_stay_where_they_are(spark, make_obs):
+    rng = random.Random(6)
+    obs = make_obs([(rng.uniform(0, 2), rng.uniform(0, 2)) for _ in range(50)])
+    places = spark.createDataFrame([(k, "X", rng.uniform(0, 2), rng.uniform(0, 2)) for k in range(300)], "place_id long, country string, lat double, lon double")
+    near = nearest.nearest_place(obs, places)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "qid" in line]
+    assert sum("parent" in line for line in windows) >= len(nearest.BOX_SIZES) - 1
+    known = {r.place_id: (r.lat, r.lon) for r in places.collect()}
+    for r in near.collect():
+        best = min((math.sqrt((r.reclat - y) ** 2 + (r.reclong - x) ** 2), k) for k, (y, x) in known.items())
+        assert (r.distance, r.place_id) == best
+
+
+def test_measures_of_nothing_known_are_null(make_obs, make_locations):
+    obs = make_obs([{"year": None, "recclass": "A"}, {"year": 1900, "recclass": "B"}, {"year": None, "recclass": None}])
+    points = zones.coordinate_measures(obs, ["recclass"])
+    found = distributions.zone_measured(points, make_locations([{}]), "recclass", zones.MEASURES, "box").collect()
+    assert {(r.recclass, r.n, r.year_min, r.years) for r in found} == {("A", 1, None, 0), ("B", 1, 1900, 1), (None, 1, None, 0)}
