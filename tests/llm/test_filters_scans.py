@@ -335,7 +335,7 @@ def test_native_plans_hold_no_python(name, spark):
 def test_all_are_registered():
     import __spark_entry__ as entry
 
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
 
 
