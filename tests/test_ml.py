@@ -3,6 +3,7 @@ import random
 import pytest
 
 from geoscope.operators import ml
+from geoscope.plans import model_queries
 
 SMALL = {"num_trees": 5, "max_depth": 4}
 
@@ -120,3 +121,20 @@ def test_locations_out_of_range_are_not_predicted(signal, make_locations):
     locs = make_locations([{}, {"lat": 95.0}, {"lon": -181.0}, {"horizon": 0}, {"horizon": 51}, {"detection": "other"}, {"detection": None}])
     got = {r.location_id: r.predicted_mass for r in ml.predict_mass_blend(model, locs, 2025).collect()}
     assert set(got) == set(range(7)) and got[0] != ml.DEFAULT_MASS and {got[k] for k in range(1, 7)} == {ml.DEFAULT_MASS}
+
+
+def test_class_check_does_not_deal_records_by_predicted_class(signal, spark, monkeypatch):
+    """Nearly all records can have one predicted class; the plan of a large table is forced by the threshold."""
+    model = ml.train_class_model(signal, **SMALL)
+    monkeypatch.setattr(model_queries, "_model", lambda *_: model)
+    monkeypatch.setattr(model_queries, "obs", lambda *_: signal)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        checked = model_queries._class_check(spark, "none")
+        plan = checked._jdf.queryExecution().executedPlan().toString()
+        rows = checked.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(predicted_class" not in plan
+    assert len(rows) == 400 and all(r.is_known for r in rows)
