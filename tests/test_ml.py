@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from geoscope.operators import ml
 from geoscope.plans import model_queries
@@ -138,3 +140,28 @@ def test_class_check_does_not_deal_records_by_predicted_class(signal, spark, mon
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "hashpartitioning(predicted_class" not in plan
     assert len(rows) == 400 and all(r.is_known for r in rows)
+
+
+@pytest.mark.parametrize("train", [ml.train_mass_model, ml.train_class_model])
+def test_forests_are_trained_in_bin_order(train, make_obs, monkeypatch):
+    """Rows of one bin follow one another, none is lost or added, and a spot with nearly all rows is dealt by id."""
+    rng = random.Random(2)
+    rows = [
+        {"reclat": rng.choice([-60.0, -10.0, 5.0, 70.0]), "fall": rng.choice(["Fell", "Found"]), "recclass": rng.choice(["L6", "H5"])} for _ in range(400)
+    ]
+    seen, fit = [], ml.Pipeline.fit
+
+    def spy(pipeline, rows):
+        seen.append(rows.withColumn("task", F.spark_partition_id()).collect())
+        return fit(pipeline, rows)
+
+    monkeypatch.setattr(ml.Pipeline, "fit", spy)
+    spots = [make_obs(rows), make_obs([{}] * 500 + [{"reclat": 1.0, "mass_g": 20.0}])]
+    for obs in spots:
+        train(obs, **SMALL)
+    for obs, got in zip(spots, seen, strict=True):
+        assert sorted(r.id for r in got) == sorted(r.id for r in ml.split(ml.ml_frame(obs))[0].collect())
+        sizes = Counter(r.task for r in got)
+        assert max(sizes.values()) <= 2 * len(got) / 8
+        assert all(a.reclat <= b.reclat for a, b in zip(got, got[1:]))
+        assert len({(a.task, a.reclat, a.fall_code) for a in got}) >= sum((a.task, a.reclat, a.fall_code) != (b.task, b.reclat, b.fall_code) for a, b in zip(got, got[1:]))
