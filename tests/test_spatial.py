@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from geoscope.operators import nearest, zones
+from geoscope.operators import globe, nearest, zones
 from geoscope.operators.quantiles import exact_median
 
 
@@ -56,6 +56,20 @@ def test_pairs_and_counts_equal_brute_force(make_obs, make_locations, cloud, cen
     }
 
 
+@pytest.mark.parametrize("search", [zones.within_radius, zones.within_box, globe.within_radius])
+def test_a_crowd_of_pairs_is_dealt_over_tasks(make_obs, make_locations, monkeypatch, search):
+    """400 records and 100 zones in one cell: few rows, yet no task makes most of their pairs."""
+    monkeypatch.setattr(zones, "bounded", lambda cells: False)
+    monkeypatch.setattr(zones, "PAIRS", 5_000, raising=False)
+    rng = random.Random(4)
+    obs = make_obs([(10 + rng.random() * 0.4, 20 + rng.random() * 0.4) for _ in range(400)])
+    locs = make_locations([{"lat": 10 + rng.random() * 0.4, "lon": 20 + rng.random() * 0.4, "radius": 1.5} for _ in range(100)])
+    found = search(obs, locs).select("location_id", "id", F.spark_partition_id().alias("task")).collect()
+    assert len(found) == 40_000 and len({(r.location_id, r.id) for r in found}) == 40_000
+    tasks = [r.task for r in found]
+    assert max(tasks.count(t) for t in set(tasks)) <= 20_000
+
+
 def test_edge_of_the_zone_is_inside(make_obs, make_locations):
     obs = make_obs([(0.0, 2.5), (0.0, 2.5000001), (1.5, 2.0), (-2.5, 0.0)])
     ids = {r.id for r in zones.within_radius(obs, make_locations([{}])).collect()}
