@@ -5,8 +5,8 @@ subspaces, each coded by its nearest codeword. Both are fitted by k-means on a b
 vector is indexed. A vector probes the ``probes`` nearest lists and all others that can hold a vector
 within reach. Two bounds tell: the list's radius (the largest distance of its vectors to its centre, over
 the whole table) by the triangle inequality, and the distance to the border between the two lists, on
-whose other side all vectors of the list lie. In a list, a vector's distances to all members come from
-table lookups: its residual's squared distances to all codewords, summed over a member's codes. A member
+whose other side all vectors of the list lie. In a list, a vector's distances to all members are those
+of its residual to their codewords, summed over a member's codes: one product of matrices. A member
 within reach cannot have a looked-up distance above the reach plus its own coding error; what passes is
 ranked anew by its exact cosine in double precision. So no link is lost, however a dense group is cut
 into lists. Vectors without any structure are within both bounds of nearly all lists, so the search
@@ -33,10 +33,14 @@ from geoscope.llm.topk import is_valid
 #: sampled vectors each; so a larger corpus calls for a larger sample.
 SAMPLE, LIST_SAMPLE, SUBSPACES, CODEWORDS, ROUNDS = 16_384, 128, 8, 64, 8
 #: Vectors are compared so many by so many; a task has SIDE times as many of either side, and ranks so many
-#: pairs at once.
+#: pairs at once. Large tables have larger sides, as what is shuffled goes with the square of the vectors over the
+#: side: up to SIDES parts a table, while a side has at most VALUES components.
 CHUNK, SIDE, PAIRS = 1024, 4, 1 << 16
-#: Above the rounding errors of distances.
-SLACK = 1e-6
+SIDES, VALUES = 24, 1 << 20
+#: Above the rounding errors of distances, and of squared distances looked up in single precision.
+SLACK, LOOKUP_SLACK = 1e-6, 1e-3
+#: From this share of pairs on that pass the lookup they are ranked as one product of matrices first.
+MANY = 1 / 512
 SEED = 11
 
 
@@ -89,6 +93,16 @@ class Index:
             total += distances(parts[:, s], book)[:, codes[:, s]]
         return total
 
+    def passes(self, residuals: np.ndarray, codes: np.ndarray, within: np.ndarray) -> np.ndarray:
+        """Where the asymmetric distances can be at most ``within`` (one for each member). The sum of the looked-up
+        distances over subspaces is the distance to the member's codewords side by side, so all of them are one
+        product of matrices; in single precision, with room for its rounding."""
+        parts = self.parts(residuals).reshape(len(residuals), -1)
+        words = np.concatenate([book[codes[:, s]] for s, book in enumerate(self.codebooks)], axis=1)
+        ours = np.column_stack([parts, (parts**2).sum(1), np.ones(len(parts))])
+        theirs = np.column_stack([-2 * words, np.ones(len(words)), (words**2).sum(1) - within**2 - LOOKUP_SLACK])
+        return ours.astype(np.float32) @ theirs.astype(np.float32).T <= 0
+
 
 def fit(sample: np.ndarray) -> Index:
     """Fits the coarse quantiser and the codebooks to unit vectors."""
@@ -113,7 +127,8 @@ class Plan:
 
     @staticmethod
     def of(index: Index, sizes: dict[int, int], radii: dict[int, float]) -> Plan:
-        lists, side = len(index.centres), SIDE * CHUNK
+        lists = len(index.centres)
+        side = max(SIDE * CHUNK, min(sum(sizes.values()) // SIDES, VALUES // index.centres.shape[1]))
         radius = np.array([radii.get(n, -np.inf) for n in range(lists)])
         firsts, held = [0], [sizes.get(0, 0)]
         for n in range(1, lists):
@@ -138,8 +153,9 @@ class Plan:
 def unit_rows(vectors: pd.Series, width: int) -> np.ndarray:
     """The vectors at length one, filled with zeros to the width. None may be zero."""
     out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+    if len(vectors):
+        sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
+        out[np.arange(width) < sizes[:, None]] = np.concatenate(vectors.to_list())
     out /= np.abs(out).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
@@ -151,7 +167,10 @@ def _reach(cosine: float) -> float:
 
 def _close(members: np.ndarray, codes, errors, asking: np.ndarray, residuals, index: Index, cosine: float):
     """Pairs (asking, member) with at least that cosine: looked up, then ranked exactly."""
-    a, b = np.nonzero(index.lookup(residuals, codes) <= (_reach(cosine) + errors + SLACK) ** 2)
+    passed = index.passes(residuals, codes, _reach(cosine) + errors + SLACK)
+    if np.count_nonzero(passed) > MANY * passed.size:
+        passed &= asking.astype(np.float32) @ members.astype(np.float32).T >= cosine - LOOKUP_SLACK
+    a, b = np.nonzero(passed)
     cuts = range(0, len(a), PAIRS)
     exact = [np.einsum("ij,ij->i", asking[a[n : n + PAIRS]], members[b[n : n + PAIRS]]) for n in cuts]
     keep = np.concatenate([np.zeros(0), *exact]) >= cosine

@@ -291,6 +291,31 @@ def test_index_loses_nothing_in_a_list():
     assert len(a) == (unit @ unit.T >= 0.9).sum()
 
 
+def test_lookup_as_a_product_of_matrices():
+    """The product in single precision passes every pair that the tables pass, and few more; pairs that pass in numbers are ranked alike."""
+    rng = np.random.default_rng(3)
+    unit = rng.normal(size=(600, 20))  # 20 components are not a multiple of the subspaces
+    unit[300:] = unit[:300] + 0.2 * rng.normal(size=(300, 20))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    index = vector_dedup.fit(unit)
+    residuals = unit - index.centres[1]
+    codes, errors = index.code(residuals)
+    within = vector_dedup._reach(0.9) + errors
+    found, looked_up = index.passes(residuals, codes, within), index.lookup(residuals, codes)
+    assert found[looked_up <= within**2].all() and not found[looked_up > within**2 + 2 * vector_dedup.LOOKUP_SLACK].any()
+    for cosine in (-0.5, 0.9):
+        a, b = vector_dedup._close(unit, codes, errors, unit, residuals, index, cosine)
+        assert set(zip(a.tolist(), b.tolist())) == set(zip(*(n.tolist() for n in np.nonzero(unit @ unit.T >= cosine))))
+
+
+def test_sides_grow_with_the_table():
+    """Rows go to as many tasks as the table has sides, so these grow with it; wide vectors keep a side's bytes bounded."""
+    for width, most in ((4, 25), (512, 98)):
+        index = vector_dedup.Index(np.zeros((1, width)), np.zeros((8, 1, -(-width // 8))))
+        assert vector_dedup.Plan.of(index, {0: 400_000}, {0: 1.0}).chunks[0] in range(24, most + 1)
+    assert vector_dedup.Plan.of(index, {0: 5000}, {0: 1.0}).chunks == [2]
+
+
 # -- top k
 
 
