@@ -84,6 +84,69 @@ def zone_groups(by: Sequence[str], shape: str, match: str | None = None) -> Work
     return work
 
 
+def grouped(block: Columns, *names: str) -> tuple[Columns, Columns]:
+    """The observations of a block by their values in these columns, with where each group starts, its extent and its sum
+    of ``n``, and the values by group; found once a block."""
+    kept = "groups of " + " ".join(names)
+    if kept not in block:
+        codes, values = coded(block, *names)
+        order = np.argsort(codes, kind="stable")
+        starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        y, x, n = (block[c][order] for c in ("reclat", "reclong", "n"))
+        found = {"y": y, "x": x, "n": n, "start": starts, "size": np.diff(starts, append=len(y)), "sum": np.add.reduceat(n, starts)}
+        for name, v in (("y", y), ("x", x)):
+            found[f"{name}_lo"], found[f"{name}_hi"] = np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
+        block[kept] = (found, values)
+    return block[kept]
+
+
+def zone_compact_groups(by: Sequence[str], shape: str, total: bool = False) -> Work:
+    """As :func:`zone_groups`, or the ``total`` of all groups, for values of ``by`` that go with places, such as cells.
+
+    A group whose extent lies in the zone counts as a whole, and one whose extent lies outside not at all. The tests of
+    an extent are those of its observations at its farthest and nearest corner, and rounding keeps their order, so
+    only groups on the rim are looked at one by one."""
+
+    def work(block, zones, at):
+        lat, lon, radius = (zones[c][at] for c in ("lat", "lon", "radius"))
+        g, values = grouped(block, *by)
+        if shape == "box":
+            south, north, west, east = lat - radius, lat + radius, lon - radius, lon + radius
+            whole = (g["y_lo"] >= south) & (g["y_hi"] <= north) & (g["x_lo"] >= west) & (g["x_hi"] <= east)
+            none = (g["y_hi"] < south) | (g["y_lo"] > north) | (g["x_hi"] < west) | (g["x_lo"] > east)
+        else:
+            ends = [(g[f"{c}_lo"] - centre, g[f"{c}_hi"] - centre) for c, centre in (("y", lat), ("x", lon))]
+            (dy, dx), (by_y, by_x) = ([f(low, high) for low, high in ends] for f in (_farthest, _nearest))
+            whole, none = np.sqrt(dy * dy + dx * dx) <= radius, np.sqrt(by_y * by_y + by_x * by_x) > radius
+        n = np.where(whole, g["sum"], 0)
+        rim = np.flatnonzero(~whole & ~none)
+        if len(rim):
+            sizes = g["size"][rim]
+            owner = np.repeat(rim, sizes)
+            place = np.arange(len(owner)) + np.repeat(g["start"][rim] - np.cumsum(sizes) + sizes, sizes)
+            y, x = g["y"][place], g["x"][place]
+            if shape == "box":
+                found = (y >= south) & (y <= north) & (x >= west) & (x <= east)
+            else:
+                dy, dx = y - lat, x - lon
+                found = np.sqrt(dy * dy + dx * dx) <= radius
+            n += np.bincount(owner[found], weights=g["n"][place[found]], minlength=len(n)).astype(np.int64)
+        seen = np.flatnonzero(n)
+        if total:
+            return {"total": n[seen].sum(keepdims=True)} if len(seen) else None
+        return {**{c: v[seen] for c, v in values.items()}, "n": n[seen]}
+
+    return work
+
+
+def _farthest(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.maximum(np.abs(low), np.abs(high))
+
+
+def _nearest(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.maximum(np.maximum(low, -high), 0.0)
+
+
 def zone_extent(value: str, shape: str) -> Work:
     """The least and largest value in a zone, and the sum of ``n``."""
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoscope.operators.blocks import met_in_blocks, tasks, zone_bins, zone_extent, zone_groups, zone_measures
+from geoscope.operators.blocks import met_in_blocks, tasks, zone_bins, zone_compact_groups, zone_extent, zone_groups, zone_measures
 from geoscope.operators.quantiles import bucket, middle_values, rank_buckets
 from geoscope.operators.zones import MERGE, located, near
 
@@ -77,15 +77,17 @@ def zone_histogram(obs: DataFrame, zones: DataFrame, value: str, bins: int = 10,
 
 
 def zone_cells(points: DataFrame, zones: DataFrame, by: Sequence[str], shape: str, min_rows: int = 0) -> DataFrame:
-    """Sums of ``n`` of the points in each zone by the columns ``by``; of zones with ``min_rows`` records and more."""
+    """Sums of ``n`` of the points in each zone by the columns ``by``, which go with places; of zones with ``min_rows``
+    records and more."""
     zones = zones.select(*_ZONE)
     number = tasks(zones)
+    points = points.select("reclat", "reclong", "n", *by)
     if min_rows:
-        sums = met_in_blocks(points.select("reclat", "reclong", "n"), zones, zone_extent("n", shape), "total bigint", shape=shape, number=number)
+        sums = met_in_blocks(points, zones, zone_compact_groups(by, shape, total=True), "total bigint", shape=shape, number=number)
         enough = sums.groupBy("location_id").agg(F.sum("total").alias("total")).filter(F.col("total") >= min_rows)
         zones = zones.join(enough, "location_id", "left_semi")
     kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by)
-    found = met_in_blocks(points.select("reclat", "reclong", "n", *by), zones, zone_groups(by, shape), f"{kinds}, n bigint", shape=shape, number=number)
+    found = met_in_blocks(points, zones, zone_compact_groups(by, shape), f"{kinds}, n bigint", shape=shape, number=number)
     return found.groupBy("location_id", *by).agg(F.sum("n").alias("n"))
 
 

@@ -89,3 +89,27 @@ def test_measures_of_nothing_known_are_null(make_obs, make_locations):
     points = zones.coordinate_measures(obs, ["recclass"])
     found = distributions.zone_measured(points, make_locations([{}]), "recclass", zones.MEASURES, "box").collect()
     assert {(r.recclass, r.n, r.year_min, r.years) for r in found} == {("A", 1, None, 0), ("B", 1, 1900, 1), (None, 1, None, 0)}
+
+
+@pytest.mark.parametrize("shape", ["radius", "box"])
+def test_whole_groups_count_as_their_observations(shape, monkeypatch):
+    """Groups inside a zone aren't looked at one by one, and what is counted is the same, on the rim and without a number too."""
+    rng = np.random.default_rng(7)
+    y, x = np.round(rng.uniform(0, 8, 3000), 1), np.round(rng.uniform(0, 8, 3000), 1)
+    x[:5], y[5:9] = np.nan, np.nan
+    order = np.argsort(y)
+    block = {"reclat": y[order], "reclong": x[order], "n": rng.integers(1, 4, 3000)}
+    block |= {"cy": np.nan_to_num(np.floor(block["reclat"])).astype(int), "cx": np.nan_to_num(np.floor(block["reclong"])).astype(int)}
+    plain, whole = blocks.zone_groups(["cy", "cx"], shape), blocks.zone_compact_groups(["cy", "cx"], shape)
+    total = blocks.zone_compact_groups(["cy", "cx"], shape, total=True)
+    asked = {"lat": np.round(rng.uniform(-1, 9, 60), 1), "lon": np.round(rng.uniform(-1, 9, 60), 1), "radius": np.round(rng.uniform(0, 6, 60), 1)}
+    listed = lambda found: sorted(zip(found["cy"], found["cx"], found["n"]))
+    for at in range(60):
+        expected = listed(plain(block, asked, at))
+        assert listed(whole(block, asked, at)) == expected
+        found = total(block, asked, at)
+        assert (found["total"][0] if found else 0) == sum(n for *_, n in expected)
+    seen, sqrt = [], np.sqrt
+    monkeypatch.setattr(blocks.np, "sqrt", lambda v: seen.append(len(v)) or sqrt(v))
+    whole(block, {"lat": [4.0], "lon": [4.0], "radius": [3.9]}, 0)
+    assert max(seen, default=0) < 2000
